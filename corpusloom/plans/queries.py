@@ -1,0 +1,15 @@
+"""Queries over the supplied tables and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+
+def corpus_merge_dedupe(spark, sf_dir):
+    """First row of each text of 100 to 2,500 characters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text").between(100, 2500))
+    return docs.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+
+
+QUERIES = {"corpus_merge_dedupe": corpus_merge_dedupe}
+SQL = {"corpus_merge_dedupe": "SELECT md5(text) AS h, min(doc_id) AS doc_id FROM documents WHERE length(text) BETWEEN 100 AND 2500 GROUP BY 1"}
