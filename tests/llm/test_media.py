@@ -1,0 +1,64 @@
+import hashlib
+import random
+import struct
+import zlib
+
+from corpusloom.llm import media
+from corpusloom.llm.media import box, describe, full, mux, op1_media_columns
+
+
+def payload(text):
+    raw = (text or "").encode()
+    return raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+
+
+def test_query_against_brute_force(spark, tables):
+    texts = [None, "", "a", "é" * 288, "x" * 576, "y" * 577, "long ÿ " * 40_000, "a", "zero \0 byte"]
+    d = tables(documents=([(i, t, "en", "s", 1, "clash") for i, t in enumerate(texts)] + [(None, "a", None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, media string"))
+    rows = op1_media_columns(spark, d).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        text = "a" if r.doc_id is None else texts[r.doc_id]
+        p = payload(text)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((text or "").encode()), len(p), hashlib.sha256(p).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(p[-32:]) and r.media_sha256 == hashlib.sha256(mux(p)).hexdigest() and r.media_bytes == len(mux(p))
+        assert f"samples={len(p)};" in r.feature and r.n_keyframes == -(-len(p) // media.SYNC)
+
+
+def test_empty_table(spark, tables):
+    assert op1_media_columns(spark, tables(documents=([], "doc_id long, text string"))).count() == 0
+
+
+def test_variable_sizes_and_32_bit_offsets():
+    rng = random.Random(3)
+    sizes = [rng.randrange(0, 50) for _ in range(40)]
+    blobs = [bytes(rng.randrange(256) for _ in range(n)) for n in sizes]
+    chunks, spans, data, at = [3] * 10 + [10], [], bytearray(box(b"ftyp", b"isom", bytes(4))), 0
+    for n in chunks:
+        data += b"gap"
+        spans.append(len(data))
+        for blob in blobs[at : at + n]:
+            data += blob
+        at += n
+    lead = bytes(data[16:])
+    shift = 8  # the media box's own header
+    stbl = box(b"stbl", full(b"stsd", 0, 0, struct.pack(">I", 1), box(b"avc1", bytes(70))), full(b"stsc", 0, 0, struct.pack(">I6I", 2, 1, 3, 1, 11, 10, 1)), full(b"stsz", 0, 0, struct.pack(">II40I", 0, 40, *sizes)), full(b"stco", 0, 0, struct.pack(">I11I", 11, *(s + shift for s in spans))), full(b"stss", 0, 0, struct.pack(">I3I", 3, 1, 17, 40)))
+    mdia = box(b"mdia", full(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, 90_000, 1234), bytes(4)), full(b"hdlr", 0, 0, bytes(4), b"vide", bytes(12)), box(b"minf", stbl))
+    whole = bytes(data[:16]) + box(b"mdat", lead) + box(b"moov", box(b"trak", mdia))
+    x = describe(whole)
+    assert (x["codec"], x["timescale"], x["duration"]) == ("avc1", 90_000, 1234)
+    assert [whole[a:b] for a, b in zip(x["key_starts"], x["key_ends"])] == [blobs[0], blobs[16], blobs[39]]
+    assert b"".join(whole[a:b] for a, b in x["runs"]).replace(b"gap", b"") == b"".join(blobs)
+
+
+def test_broken_containers():
+    good = mux(b"\x01" * 1152)
+    assert describe(None)["feature"] == "broken:null"
+    rng = random.Random(5)
+    for _ in range(300):
+        bad = bytearray(good)
+        for _ in range(3):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        describe(bytes(bad))  # never raises
+    for n in range(0, len(good), 7):
+        assert isinstance(describe(good[:n])["feature"], str)
