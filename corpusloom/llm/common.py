@@ -33,12 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that no column of df has, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def positional(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1, ...: no name can clash with those that an operator adds."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
 def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP4_SQL, op4_decontamination
 from .media import op1_media_columns
 
-QUERIES = {f.__name__: f for f in (op1_media_columns,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op4_decontamination)}
+SQL: dict[str, str] = {"op4_decontamination": OP4_SQL}
