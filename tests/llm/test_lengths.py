@@ -1,0 +1,27 @@
+from corpusloom.llm.lengths import VOCABULARY, encoder, limit_report, op8_token_counts
+
+TEXTS = [None, "", "one two", "one two", "three", "word " * 3000, "é" * 500, "日本語 🙂 <|endoftext|>", "a" * 20_000, " \n\n "]
+
+
+def brute(lengths):
+    total, n = sum(lengths), len(lengths)
+    return sorted((x, lengths.count(x), sum(y <= x for y in lengths), sum(y > x for y in lengths), sum(y for y in lengths if y <= x), sum(min(x, y) for y in lengths), n, total, sum(y <= x for y in lengths) / n) for x in set(lengths))
+
+
+def test_query_against_brute_force(spark, tables):
+    d = tables(documents=([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, length int"))
+    e = encoder(VOCABULARY)
+    assert sorted(map(tuple, op8_token_counts(spark, d).collect())) == brute([len(e.encode_ordinary(t or "")) for t in TEXTS])
+
+
+def test_report_over_blocks(spark):
+    import random
+
+    rng = random.Random(1)
+    lengths = [rng.choice([3, 255, 256, 257, 511, 512, 9999, rng.randrange(3000)]) for _ in range(800)]
+    h = spark.createDataFrame(sorted({(x, lengths.count(x)) for x in lengths}), "length long, n_docs long")
+    assert sorted(map(tuple, limit_report(h).collect())) == brute(lengths)
+
+
+def test_empty_table(spark, tables):
+    assert op8_token_counts(spark, tables(documents=([], "doc_id long, text string"))).count() == 0
