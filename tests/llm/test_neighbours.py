@@ -1,0 +1,99 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from corpusloom.llm.components import connected_components
+from corpusloom.llm.neighbours import chance, drop_near_duplicates, jaccard_join, op2_ngram_jaccard_join
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, class string"
+
+
+def grams(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(1, len(w))))}
+
+
+def brute(docs, threshold=0.8):
+    sets = [grams(t) for _, t in docs]
+    n = len(docs)
+    linked = [[i != j and bool(sets[i]) and bool(sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(n)] for i in range(n)]
+    low = list(range(n))
+    for _ in range(n):
+        low = [min([low[i]] + [low[j] for j in range(n) if linked[i][j]]) for i in range(n)]
+    key = lambda i: (docs[i][0] is None, docs[i][0] or 0)
+    return [(docs[i][0], min((docs[j][0] for j in range(n) if low[j] == low[i]), key=lambda x: (x is None, x or 0)), sum(linked[i]), len(sets[i])) for i in range(n)] if docs and key else []
+
+
+def corpus(seed=1, copies=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)] + ["Été", "A1"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    docs = [None, "", "...", "one", "One!", "two words", text(5), text(3000)]
+    base = text(150)
+    for _ in range(copies):  # a large group of near copies, not all linked with each other
+        w = base.split()
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        docs.append(" ".join(w))
+    docs += [base] * 9 + [base.upper() + "!!"] + [text(40) for _ in range(60)]
+    for _ in range(15):
+        a = text(100)
+        docs += [a, a + " " + text(rng.randrange(40)), text(8) + " " + a]
+    rows = [(i, t) for i, t in enumerate(docs)]
+    rng.shuffle(rows)
+    return rows + [(5, docs[5]), (None, base), (None, None)]
+
+
+def full(rows):
+    return [(i, t, "en", "s", 1, "x", "y") for i, t in rows]
+
+
+@pytest.mark.parametrize("block", [256, 13])
+def test_against_brute_force(spark, block):
+    rows = corpus()
+    got = jaccard_join(spark.createDataFrame(full(rows), SCHEMA), block=block).collect()
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
+
+
+def test_recall_of_links_near_the_threshold(spark):
+    rng, rows = random.Random(7), []
+    for k in range(300):
+        w = [f"v{rng.randrange(10_000)}" for _ in range(104)]
+        v = [f"u{rng.randrange(10_000)}" for _ in range(11)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:93] + v))]
+    want = brute(rows[:2])[0][2]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links > 0").count()
+    assert want == 1 and got >= 0.98 * len(rows)
+    assert chance(np.array(0.8), 20, 6) > 0.99
+
+
+def test_stage(spark):
+    rows = corpus(2, 20)
+    frame = spark.createDataFrame(full(rows), SCHEMA)
+    out = drop_near_duplicates(spark, frame, "")
+    assert out.columns == frame.columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    want = {(i, t) for (i, t), (_, c, _, n) in zip(rows, brute(rows)) if not n or i == c}
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(x for x in got if grams(x[1])) == sorted(x for x in want if grams(x[1]))
+    assert sorted((x for x in got if not grams(x[1])), key=key) == sorted((x for x in rows if not grams(x[1])), key=key)
+
+
+def test_empty_table(spark, tables):
+    d = tables(documents=([], "doc_id long, text string"))
+    assert op2_ngram_jaccard_join(spark, d).count() == 0
+    assert drop_near_duplicates(spark, spark.createDataFrame([], SCHEMA), d).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(300)]
+    rng.shuffle(chain)
+    edges = chain + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 6000), (6000, 5000), (7, 7)]
+    got = {r.v: r.c for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {5000: 5000, 6000: 5000}
