@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, cut, pieces, small_batches, table
-from .wordbpe import WordBpe
+from .wordbpe import shared
 
 #: Tokens of a sequence, pieces in one, pieces packed together by one task, and the id after each document.
 TOKENS, PIECES, GROUP, END = 2048, 2048, 32_768, 0
@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
 
     def run(batches):
-        encoder = WordBpe(vocabulary)
+        encoder = shared(vocabulary)
         for batch, _, _ in pieces(batches, "t"):
             rows, keys = [], []
             for n, ids in enumerate(encoder.encode(column(batch, "t").to_pylist())):

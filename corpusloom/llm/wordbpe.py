@@ -1,13 +1,16 @@
 """Ids of a word-level BPE vocabulary (lower case, white space dropped), word by word.
 
-The vocabulary's own library splits a text into words and merges inside each, so the ids of a text are those of its
-words in order. Words repeat, so each is given to the library once and then looked up. This holds for texts of plain
-ASCII and Latin-1 letters without control strings; any other text goes to the library whole.
+The vocabulary's own library drops white space, splits a text into words and merges inside each, so the ids of a text
+are those of its chunks between white space in order. Chunks repeat, so each is given to the library once and then
+looked up. This holds for texts of plain ASCII and Latin-1 letters without control strings; any other text goes to the
+library whole.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -15,8 +18,14 @@ import numpy as np
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: A text in which this finds nothing is split by WORD as the library splits it.
 OTHER = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
-#: Words that one process keeps.
-KEPT = 300_000
+#: Chunks that one process keeps, and how many of the first it keeps when there are more: frequent ones come early.
+KEPT, ROOTS = 600_000, 200_000
+
+
+@cache
+def shared(path: str) -> WordBpe:
+    """One encoder for each process, which outlives a task."""
+    return WordBpe(path)
 
 
 class WordBpe:
@@ -24,25 +33,37 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        names = self.library.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for x, i in names.items() if x.endswith("</w>")]] = True
         self.slot: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.library.encode_batch(words, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        first, last, total = len(self.slot), len(self.slot) + len(words), int(sizes.sum())
+    def learn(self, chunks: list[str]) -> None:
+        """Ids of chunks without white space: the library reads them as one text, a word ends with each closing id."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+        words = np.array([1 if x.isalpha() else len(WORD.findall(x)) for x in chunks], np.int64)
+        ends = np.append(0, np.flatnonzero(self.closes[ids]) + 1)
+        stops = ends[np.cumsum(words)]
+        sizes = np.diff(np.append(0, stops))
+        first, last, total = len(self.slot), len(self.slot) + len(chunks), len(ids)
         while last > len(self.start):
             self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
         while self.used + total > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.start[first:last], self.size[first:last] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.ids[self.used : self.used + total] = [i for x in found for i in x]
+        self.start[first:last], self.size[first:last] = self.used + stops - sizes, sizes
+        self.ids[self.used : self.used + total] = ids
         self.used += total
-        self.slot.update(zip(words, range(first, last), strict=True))
+        self.slot.update(zip(chunks, range(first, last), strict=True))
+
+    def forget(self) -> None:
+        self.slot = dict(islice(self.slot.items(), ROOTS))
+        n = len(self.slot)
+        self.used = int((self.start[:n] + self.size[:n]).max(initial=0))
+
+    def slots(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slot.get, chunks, repeat(-1)), np.int64, len(chunks))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is empty."""
@@ -51,17 +72,21 @@ class WordBpe:
         for i, t in enumerate(texts):
             (rest if t and OTHER.search(t) else plain).append(i)
         if rest:
-            for i, x in zip(rest, self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            for i, x in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
                 out[i] = np.array(x.ids, np.uint32)
-        if len(self.slot) > KEPT:
-            self.clear()
-        words = [WORD.findall(texts[i].lower()) if texts[i] else [] for i in plain]
-        new = {w for x in words for w in x} - self.slot.keys()
-        if new:
-            self.learn(sorted(new))
-        get = self.slot.__getitem__
-        for i, x in zip(plain, words, strict=True):
-            slots = np.fromiter(map(get, x), np.int64, len(x))
+        chunks = [texts[i].lower().split() if texts[i] else [] for i in plain]
+        found = [self.slots(x) for x in chunks]
+        missing = {x[j] for x, s in zip(chunks, found, strict=True) for j in np.flatnonzero(s < 0).tolist()}
+        if len(self.slot) + len(missing) > KEPT:
+            self.forget()
+            found = [self.slots(x) for x in chunks]
+            missing = {x[j] for x, s in zip(chunks, found, strict=True) for j in np.flatnonzero(s < 0).tolist()}
+        if missing:
+            self.learn(list(missing))
+        for i, x, slots in zip(plain, chunks, found, strict=True):
+            gaps = np.flatnonzero(slots < 0)
+            if len(gaps):
+                slots[gaps] = [self.slot[x[j]] for j in gaps.tolist()]
             sizes = self.size[slots]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from corpusloom.llm import wordbpe
 from corpusloom.llm.packing import best_fit, op10_best_fit_packing, pack, pack_stage
 from corpusloom.llm.wordbpe import WordBpe
 
@@ -18,12 +19,15 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def test_word_ids_equal_the_library(library):
+def test_word_ids_equal_the_library(library, monkeypatch):
     rng = random.Random(1)
     alphabet = "aBcé'stdlmrveÀß .,!?-_\n12<|>\t\"&@#"
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(500)]
     encoder = WordBpe(public_tokenizers.path("word_bpe_49k.json"))
-    for _ in range(2):
+    monkeypatch.setattr(wordbpe, "KEPT", 700)
+    monkeypatch.setattr(wordbpe, "ROOTS", 90)
+    for _ in range(3):
+        rng.shuffle(texts)
         for t, ids in zip(texts, encoder.encode(texts)):
             assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
