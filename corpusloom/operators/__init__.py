@@ -1 +1 @@
-"""operators"""
+"""DataFrame operators."""
