@@ -35,10 +35,10 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column, clip: bool = True) -> Column:
     """Cosine of two vectors; 0 where one is null or zero; clipped to [0, 1] on request."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    value = dot(a, b) / F.when(norm > 0, norm)
+    value = dot(a, b) / norm
     if clip:
         value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
-    return F.coalesce(value, F.lit(0.0))
+    return F.when(norm > 0, value).otherwise(0.0)
 
 
 def hashed_vector(x: Column, size: int = 64) -> Column:

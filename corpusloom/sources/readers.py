@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,10 +15,10 @@ from ..operators.corpus import few_fences, first_filled, first_of_each, in_windo
 
 def text_lines(spark: SparkSession, paths: list[str] | str, pattern: str | None = None) -> DataFrame:
     """(file, line_idx, value) of non-blank lines. Line numbers need whole files, so a file is the unit of work."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    whole = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = reader.load(paths).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_idx", "value")).where("trim(value) <> ''")
 
 
@@ -41,7 +42,7 @@ def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_prose(spark: SparkSession, directory: str, patterns: tuple[str, ...] = ("*.jsonl",), field: str = "text", low: int = 50, high: int = 2000) -> DataFrame:
     """Texts of a field in the length window, all folders below; a file that meets two patterns is read twice."""
-    reads = [spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", p).text(directory) for p in patterns]
+    reads = [spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", p).load(directory) for p in patterns]
     texts = reduce(DataFrame.unionByName, reads).select(F.get_json_object("value", f"$.{field}").alias("text"))
     return texts.where(in_window(F.col("text"), low, high))
 
@@ -59,7 +60,7 @@ def read_generation_corpus(spark: SparkSession, path: str, limit: int | None = N
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """Paragraphs of a plain text if it has more than one, else its lines."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     cut = lambda p: F.filter(F.transform(F.split("value", p), strip), lambda s: s != "")
     return whole.select(F.explode(F.when(F.size(cut("\n\n")) > 1, cut("\n\n")).otherwise(cut("\n"))).alias("text"))
 
@@ -68,9 +69,8 @@ def read_files(spark: SparkSession, directory: str, patterns: tuple[str, ...]) -
     """(path, relative, source) of UTF-8 files of all folders below; other files are left out."""
     one = lambda p: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", p).load(directory)
     files = reduce(DataFrame.unionByName, map(one, patterns)).where(F.is_valid_utf8(F.col("content").cast("string")))
-    base = F.lit(directory.rstrip("/").removeprefix("file:") + "/")
-    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    return files.select("path", F.substring_index(plain, base, -1).alias("relative"), F.col("content").cast("string").alias("source"))
+    base = re.sub("^[a-z]+:/+", "/", directory.rstrip("/")) + "/"
+    return files.select("path", F.substring_index("path", base, -1).alias("relative"), F.col("content").cast("string").alias("source"))
 
 
 def read_python(spark: SparkSession, directory: str, exclude: list[str] | None = None) -> DataFrame:
@@ -162,7 +162,7 @@ def read_logs(spark: SparkSession, directory: str, name: str = "train.log") -> D
     """(run, path, content) of the log of every run directory named by a timestamp."""
     from ..operators.runs import run_name
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(directory)
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).load(directory)
     path = F.col("_metadata.file_path")
     return files.select(run_name(F.regexp_replace(path, "/[^/]*$", "")).alias("run"), path.alias("path"), F.col("value").alias("content")).where("run is not null")
 

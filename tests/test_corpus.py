@@ -1,0 +1,105 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import corpus, resume
+from corpusloom.operators.code_units import UnitOptions, tree_likeness, units
+
+
+def test_merge_fixture(spark):
+    long = lambda s: s * 60
+    rows = [(0, 0, long("ab"), None, None), (0, 1, None, long("ab"), None), (0, 2, "short", None, None), (1, 0, None, "", long("ab")), (1, 1, "", None, long("cd")), (1, 2, None, None, None)]
+    frame = spark.createDataFrame([(*r, "s", None) for r in rows], "file_idx int, line_idx int, text string, content string, code string, source string, language string").withColumn("file_stem", F.lit("f"))
+    stats = corpus.merge_stats(corpus.merge(frame, "nl")).first()
+    assert (stats.total_read, stats.duplicates, stats.filtered, stats.kept) == (6, 2, 2, 2)
+    kept = corpus.merged_rows(corpus.merge(frame, "nl")).collect()
+    assert sorted(r.text for r in kept) == sorted([long("ab"), long("cd")]) and {r.domain for r in kept} == {"nl"}
+    assert corpus.merge_stats(corpus.merge(frame, "nl", dedupe=False)).first().kept == 4
+
+
+def test_first_of_each_keeps_clashing_names(spark):
+    frame = spark.createDataFrame([(2, "a", "x"), (1, "a", "y"), (3, "b", None)], "k0 int, row0 string, first string")
+    got = corpus.first_of_each(frame, ["row0"], ["k0"])
+    assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == [(1, "a", "y"), (3, "b", None)]
+
+
+def test_split(spark):
+    rows = [(i, "nl" if i % 2 else "code") for i in range(100)] + [(200 + i, "mixed") for i in range(7)] + [(300, None)]
+    frame = spark.createDataFrame(rows, "id int, domain string")
+    out = corpus.split(frame, F.col("id"), ["domain"], ["nl", "code"])
+    counts = {(r.domain, r.split): r["count"] for r in out.groupBy("domain", "split").count().collect()}
+    assert counts == {(d, s): n for d in ("nl", "code") for s, n in (("train", 40), ("valid", 5), ("test", 5))} | {("mixed", None): 7, (None, None): 1}
+    order = sorted((i for i, d in rows if d == "nl"), key=lambda i: hashlib.sha256(f"42:{i}".encode()).hexdigest())
+    assert {r.id for r in out.where("domain = 'nl' and split = 'train'").collect()} == set(order[:40])
+    plain = corpus.split(frame.limit(100), F.col("id"))
+    assert {r.split: r["count"] for r in plain.groupBy("split").count().collect()} == {"train": 80, "valid": 10, "test": 10}
+    s = corpus.split_stats(out).first()
+    assert (s.total, s.train, s.nl_count, s.code_count) == (108, 80, 50, 50)
+
+
+def test_limits_and_paths(spark):
+    frame = spark.range(5).withColumnRenamed("id", "idx")
+    assert [corpus.ordered_limit(frame, n, ["idx"], z).count() for n, z in ((None, False), (0, True), (0, False), (2, False))] == [5, 5, 0, 2]
+    paths = {"pkg/tests/a.py": False, "pkg/tests/x/a.py": True, "tests/x/a.py": True, "tests/a.py": True, "a/test_b.py": True, "b_test.py": True, "x/conftest.py": True, "setup.py": True, "src/testing.py": False}
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", corpus.path_excluded(F.col("p")).alias("x")).collect()
+    assert {r.p: r.x for r in got} == paths
+
+
+def test_resume(spark):
+    todo = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, t string")
+    done = spark.createDataFrame([("a",), (None,)], "t string")
+    assert sorted(r.id for r in resume.not_done(todo, done, F.md5("t")).collect()) == [2, 3]
+    cache = spark.createDataFrame([("k", "old", None, 1), ("k", "new", None, 2), ("e", "x", "2020-01-01 00:00:00", 3)], "key string, value string, e string, w int").select("key", "value", F.to_timestamp("e").alias("expires_at"), F.timestamp_seconds("w").alias("written_at"))
+    got = {r.key: r.cached for r in resume.with_cached(spark.createDataFrame([("k",), ("e",), ("m",)], "key string"), cache).collect()}
+    assert got == {"k": "new", "e": None, "m": None}
+
+
+SOURCE = '''
+import os
+
+@decorator
+def top(x):
+    """Doc."""
+    def inner(y):
+        z = y + 1
+        w = z * 2
+        return w, z
+    return inner(x)
+
+class Box:
+    """Holds."""
+    def __init__(self, a):
+        self.a = a
+    def __call__(self, b):
+        c = self.a + b
+        return c
+    def __repr__(self):
+        text = f"{self.a}"
+        return text
+    def test_me(self):
+        a = 1
+        return a + self.a
+    if True:
+        def hidden(self):
+            q = 1
+            return q + 1
+
+async def stub():
+    raise NotImplementedError
+
+def one():
+    return None
+'''
+
+
+def test_code_units():
+    o = UnitOptions(min_chars=10, min_lines=2)
+    got = [(u["unit_type"], u["name"]) for u in units(SOURCE, "p.py", o)]
+    assert got == [("function", "top"), ("class", "Box"), ("method", "Box.__call__"), ("function", "inner"), ("function", "hidden")]
+    top = units(SOURCE, "p.py", o)[0]
+    assert top["code"].startswith("def top") and top["start_line"] == 5 and "return inner(x)" in top["code"]
+    assert units("def broken(:", "p", o) == [] and units(SOURCE, "p", UnitOptions(max_chars=20)) == []
+
+
+def test_tree_likeness():
+    assert tree_likeness("x = 1", "x  =  1  # c") == 1 and tree_likeness("x = (", "x") == 0 and 0 < tree_likeness("x = 1", "def f(): pass") < 1 and tree_likeness(None, "x") == 0
