@@ -17,7 +17,7 @@ from ..functions import (
     parse_judge, prompt_and_completion, reduction_percent, regex_token_count, strip_code, strip_frontmatter, strip_tags,
     text_hash, token_counts, verdict_score, classify, cache_key, text_cost, fact_overlap,
 )
-from ..operators import chunks, code_units, corpus, costs, resume, runs, training, validate
+from ..operators import chunks, code_units, corpus, costs, evaluate, resume, runs, training, validate
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -487,6 +487,27 @@ def fact_overlap_score(spark, sf_dir):
     return p.select(F.col("vec_id").alias("pair_id"), F.when(score > 0.8, 1.0).otherwise(0.5).alias("overlap"))
 
 
+@query(f"""WITH p AS (SELECT a.doc_id, {TOKENS.format('a.text')} AS x, {TOKENS.format('b.text')} AS y, a.text AS t FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1)
+SELECT doc_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END, 6) AS overlap, CAST(0.5 AS DOUBLE) AS semantic, CAST(len({SQL_FACTS.replace('text', 't')}) AS BIGINT) AS n_facts FROM p""")
+def detailed_report(spark, sf_dir):
+    d = shifted(spark, sf_dir).select("doc_id", evaluate.detailed_equivalence(F.col("text"), F.col("other"), F.lit(0.5), facts=True).alias("x"))
+    return d.select("doc_id", r6("x.lexical_overlap_raw").alias("overlap"), F.col("x.semantic_similarity").alias("semantic"), F.size("x.verbose_facts").cast("long").alias("n_facts"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, {sql_strip('text')} AS x FROM documents), u AS (SELECT doc_id, x, substr(x, 1, length(x) // 2) AS y FROM t WHERE x <> '')
+SELECT x AS input_text, y AS compressed_text, round({SQL_COUNT.format('y')} / {SQL_COUNT.format('x')}, 6) AS compression_ratio, round(length(y) / length(x), 6) AS min_equivalence, length(y) / length(x) >= 0.5 AS passed FROM u""")
+def evaluate_generator(spark, sf_dir):
+    half = lambda: lambda texts: [t[: len(t) // 2] for t in texts]
+    out = evaluate.evaluate(training.chat_rows(pairs(spark, sf_dir)), half, lambda a, b: F.length(b) / F.length(a), min_equivalence=0.5)
+    return out.select("input_text", "compressed_text", r6("compression_ratio").alias("compression_ratio"), r6("min_equivalence").alias("min_equivalence"), "passed")
+
+
+@query("SELECT lang, CAST(floor(count(*) * 0.8) AS BIGINT) AS train, CAST(floor(count(*) * 0.1) AS BIGINT) AS valid, count(*) - CAST(floor(count(*) * 0.8) AS BIGINT) - CAST(floor(count(*) * 0.1) AS BIGINT) AS test FROM documents GROUP BY 1")
+def split_preview(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return n.select("lang", evaluate.split_preview(F.col("n")).alias("x")).select("lang", "x.train", "x.valid", "x.test")
+
+
 # --- training files ---------------------------------------------------------------------------------------------------
 
 

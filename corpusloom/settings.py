@@ -1,0 +1,32 @@
+"""Named defaults; thresholds differ by caller on purpose. Values can come from the environment or a mapping."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
+
+
+@dataclass(frozen=True)
+class Settings:
+    cost_limit_daily_usd: float = 50.0
+    cost_warn_threshold_usd: float = 30.0
+    equivalence_threshold: float = 0.85
+    harness_threshold: float = 0.72
+    synthetic_threshold: float = 0.80
+    train_ratio: float = 0.8
+    valid_ratio: float = 0.1
+    seed: int = 42
+    concurrency: int = 10
+    costs_log: str = "data/costs.jsonl"
+
+    def updated(self, values: Mapping[str, object]) -> Settings:
+        """With values by name, each converted to the default's type; unknown names raise."""
+        known = {f.name: type(getattr(self, f.name)) for f in fields(self)}
+        if unknown := set(values) - set(known):
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return replace(self, **{k: known[k](v) for k, v in values.items()})
+
+    @classmethod
+    def from_env(cls, environ: Mapping[str, str] = os.environ) -> Settings:
+        return cls().updated({f.name: environ[f.name.upper()] for f in fields(cls) if f.name.upper() in environ})

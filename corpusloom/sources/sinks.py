@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from datetime import UTC, datetime
+from pathlib import Path
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.training import chat_rows, completion_rows, text_rows
@@ -10,8 +14,6 @@ from ..operators.training import chat_rows, completion_rows, text_rows
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> int:
     """Rows written, counted as they pass."""
-    from pyspark.sql import Observation
-
     count = Observation()
     out = df if files is None else df.coalesce(files)
     out.observe(count, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
@@ -48,3 +50,28 @@ def write_splits(rows: DataFrame, directory: str) -> None:
     if rows.isEmpty():
         raise ValueError("no validated pairs")
     rows.where("split is not null").write.mode("overwrite").partitionBy("split").json(directory)
+
+
+def append_jsonl(df: DataFrame, path: str) -> int:
+    """Evaluation rows, cost records and cache entries are appended; a reader takes the newest entry of a key."""
+    return write_jsonl(df, path, "append")
+
+
+def cache_entries(df: DataFrame, key_col: str, value_col: str, seconds: int | None = None) -> DataFrame:
+    """Cache rows of results, which expire after some seconds or never."""
+    now = F.current_timestamp()
+    ends = F.lit(None).cast("timestamp") if seconds is None else now + F.make_dt_interval(secs=F.lit(seconds))
+    return df.select(F.col(key_col).alias("key"), F.col(value_col).cast("string").alias("value"), ends.alias("expires_at"), now.alias("written_at"))
+
+
+def new_run(root: str, metadata: dict, when: datetime | None = None) -> Path:
+    """A run directory named by the time, its metadata, and a `latest` link; a real directory called latest is an error."""
+    when = when or datetime.now(UTC)
+    run, latest = Path(root) / when.strftime("%Y-%m-%d_%H-%M-%S"), Path(root) / "latest"
+    if latest.exists() and not latest.is_symlink():
+        raise ValueError(f"{latest} is not a link")
+    run.mkdir(parents=True)
+    (run / "run.json").write_text(json.dumps({"started_at": when.isoformat().replace("+00:00", "Z")} | metadata, indent=2))
+    latest.unlink(missing_ok=True)
+    latest.symlink_to(run.name)
+    return run

@@ -164,3 +164,34 @@ def test_schemas_parse(spark):
     for name, ddl in vars(schemas).items():
         if name.isupper():
             spark.createDataFrame([], ddl)
+
+
+def test_run_directories_and_cache(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    run = sinks.new_run(str(tmp_path / "runs"), {"iters": 5}, datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC))
+    assert run.name == "2026-01-02_03-04-05" and (tmp_path / "runs/latest").resolve() == run.resolve()
+    assert json.loads((run / "run.json").read_text()) == {"started_at": "2026-01-02T03:04:05Z", "iters": 5}
+    again = sinks.new_run(str(tmp_path / "runs"), {}, datetime(2026, 1, 3, tzinfo=UTC))
+    assert (tmp_path / "runs/latest").resolve() == again.resolve()
+    (tmp_path / "other/latest").mkdir(parents=True)
+    with pytest.raises(ValueError):
+        sinks.new_run(str(tmp_path / "other"), {})
+    entries = sinks.cache_entries(spark.createDataFrame([("k", "v")], "k string, v string"), "k", "v", 60)
+    assert sinks.append_jsonl(entries, str(tmp_path / "cache")) == 1 and entries.where("expires_at > written_at").count() == 1
+
+
+def test_settings():
+    from corpusloom.settings import Settings
+
+    s = Settings.from_env({"SEED": "7", "COST_LIMIT_DAILY_USD": "1.5", "OTHER": "x"})
+    assert (s.seed, s.cost_limit_daily_usd, s.harness_threshold) == (7, 1.5, 0.72)
+    with pytest.raises(ValueError):
+        Settings().updated({"nope": 1})
+
+
+def test_preview(spark):
+    from corpusloom.operators.evaluate import preview
+
+    rows = preview(spark.createDataFrame([("x" * 200,), ("y",)], "t string"), "t", width=5).collect()
+    assert sorted(r.t for r in rows) == ["xxxxx...", "y"]
