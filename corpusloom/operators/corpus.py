@@ -41,13 +41,12 @@ def path_excluded(relative: Column, patterns: list[str] = EXCLUDED) -> Column:
 
 
 def first_of_each(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
-    """The first row of every key in the given order. Rows meet a partial aggregate before the shuffle (the least
-    order, then the row), so a hot key brings a row from each task, not all its rows."""
-    taken = {c.lower() for c in df.columns}
-    row = next(n for n in (f"row{i}" for i in range(len(taken) + 1)) if n not in taken)
+    """The first row of every key in the given order, nulls first. Rows meet a partial aggregate before the shuffle, so a
+    hot key brings a row from each task, not all its rows. Rows that tie in the order are as good as each other."""
     named = [F.expr(k).alias(f"k{i}") if isinstance(k, str) else k.alias(f"k{i}") for i, k in enumerate(keys)]
-    first = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias(row))
-    return df.select(*named, first.alias("first")).groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.min("first").alias("first")).select(f"first.{row}.*")
+    place = F.struct(*((F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)))
+    rows = df.select(*named, place.alias("place"), F.struct(*df.columns).alias("whole"))
+    return rows.groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.min_by("whole", "place").alias("whole")).select("whole.*")
 
 
 def merge(df: DataFrame, domain: str, low: int = 100, high: int = 2500, dedupe: bool = True) -> DataFrame:
