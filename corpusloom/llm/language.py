@@ -5,8 +5,8 @@ Every language has a codeword of +1 and -1; for every bit a linear classifier ov
 how well its classifier separates the training rows; `score` is the gap between the nearest and the next codeword as a
 share of their sum, and a text whose score is under `AMBIGUOUS` is flagged.
 
-Training uses a sample bounded by `PER_LANGUAGE` rows of each language on average, chosen by a hash of the id over all
-labelled training rows; only n-gram frequencies of these rows reach the driver. Prediction reads the text alone.
+Training uses a sample bounded by `PER_LANGUAGE` rows of each language and `TRAINING_ROWS` in all, on average, chosen by
+a hash of the id over all labelled training rows; only n-gram frequencies of these rows reach the driver. Prediction reads the text alone.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing was learned; with one learned
 language every other text gets it with score 1; a null id is not held out; equal texts get equal results, repeated rows
@@ -27,6 +27,8 @@ from .words import LOWER, randoms
 
 #: Orders of the n-grams, buckets that they are hashed to, training rows of a language (about), and the ridge.
 ORDERS, BUCKETS, PER_LANGUAGE, RIDGE = (1, 2, 3, 4), 4096, 500, 1e-3
+#: Training rows in all (about), shared equally when there are many languages.
+TRAINING_ROWS = 4000
 #: Below this score a text's language is ambiguous. Columns of a code for more than five languages, for each doubling.
 AMBIGUOUS, COLUMNS = 0.05, 10
 LETTER = np.zeros(256, bool)
@@ -98,7 +100,7 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, training_rows: int = TRAINING_ROWS) -> Model:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where(~held_out("i") & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
@@ -106,7 +108,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages = sorted(counts)
     if len(languages) < 2:
         return Model(languages, np.zeros((0, BUCKETS)), np.zeros(0, int))
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n)))), F.col("l"))
+    each = min(per_language, training_rows / len(languages))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n)))), F.col("l"))
 
     def run(batches):
         for batch, data, offs in pieces(batches, "t"):

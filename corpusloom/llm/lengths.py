@@ -76,6 +76,17 @@ def limit_report(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """(context_limit, docs_within, truncated_tokens) for any limits, from the histogram alone."""
+    rows = histogram.withColumn("context_limit", F.explode(F.array(*(F.lit(x).cast("long") for x in limits))))
+    return rows.groupBy("context_limit").agg(F.sum(F.when(F.col("length") <= F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("docs_within"), F.sum(F.least("length", "context_limit") * F.col("n_docs")).alias("truncated_tokens"))
+
+
+def length_quantile(report: DataFrame, q: float) -> DataFrame:
+    """The least length that a share q of the documents does not exceed."""
+    return report.where(F.col("quantile") >= q).agg(F.min("context_limit").alias("length"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, for every context limit."""
     return limit_report(length_histogram(table(spark, sf_dir, "documents")))

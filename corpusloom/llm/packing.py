@@ -113,6 +113,12 @@ def pack(rows: DataFrame, tokens: int = TOKENS, most: int = PIECES, cost: float
     return dealt.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", sequence_id long, offset long")
 
 
+def sequence_ids(placed: DataFrame) -> DataFrame:
+    """(sequence_id, ids) of packed pieces that carry ids; a sequence is bounded by its capacity."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return placed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p.ids)).alias("ids"))
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     return pack(token_pieces(docs, id_col, text_col), **limits)
 

@@ -1,4 +1,4 @@
-from corpusloom.llm.lengths import VOCABULARY, encoder, limit_report, op8_token_counts
+from corpusloom.llm.lengths import VOCABULARY, at_limits, encoder, length_quantile, limit_report, op8_token_counts
 
 TEXTS = [None, "", "one two", "one two", "three", "word " * 3000, "é" * 500, "日本語 🙂 <|endoftext|>", "a" * 20_000, " \n\n "]
 
@@ -20,7 +20,11 @@ def test_report_over_blocks(spark):
     rng = random.Random(1)
     lengths = [rng.choice([3, 255, 256, 257, 511, 512, 9999, rng.randrange(3000)]) for _ in range(800)]
     h = spark.createDataFrame(sorted({(x, lengths.count(x)) for x in lengths}), "length long, n_docs long")
-    assert sorted(map(tuple, limit_report(h).collect())) == brute(lengths)
+    report = limit_report(h)
+    assert sorted(map(tuple, report.collect())) == brute(lengths)
+    limits = [1, 4, 256, 700, 20_000]
+    assert sorted(map(tuple, at_limits(h, limits).collect())) == [(x, sum(n <= x for n in lengths), sum(min(x, n) for n in lengths)) for x in limits]
+    assert length_quantile(report, 0.5).first().length == sorted(lengths)[399]
 
 
 def test_empty_table(spark, tables):

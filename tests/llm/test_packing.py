@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 from corpusloom.llm import wordbpe
-from corpusloom.llm.packing import best_fit, op10_best_fit_packing, pack, pack_stage
+from corpusloom.llm.packing import best_fit, op10_best_fit_packing, pack, pack_stage, sequence_ids, token_pieces
 from corpusloom.llm.wordbpe import WordBpe
 
 TEXTS = [None, "", "   ", "It's a <|endoftext|> test, they'll see.", "Ünïcode çafé ÀÉ ß", "日本語 テキスト 12³ ½", "Á combining", "x" * 3000, "tabs\tand\nlines \x1c \x85   end", "word " * 5000, "123 4.5-6_7 __ ''s 'S", "İstanbul ΑΣ ǅ", "a\x00b \x7f", "don't we've i'm 'd"]
@@ -79,3 +79,13 @@ def test_few_sequences(spark):
 def test_empty_table(spark, tables):
     assert op10_best_fit_packing(spark, tables(documents=([], "doc_id long, text string"))).count() == 0
     assert pack_stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string"), "").count() == 0
+
+
+def test_packed_ids(spark, library):
+    docs = [(i, f"word {i} " * (i * 40)) for i in range(30)]
+    placed = pack(token_pieces(spark.createDataFrame(docs, "doc_id long, text string"), with_ids=True)).collect()
+    by = {r.sequence_id: r.ids for r in sequence_ids(spark.createDataFrame(placed)).collect()}
+    whole = {}
+    for r in sorted(placed, key=lambda r: r.start):
+        whole.setdefault(r.doc_id, []).extend(by[r.sequence_id][r.offset : r.offset + r.length])
+    assert whole == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in docs} and all(len(x) <= 2048 for x in by.values())
