@@ -652,3 +652,22 @@ def ast_likeness(spark, sf_dir):
     b = F.when(F.col("doc_id") % 5 == 0, "def (").when(F.col("doc_id") % 2 == 0, "def f(x):\n\n    return x + 1  # same").otherwise("y = [i for i in range(3)]")
     d = table(spark, sf_dir, "documents").select("doc_id", code_units.ast_similarity(a, b).alias("s"))
     return d.select("doc_id", ((F.col("s") == 1) | ((F.col("doc_id") % 10 == 0) & (F.col("s") == 0))).alias("same"), (F.col("s") == 0).alias("broken"))
+
+
+@query("SELECT count(*) AS n_function, count(*) AS n_class, count(*) AS n_method, CAST(sum(f + c + m) AS BIGINT) AS total_chars, count(DISTINCT source) AS files FROM (SELECT source, 152 + 4 * length(CAST(doc_id AS VARCHAR)) AS f, 271 + 3 * length(CAST(doc_id AS VARCHAR)) AS c, 171 + 2 * length(CAST(doc_id AS VARCHAR)) AS m FROM documents)")
+def code_corpus_summary(spark, sf_dir):
+    s = corpus.code_corpus_summary(code_units.code_units(sources(spark, sf_dir)))
+    return s.select("n_function", "n_class", "n_method", "total_chars", "files")
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) > 50 ORDER BY lang, doc_id LIMIT 77")
+def ordered_limit(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 50).select("doc_id", "lang")
+    return corpus.ordered_limit(d, 77, ["lang", "doc_id"]).select("doc_id")
+
+
+@query("SELECT item_id, model, sha256('Analyze the following information and explain the main implications.' || chr(10) || chr(10) || 'Information:' || chr(10) || text || chr(10) || chr(10) || 'Analysis:') AS prompt_hash FROM benchmark, (VALUES ('claude-sonnet-4-20250514'), ('gpt-4o-mini')) m(model)")
+def task_prompts(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("verbose"), F.col("text").alias("compressed"), F.lit("nl").alias("domain"))
+    asked = validate.requests(b, ["claude", "gpt"], ["reasoning"])
+    return asked.select("item_id", validate.model_name(F.col("model")).alias("model"), F.sha2("verbose_prompt", 256).alias("prompt_hash"))
