@@ -272,12 +272,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     plain = positional(docs)
     i, t = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
     rows, sets = similar(plain, i, t)
-    best = sets.groupBy("class").agg(F.min("rep").alias("rep")).select(F.col("rep.i").alias("ki"), F.col("rep.k").alias("kk"))
-    keyed = plain.withColumn("k", F.md5(t))
-    kept = keyed.join(best, F.col(i).eqNullSafe(F.col("ki")) & (F.col("k") == F.col("kk")), "inner").dropDuplicates(["ki", "kk"]).select(plain.columns)
-    bare = rows.where("digest is null").select(F.col("i").alias("ki"), F.col("k").alias("kk")).distinct()
-    wordless = keyed.join(bare, F.col(i).eqNullSafe(F.col("ki")) & F.col("k").eqNullSafe(F.col("kk")), "left_semi").select(plain.columns)
-    return kept.union(wordless).toDF(*docs.columns)
+    key = lambda id_, k: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("-")), F.coalesce(k, F.lit("-")))
+    best = sets.groupBy("class").agg(F.min("rep").alias("rep")).select(key(F.col("rep.i"), F.col("rep.k")).alias("key"), F.lit(True).alias("one"))
+    bare = rows.where("digest is null").select(key(F.col("i"), F.col("k")).alias("key")).distinct().withColumn("one", F.lit(False))
+    # one join of whole rows by one key; of repeated rows with words one stays, found in the join's own partitions
+    kept = plain.withColumn("key", key(F.col(i), F.md5(t))).join(best.union(bare), "key")
+    kept = kept.withColumn("nth", F.when(F.col("one"), -1).otherwise(F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["key", "nth"]).select(plain.columns).toDF(*docs.columns)
 
 
 OP2_SQL = r"""
