@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: Signs of code (fixed values, in order).
 CODE = {
@@ -40,30 +40,42 @@ def matches(x: Column, pattern: str) -> Column:
     return x.rlike(f"(?dU){pattern}")
 
 
+def _parts(x: Column) -> Column:
+    """struct(t, blank, lines) of a text."""
+    return F.struct(x.alias("t"), (strip(x) == "").alias("blank"), F.split(strip(x), "\n").alias("lines"))
+
+
+def _score(p: Column) -> Column:
+    shown = F.size(F.filter(p.lines, lambda line: reduce(lambda a, b: a | b, (matches(line, s) for s in CODE.values()))))
+    signs = reduce(lambda a, b: a + b, (matches(p.t, s).cast("int") for s in CODE.values()))
+    return F.when(p.blank, 0.0).otherwise(0.7 * (shown / F.size(p.lines)) + 0.3 * (signs / len(CODE)))
+
+
 def code_score(x: Column) -> Column:
     """0.7 of the share of lines that show code, 0.3 of the share of code signs in the whole text; 0 for blank text."""
-    lines = F.split(strip(x), "\n")
-    shown = F.size(F.filter(lines, lambda line: reduce(lambda a, b: a | b, (matches(line, p) for p in CODE.values()))))
-    signs = reduce(lambda a, b: a + b, (matches(x, p).cast("int") for p in CODE.values()))
-    return F.when(strip(x) == "", 0.0).otherwise(0.7 * (shown / F.size(lines)) + 0.3 * (signs / len(CODE)))
+    return let(_parts(F.coalesce(x, F.lit(""))), _score)
+
+
+def _on_line(pattern: str):
+    return lambda line: matches(line, pattern)
 
 
 def classify(x: Column, mixed_above: float = MIXED_ABOVE, code_above: float = CODE_ABOVE) -> Column:
     """struct(domain, confidence, code_ratio, indicators); numbers rounded to three digits, at most five indicators."""
-    x = F.coalesce(x, F.lit(""))
-    score, blank = code_score(x), strip(x) == ""
-    prose = reduce(lambda a, b: a + b, (matches(x, p).cast("int") for p in PROSE.values()))
-    domain = F.when(score > code_above, "code").when(score > mixed_above, "mixed").otherwise("nl")
-    sure = F.when(score > code_above, F.least(score + 0.1, F.lit(1.0))).when(score > mixed_above, 0.6 + (score - mixed_above) * 0.5).otherwise(F.when(prose >= STRONG_PROSE, 1.0 - score).otherwise(0.7))
-    lines = F.split(strip(x), "\n")
-    shown = F.array_compact(F.array(*(F.when(F.exists(lines, _on_line(p)), name) for name, p in CODE.items())))
-    return F.struct(
-        domain.alias("domain"),
-        F.when(blank, 0.0).otherwise(F.round(sure, 3)).alias("confidence"),
-        F.round(score, 3).alias("code_ratio"),
-        F.when(blank, F.expr("cast(array() as array<string>)")).otherwise(F.slice(shown, 1, 5)).alias("indicators"),
-    )
 
+    def measured(p: Column) -> Column:
+        prose = reduce(lambda a, b: a + b, (matches(p.t, s).cast("int") for s in PROSE.values()))
+        shown = F.array_compact(F.array(*(F.when(F.exists(p.lines, _on_line(s)), name) for name, s in CODE.items())))
+        return F.struct(p.blank.alias("blank"), _score(p).alias("score"), prose.alias("prose"), F.slice(shown, 1, 5).alias("shown"))
 
-def _on_line(pattern: str):
-    return lambda line: matches(line, pattern)
+    def verdict(m: Column) -> Column:
+        code, mixed = m.score > code_above, m.score > mixed_above
+        sure = F.when(code, F.least(m.score + 0.1, F.lit(1.0))).when(mixed, 0.6 + (m.score - mixed_above) * 0.5).otherwise(F.when(m.prose >= STRONG_PROSE, 1.0 - m.score).otherwise(0.7))
+        return F.struct(
+            F.when(code, "code").when(mixed, "mixed").otherwise("nl").alias("domain"),
+            F.when(m.blank, 0.0).otherwise(F.round(sure, 3)).alias("confidence"),
+            F.round(m.score, 3).alias("code_ratio"),
+            F.when(m.blank, F.expr("cast(array() as array<string>)")).otherwise(m.shown).alias("indicators"),
+        )
+
+    return let(let(_parts(F.coalesce(x, F.lit(""))), measured), verdict)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, token_set
+from .text import let, strip, token_set
 from ..schemas import JUDGE_REPLY
 
 #: Score of each verdict of a judge at full confidence (fixed values).
@@ -34,11 +34,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column, clip: bool = True) -> Column:
     """Cosine of two vectors; 0 where one is null or zero; clipped to [0, 1] on request."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    value = dot(a, b) / norm
-    if clip:
-        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
-    return F.when(norm > 0, value).otherwise(0.0)
+    parts = F.struct(dot(a, b).alias("ab"), (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))).alias("norm"))
+
+    def value(p: Column) -> Column:
+        x = p.ab / p.norm
+        return F.when(p.norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) if clip else x).otherwise(0.0)
+
+    return let(parts, value)
 
 
 def hashed_vector(x: Column, size: int = 64) -> Column:
@@ -74,13 +76,19 @@ def fact_overlap(a: Column, b: Column, above: float = 0.8) -> Column:
 
 def parse_judge(reply: Column) -> Column:
     """struct of a judge's JSON reply, fences removed and confidence clamped; null where it can't be read."""
-    x = strip(reply)
+    return let(let(strip(reply), _reply_data), _reply_struct)
+
+
+def _reply_data(x: Column) -> Column:
     lines = F.split(x, "\n")
     from_end = F.array_position(F.reverse(F.transform(lines, strip)), "```").cast("int")
     stop = F.when(from_end > 0, F.size(lines) - from_end).otherwise(F.size(lines))
     body = F.when(F.startswith(x, F.lit("```")), F.array_join(F.slice(lines, F.lit(2), F.greatest(stop - 1, F.lit(0))), "\n")).otherwise(x)
     body = F.when(F.startswith(body, F.lit("json")), strip(F.substring(body, 5, 1 << 30))).otherwise(body)
-    data = F.from_json(body, JUDGE_REPLY)
+    return F.from_json(body, JUDGE_REPLY)
+
+
+def _reply_struct(data: Column) -> Column:
     verdict = F.lower(data["verdict"])
     empty = F.expr("cast(array() as array<string>)")
     out = F.struct(

@@ -5,6 +5,8 @@ Patterns run in Java's engine: `(?U)` gives Unicode classes, `(?d)` makes a line
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ ABBREVIATIONS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends (any Unicode white space, line ends too)."""
     return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
@@ -67,13 +74,26 @@ def logical_lines(x: Column) -> Column:
     return F.size(F.filter(F.split(strip(x), "\n"), lambda line: (strip(line) != "") & ~F.startswith(strip(line), F.lit("#"))))
 
 
+def _expand(x: Column) -> Column:
+    """Abbreviations one after another. A search for the plain letters spares most of the pattern matching; letters that
+    fold to ASCII ones (long s, dotless and dotted i, Kelvin) send a text to the patterns all the same."""
+    odd = x.rlike("[\u017f\u0131\u0130\u212a\u0307]")
+
+    def step(short: str, words: str) -> Callable[[Column], Column]:
+        return lambda p: F.struct(F.when(p.odd | F.contains(p.v, F.lit(short)), F.regexp_replace(p.v, rf"(?iU)\b{short}\b", f" {words}")).otherwise(p.v).alias("v"), p.odd.alias("odd"))
+
+    state = F.struct(x.alias("v"), odd.alias("odd"))
+    for short, words in ABBREVIATIONS.items():
+        state = let(state, step(short, words))
+    return state["v"]
+
+
 def normalize_for_comparison(x: Column) -> Column:
     """Symbols, abbreviations and percentages written out in lower case, then words alone; empty for null."""
     x = F.lower(F.coalesce(x, F.lit("")))
     for symbol, words in SYMBOLS.items():
         x = F.replace(x, F.lit(symbol), F.lit(words))
-    for short, words in ABBREVIATIONS.items():
-        x = F.regexp_replace(x, rf"(?iU)\b{short}\b", f" {words}")
+    x = let(x, _expand)
     number = r"(?U)(\d+(?:\.\d+)?)%"
     for sign, words in ((r"\+", " increased $1 percent "), ("-", " decreased $1 percent "), ("", " $1 percent ")):
         x = F.regexp_replace(x, number.replace("(?U)", f"(?U){sign}"), words)
@@ -89,9 +109,9 @@ def lexical_overlap(a: Column, b: Column, normalize: bool = False) -> Column:
     """Jaccard similarity of token sets; 0 where one is empty or null."""
     if normalize:
         a, b = normalize_for_comparison(a), normalize_for_comparison(b)
-    x, y = token_set(F.coalesce(a, F.lit(""))), token_set(F.coalesce(b, F.lit("")))
-    both = F.size(F.array_intersect(x, y))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
+    sets = F.struct(token_set(F.coalesce(a, F.lit(""))).alias("x"), token_set(F.coalesce(b, F.lit(""))).alias("y"))
+    sized = lambda p: F.struct(F.size(p.x).alias("x"), F.size(p.y).alias("y"), F.size(F.array_intersect(p.x, p.y)).alias("both"))
+    return let(let(sets, sized), lambda n: F.when((n.x == 0) | (n.y == 0), 0.0).otherwise(n.both / (n.x + n.y - n.both)))
 
 
 def atomic_facts(x: Column) -> Column:

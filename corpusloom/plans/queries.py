@@ -17,6 +17,8 @@ from ..functions import (
     parse_judge, prompt_and_completion, reduction_percent, regex_token_count, strip_code, strip_frontmatter, strip_tags,
     text_hash, token_counts, verdict_score, classify, cache_key, text_cost, fact_overlap,
 )
+from ..functions.classify import CODE
+from ..functions.text import ABBREVIATIONS, SYMBOLS
 from ..operators import chunks, code_units, corpus, costs, evaluate, resume, runs, training, validate
 from ..sources import readers
 
@@ -254,22 +256,43 @@ def paragraph_split(spark, sf_dir):
     return p.groupBy("doc_id").agg(F.count_if(n.between(50, 2000)).alias("n_whole"), F.count_if(n > 2000).alias("n_long"))
 
 
-@query()
+def long_idx(df: DataFrame) -> DataFrame:
+    return df.withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
+
+
+def sql_paragraph_chunks(x: str, low: int, high: int) -> str:
+    """Greedy packing as a fold over sentences whose state is a string: finished packs and the open one, divided by \\2."""
+    paras = f"list_filter(list_transform({PARAGRAPHS.format(x)}, lambda pp: {sql_strip('pp')}), lambda pp: pp <> '' AND NOT regexp_matches(pp, '\\A#{{1,6}}\\s+'))"
+    parts = "string_split(regexp_replace(p, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1))"
+    fold = f"list_reduce({parts}, lambda a, s: CASE WHEN length(string_split(a, chr(2))[-1]) + length(s) + 1 <= {high} THEN {sql_strip("a || ' ' || s")} ELSE a || chr(2) || s END)"
+    return f"flatten(list_transform({paras}, lambda p: CASE WHEN length(p) BETWEEN {low} AND {high} THEN [p] WHEN length(p) > {high} THEN list_filter(string_split({fold}, chr(2)), lambda c: length(c) >= {low}) ELSE CAST([] AS VARCHAR[]) END))"
+
+
+def sql_section_chunks(x: str, low: int, high: int) -> str:
+    parts = f"list_transform(string_split(regexp_replace({x}, '(?m)^(#{{1,6}}\\s+)', concat(chr(1), '\\1'), 'g'), chr(1)), lambda q: {sql_strip(sql_strip("regexp_replace(" + sql_strip('q') + ", '(?m)^#{1,6}\\s+(.+)$', '', 'g')"))})"
+    return f"flatten(list_transform(list_filter({parts}, lambda q: q <> ''), lambda q: CASE WHEN length(q) BETWEEN {low} AND {high} THEN [q] WHEN length(q) > {high} THEN {sql_paragraph_chunks('q', low, high)} ELSE CAST([] AS VARCHAR[]) END))"
+
+
+def sql_chunk_rows(chunked: str) -> str:
+    return f"WITH c AS (SELECT doc_id, {SQL_CLEAN} AS x FROM (SELECT doc_id, {MARKED} AS t FROM documents)), l AS (SELECT doc_id, {chunked} AS cs FROM c) SELECT doc_id, unnest(range(0, len(cs))) AS chunk_idx, unnest(cs) AS text FROM l"
+
+
+@query(sql_chunk_rows(sql_paragraph_chunks("x", 50, 2000)))
 def markdown_paragraph_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t"))
-    return chunks.markdown_chunks(d, "t", ["doc_id"])
+    return long_idx(chunks.markdown_chunks(d, "t", ["doc_id"]))
 
 
-@query()
+@query(sql_chunk_rows(sql_section_chunks("x", 50, 1000)))
 def markdown_section_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t"))
-    return chunks.markdown_chunks(d, "t", ["doc_id"], chunks.ChunkOptions(chunk_by="section", max_chars=1000))
+    return long_idx(chunks.markdown_chunks(d, "t", ["doc_id"], chunks.ChunkOptions(chunk_by="section", max_chars=1000)))
 
 
-@query()
+@query(sql_chunk_rows(f"CASE WHEN length(x) BETWEEN 50 AND 2000 THEN [x] ELSE {sql_section_chunks('x', 50, 2000)} END"))
 def markdown_document_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t"))
-    return chunks.markdown_chunks(d, "t", ["doc_id"], chunks.ChunkOptions(chunk_by="document"))
+    return long_idx(chunks.markdown_chunks(d, "t", ["doc_id"], chunks.ChunkOptions(chunk_by="document")))
 
 
 @query("SELECT doc_id, CAST(len(string_split(regexp_replace(text, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1))) AS BIGINT) AS n_sentences FROM documents")
@@ -291,7 +314,24 @@ def logical_line_count(spark, sf_dir):
     return d.select("doc_id", logical_lines(F.col("c")).cast("long").alias("n"))
 
 
-@query()
+WORDS = r"\p{L}\p{N}_"
+
+
+def sql_normalize(x: str) -> str:
+    """A boundary is a character here, so neighbours that share one need a second pass."""
+    x = f"lower({x})"
+    for symbol, words in SYMBOLS.items():
+        x = f"replace({x}, '{symbol}', '{words}')"
+    for short, words in ABBREVIATIONS.items():
+        for _ in range(2):
+            x = f"regexp_replace({x}, '(^|[^{WORDS}]){short}([^{WORDS}]|$)', '\\1 {words}\\2', 'g')"
+    for sign, words in (("\\+", " increased "), ("-", " decreased "), ("", " ")):
+        x = f"regexp_replace({x}, '{sign}(\\d+(?:\\.\\d+)?)%', '{words}\\1 percent ', 'g')"
+    x = sql_strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+    return sql_strip(f"regexp_replace(regexp_replace({x}, '[^{WORDS}\\s]', ' ', 'g'), '\\s+', ' ', 'g')")
+
+
+@query(f"SELECT doc_id, {sql_normalize('t')} AS normalized FROM (SELECT doc_id, 'CEO → rev +15% YoY | 3 yrs, fn(x) -2.5% & q1: 40% ' || text AS t FROM documents)")
 def normalized_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("CEO → rev +15% YoY | 3 yrs, fn(x) -2.5% & q1: 40% "), "text").alias("t"))
     return d.select("doc_id", normalize_for_comparison(F.col("t")).alias("normalized"))
@@ -312,7 +352,8 @@ def jaccard_overlap(spark, sf_dir):
     return shifted(spark, sf_dir).select("doc_id", r6(lexical_overlap(F.col("text"), F.col("other"))).alias("overlap"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT doc_id, {sql_normalize('text')} AS t FROM documents), p AS (SELECT a.doc_id, {TOKENS.format('a.t')} AS x, {TOKENS.format('b.t')} AS y FROM n a JOIN n b ON b.doc_id = a.doc_id - 1)
+SELECT doc_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END, 6) AS overlap FROM p""")
 def jaccard_overlap_normalized(spark, sf_dir):
     return shifted(spark, sf_dir).select("doc_id", r6(lexical_overlap(F.col("text"), F.col("other"), normalize=True)).alias("overlap"))
 
@@ -344,7 +385,13 @@ def domain_classify(spark, sf_dir):
     return d.select("doc_id", r6(code_score(F.col("t"))).alias("score"), classify(F.col("t"))["domain"].alias("domain"))
 
 
-@query()
+SQL_PROSE = [r"[.!?]\s+[A-Z]", r"\n\n[A-Z]", rf"(?i){B}(the|a|an)\s+{W}+", rf"(?i){B}(and|but|or|however|therefore){E}", r"(?m)\?$"]
+
+
+@query(f"""WITH c AS (SELECT doc_id, t, string_split({sql_strip('t')}, chr(10)) AS ls FROM (SELECT doc_id, {CODED} AS t FROM documents)),
+s AS (SELECT doc_id, t, ls, {sql_strip('t')} = '' AS blank, CASE WHEN {sql_strip('t')} = '' THEN 0.0 ELSE 0.7 * (len(list_filter(ls, lambda l: {_any('l')})) / len(ls)) + 0.3 * (({' + '.join(f"CAST(regexp_matches(t, '{p}') AS INT)" for p in SQL_SIGNS)}) / 13.0) END AS score, {' + '.join(f"CAST(regexp_matches(t, '{p}') AS INT)" for p in SQL_PROSE)} AS prose FROM c)
+SELECT doc_id, CASE WHEN score > 0.7 THEN 'code' WHEN score > 0.3 THEN 'mixed' ELSE 'nl' END AS domain, CASE WHEN blank THEN 0.0 ELSE round(CASE WHEN score > 0.7 THEN least(score + 0.1, 1.0) WHEN score > 0.3 THEN 0.6 + (score - 0.3) * 0.5 WHEN prose >= 3 THEN 1.0 - score ELSE 0.7 END, 3) END AS confidence, round(score, 3) AS code_ratio,
+array_to_string(list_filter([{', '.join(f"CASE WHEN len(list_filter(ls, lambda l: regexp_matches(l, '{p}'))) > 0 THEN '{n}' END" for n, p in zip(CODE, SQL_SIGNS, strict=True))}], lambda n: n IS NOT NULL)[1:5], ',') AS indicators FROM s""")
 def domain_classify_detailed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", coded().alias("t"))
     return d.select("doc_id", classify(F.col("t")).alias("x")).select("doc_id", "x.domain", "x.confidence", "x.code_ratio", F.array_join("x.indicators", ",").alias("indicators"))
