@@ -60,3 +60,54 @@ def test_offsets_and_ties(spark):
 
 def test_empty_table(spark, tables):
     assert op5_license_scan(spark, tables(documents=([], "doc_id long, text string"))).count() == 0
+
+
+def naive(a, b):
+    """Patience alignment by plain recursion and an exhaustive longest chain of unique words."""
+    if not a or not b:
+        return 0
+    if a[0] == b[0]:
+        return 1 + naive(a[1:], b[1:])
+    if a[-1] == b[-1]:
+        return 1 + naive(a[:-1], b[:-1])
+    unique = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    chains = [[] for _ in unique]
+    for k, (_, y) in enumerate(unique):
+        best = max((chains[m] for m in range(k) if unique[m][1] < y), key=len, default=[])
+        chains[k] = [*best, unique[k]]
+    chain = max(chains, key=len, default=[])
+    if not chain:
+        return 0
+    total, i, j = len(chain), 0, 0
+    for x, y in [*chain, (len(a), len(b))]:
+        total += naive(a[i:x], b[j:y])
+        i, j = x + 1, y + 1
+    return total
+
+
+def test_query_against_brute_force(spark, tables):
+    import math
+
+    from corpusloom.llm.licenses import SHORT, SPREAD, THRESHOLD
+    from tests.llm.test_decontaminate import words
+
+    rng, texts = random.Random(9), [None, "", "..."]
+    for name, text in TEMPLATES.items():
+        w = text.split()
+        for damage in (0, 1, len(w) // 8, len(w) // 4):
+            v = list(w)
+            for _ in range(damage):
+                v[rng.randrange(len(v))] = rng.choice(["other", "the", "license"])
+            texts.append(prose(rng, 30) + " " + " ".join(v) + " " + prose(rng, 30))
+    got = {r.doc_id: r for r in op5_license_scan(spark, tables(documents=([(i, t, "c") for i, t in enumerate(texts)], SCHEMA))).collect()}
+    for i, t in enumerate(texts):
+        own, found = words(t), []
+        for name, text in TEMPLATES.items():
+            v = words(text)
+            least, width = len(v) if len(v) < SHORT else math.ceil(THRESHOLD * len(v) - 1e-9), math.ceil(SPREAD * len(v))
+            best = max((naive(own[a : a + width], v) for a in range(len(own)) if own[a] in v), default=0)
+            if best >= least:
+                found.append((-best / len(v), -best, name))
+        share, n, name = min(found, default=(0.0, 0, None))
+        assert (got[i].license, round(got[i].coverage, 9), got[i].n_matched) == (name, round(-share, 9), -n), t
+        assert got[i].licenses == "|".join(sorted(f[2] for f in found))
