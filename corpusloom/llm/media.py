@@ -1,7 +1,7 @@
 """Media columns: ISO base media containers (nested boxes) written and indexed without decoding payloads.
 
 `mux` stores byte payloads losslessly as 8-bit samples of one audio track; `index_media` walks the nested boxes of any
-container, decodes its sample tables and returns codec, duration and the byte ranges of samples and of keyframes.
+container, decodes its sample tables (or the runs of its movie fragments) and returns codec, duration and the byte ranges of samples and of keyframes.
 It needs no codec: only box headers and sample tables are read, payload bytes are just addressed.
 
 Defined results: null text is empty text; an empty payload is padded to one whole sample block; a null or broken
@@ -72,8 +72,9 @@ def mux(payload: bytes, rate: int = RATE, chunk: int = CHUNK, sync: int = SYNC)
     return ftyp + mdat + box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path, start, end) of every box's body, outer boxes first, each with 32- or 64-bit or open-ended size."""
+def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int, int]]:
+    """(path, start of the body, end, start of the box) of every box, outer boxes first, each with 32- or 64-bit or
+    open-ended size."""
     at = start
     while at + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -86,7 +87,7 @@ def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[t
             size = end - at
         if size < head or at + size > end:
             raise ValueError("box " + kind.decode("latin-1") + " leaves its parent")
-        yield (*path, kind), at + head, at + size
+        yield (*path, kind), at + head, at + size, at
         if kind in CONTAINERS:
             yield from walk(data, at + head, at + size, (*path, kind))
         at += size
@@ -107,6 +108,8 @@ class Track:
         self.handler, self.codec, self.timescale, self.duration = "", "", 0, 0
         self.constant, self.samples = 0, 0
         self.sizes = self.offsets = self.keys = None
+        self.id, self.defaults, self.base = 0, (0, 0, 0), 0
+        self.fragments: list[tuple[int, np.ndarray, np.ndarray, int]] = []
         self.runs = np.zeros((0, 3), np.int64)
 
     def ends(self) -> np.ndarray | None:
@@ -135,15 +138,26 @@ class Track:
 
 def tracks(data: bytes | memoryview) -> list[Track]:
     """Every track of the container, from its box tree alone."""
-    view, found = memoryview(data), []
-    for path, a, b in walk(view, 0, len(view)):
+    view, found, extends = memoryview(data), [], {}
+    moof, current = 0, None
+    for path, a, b, at in walk(view, 0, len(view)):
         kind = path[-1]
         if kind == b"trak":
             found.append(Track())
+        elif kind == b"trex":
+            extends[struct.unpack_from(">I", view, a + 4)[0]] = struct.unpack_from(">III", view, a + 12)
+        elif kind == b"moof":
+            moof = at
+        elif kind == b"tfhd":
+            current = fragment_header(view, a, found, extends, moof)
+        elif kind == b"trun" and current is not None:
+            add_fragment(view, a, b, current)
         if not found or b"trak" not in path:
             continue
         t = found[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t.id = struct.unpack_from(">I", view, a + (20 if view[a] == 1 else 12))[0]
+        elif kind == b"mdhd":
             if view[a] == 1:
                 t.timescale, t.duration = struct.unpack_from(">IQ", view, a + 20)
             else:
@@ -174,15 +188,70 @@ def tracks(data: bytes | memoryview) -> list[Track]:
     return found
 
 
+def fragment_header(view: memoryview, a: int, found: list[Track], extends: dict, moof: int) -> Track | None:
+    """The track that a `tfhd` names, with its defaults (duration, size, flags) and base offset for the runs after it."""
+    flags, number = struct.unpack_from(">II", view, a)
+    t = next((t for t in found if t.id == number), None)
+    if t is None:
+        return None
+    values, at = list(extends.get(number, (0, 0, 0))), a + 8
+    t.base = moof
+    if flags & 1:
+        t.base, at = struct.unpack_from(">Q", view, at)[0], at + 8
+    at += 4 * bool(flags & 2)
+    for k, bit in enumerate((8, 16, 32)):
+        if flags & bit:
+            values[k], at = struct.unpack_from(">I", view, at)[0], at + 4
+    t.defaults = tuple(values)
+    return t
+
+
+def add_fragment(view: memoryview, a: int, b: int, t: Track) -> None:
+    """A `trun`: samples that lie one after another from an offset."""
+    flags, n = struct.unpack_from(">II", view, a)
+    at, start = a + 8, t.fragments[-1][0] + int(t.fragments[-1][1].sum()) if t.fragments else t.base
+    if flags & 1:
+        start, at = t.base + struct.unpack_from(">i", view, at)[0], at + 4
+    first = None
+    if flags & 4:
+        first, at = struct.unpack_from(">I", view, at)[0], at + 4
+    fields = [k for k, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
+    table = numbers(view, at, b, ">u4", n * len(fields)).reshape(n, len(fields)) if fields else np.zeros((n, 0), np.int64)
+    if n > (1 << 24) and not fields:
+        raise ValueError("too many samples in a run")
+    column_of = lambda k: table[:, fields.index(k)] if k in fields else np.full(n, t.defaults[k], np.int64)
+    marks = column_of(2).copy()
+    if first is not None and n:
+        marks[0] = first
+    t.fragments.append((start, column_of(1), (marks & 0x10000) == 0, int(column_of(0).sum())))
+
+
+def describe_fragments(t: Track, length: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Byte runs, and starts and stops of keyframes, of the fragments of a track."""
+    runs, starts, stops = [], [], []
+    for start, sizes, sync, _ in t.fragments:
+        ends = start + np.cumsum(sizes)
+        if start < 0 or (len(ends) and ends[-1] > length):
+            raise ValueError("samples leave the file")
+        runs.append((start, int(ends[-1]) if len(ends) else start))
+        starts.append((ends - sizes)[sync])
+        stops.append(ends[sync])
+    return runs, np.concatenate(starts), np.concatenate(stops)
+
+
 def describe(data: bytes | None) -> dict:
     """Codec, duration and byte ranges of a container's first track with samples; payload bytes are not looked at."""
     out = {"codec": None, "timescale": None, "duration": None, "n_samples": 0, "key_starts": [], "key_ends": [], "runs": [], "feature": "broken:null"}
     if data is None:
         return out
     try:
-        t = next((t for t in tracks(data) if t.samples), None)
+        t = next((t for t in tracks(data) if t.samples or t.fragments), None)
         if t is None:
             return out | {"feature": "broken:no samples"}
+        if not t.samples:
+            runs, starts, stops = describe_fragments(t, len(data))
+            t.samples, t.duration = sum(len(f[1]) for f in t.fragments), t.duration or sum(f[3] for f in t.fragments)
+            return out | summary(t, runs, starts, stops)
         offsets, before = t.chunks()
         sums = t.ends()
         if sums is not None and len(sums) != t.samples + 1:
@@ -199,8 +268,12 @@ def describe(data: bytes | None) -> dict:
         stops = starts + t.bytes_before(keys + 1, sums) - t.bytes_before(keys, sums)
     except (ValueError, struct.error, OverflowError) as error:
         return out | {"feature": f"broken:{error}"}
+    return out | summary(t, runs, starts, stops)
+
+
+def summary(t: Track, runs: list, starts: np.ndarray, stops: np.ndarray) -> dict:
     marks = zlib.crc32(np.stack([starts, stops], 1).astype("<i8").tobytes())
-    feature = f"{t.handler}/{t.codec.strip()};rate={t.timescale};duration={t.duration};samples={t.samples};keys={len(keys)};keymap={marks:08x}"
+    feature = f"{t.handler}/{t.codec.strip()};rate={t.timescale};duration={t.duration};samples={t.samples};keys={len(starts)};keymap={marks:08x}"
     return {"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": t.samples, "key_starts": starts.tolist(), "key_ends": stops.tolist(), "runs": runs, "feature": feature}
 
 

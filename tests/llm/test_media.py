@@ -62,3 +62,26 @@ def test_broken_containers():
         describe(bytes(bad))  # never raises
     for n in range(0, len(good), 7):
         assert isinstance(describe(good[:n])["feature"], str)
+
+
+def test_fragments():
+    rng = random.Random(4)
+    blobs = [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 40))) for _ in range(9)]
+    tkhd = full(b"tkhd", 0, 7, struct.pack(">IIIII", 0, 0, 5, 0, 0), bytes(60))
+    mdia = box(b"mdia", full(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, 1000, 0), bytes(4)), full(b"hdlr", 0, 0, bytes(4), b"vide", bytes(12)), box(b"minf", box(b"stbl", full(b"stsd", 0, 0, struct.pack(">I", 1), box(b"hvc1", bytes(70))), full(b"stsz", 0, 0, struct.pack(">II", 0, 0)))))
+    moov = box(b"moov", box(b"trak", tkhd, mdia), box(b"mvex", full(b"trex", 0, 0, struct.pack(">IIIII", 5, 1, 40, 0, 0x10000))))
+    data = box(b"ftyp", b"iso5", bytes(4)) + moov
+    for k in range(0, 9, 3):
+        own = blobs[k : k + 3]
+        run = lambda offset: full(b"trun", 0, 0x205, struct.pack(">IiI", 3, offset, 0), *(struct.pack(">I", len(x)) for x in own))  # noqa: E731, B023
+        make = lambda offset: box(b"moof", full(b"mfhd", 0, 0, struct.pack(">I", k)), box(b"traf", full(b"tfhd", 0, 0x20000, struct.pack(">I", 5)), run(offset)))  # noqa: E731, B023
+        data += make(len(make(0)) + 8) + box(b"mdat", *own)
+    x = describe(data)
+    assert (x["codec"], x["duration"], x["n_samples"]) == ("hvc1", 360, 9)
+    assert [data[a:b] for a, b in zip(x["key_starts"], x["key_ends"])] == blobs[::3]
+    assert b"".join(data[a:b] for a, b in x["runs"]) == b"".join(blobs)
+    for _ in range(200):
+        bad = bytearray(data)
+        for _ in range(3):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        assert isinstance(describe(bytes(bad))["feature"], str)
