@@ -32,11 +32,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. A stage's input is deleted once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs
