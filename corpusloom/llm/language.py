@@ -76,12 +76,13 @@ class Model:
         self.code = codewords(len(languages))
         bits = self.code[labels]
         self.mean = features.mean(0)
-        x = (features - self.mean).astype(np.float32)
+        x = features - self.mean
         share = 1 / np.bincount(labels, minlength=len(languages))[labels]  # every language weighs the same
-        root = np.sqrt(share / share.mean())[:, None]
-        k = (x * root) @ (x * root).T
-        dual = np.linalg.solve(k + RIDGE * max(float(np.trace(k)), 1e-9) / len(k) * np.eye(len(k)), bits * root)
-        self.weights = ((x * root).T @ dual).astype(np.float32)
+        root = np.sqrt(share / share.mean())[:, None].astype(np.float32)
+        x *= root
+        k = (x @ x.T).astype(np.float64)
+        k[np.diag_indices(len(k))] += RIDGE * max(float(np.trace(k)), 1e-9) / len(k)
+        self.weights = (x.T @ np.linalg.solve(k, bits * root)).astype(np.float32)
         margin = (x @ self.weights) * bits
         right = np.clip((share[:, None] * (margin > 0)).sum(0) / share.sum(), 0.501, 0.999)
         self.trust = np.log(right / (1 - right))
@@ -118,7 +119,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
     found = sorted((r.l, bytes(r.x)) for r in chosen.mapInArrow(run, "l string, x binary").toLocalIterator())
     seen = sorted({k for k, _ in found})
-    return Model(seen, np.array([np.frombuffer(x, np.float16) for _, x in found], np.float32).reshape(len(found), -1), np.array([seen.index(k) for k, _ in found], int))
+    values = np.frombuffer(b"".join(x for _, x in found), np.float16).astype(np.float32).reshape(len(found), BUCKETS)
+    return Model(seen, values, np.array([seen.index(k) for k, _ in found], int))
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", keep: tuple = ()) -> DataFrame:
