@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Tokens of a window, of its history at most, and turns of a chunk of the prefix sums.
 BUDGET, HISTORY, CHUNK = 1024, 256, 64
@@ -50,54 +50,54 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%3C"), F.lit("<")), F.lit("%25"), F.lit("%"))
 
 
-def same(left: DataFrame, right: DataFrame, *cols: str, how: str = "inner") -> DataFrame:
-    """Equi-join in which null equals null; the right side's keys go."""
-    other = right.withColumnsRenamed({c: f"r_{c}" for c in cols})
-    on = F.lit(True)
-    for c in cols:
-        on = on & F.col(c).eqNullSafe(F.col(f"r_{c}"))
-    return left.join(other, on, how).drop(*(f"r_{c}" for c in cols))
+#: A conversation's key: its id and whether that is null, so that joins and windows share one partitioning.
+KEY = ["conv", "nil"]
 
 
 def placed_turns(turns: DataFrame, chunk: int) -> DataFrame:
-    """Adds idx, the place of a turn in its conversation, and p, the tokens before it, the system turn's left out."""
-    rows = turns.withColumns({"n": tokens(F.col("text")), "chunk": F.expr(f"turn div {chunk}")})
-    order = [F.asc_nulls_first("turn"), "role", "text"]
-    inside = Window.partitionBy("conv_id", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"idx": F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)), "p": F.coalesce(F.sum("n").over(inside), F.lit(0))})
-    above = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    totals = totals.select("conv_id", "chunk", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("c"), F.coalesce(F.sum("s").over(above), F.lit(0)).alias("s"))
-    rows = same(rows, totals, "conv_id", "chunk").withColumns({"idx": F.col("idx") + F.col("c"), "p": F.col("p") + F.col("s")}).drop("c", "s", "chunk")
-    system = rows.where("idx = 0 and role = 'system'").select("conv_id", F.col("n").alias("sys"), F.col("text").alias("sys_text"))
-    rows = same(rows, system, "conv_id", how="left")
-    head = F.col("sys").isNotNull() & (F.col("idx") == 0)
-    return rows.withColumns({"head": head, "p": F.when(head, 0).otherwise(F.col("p") - F.coalesce("sys", F.lit(0)))})
+    """(conv, nil, role, text, n, idx, p, sys, head), conv_id being a whole number: the tokens n of a turn, its place idx in its conversation, the
+    tokens p before it without the system turn's, the system turn's tokens, and whether it is that turn.
+
+    Rows are shuffled once, to their chunk; chunk totals, a row each, carry on from chunk to chunk."""
+    rows = turns.select(
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("nil"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    rows = rows.withColumns({"n": tokens(F.col("text")), "chunk": F.coalesce(F.expr(f"turn div {chunk}"), F.lit(-(1 << 62)))})
+    inside = Window.partitionBy(*KEY, "chunk").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"i0": F.count(F.lit(1)).over(inside), "p0": F.coalesce(F.sum("n").over(inside), F.lit(0))})
+    totals = rows.groupBy(*KEY, "chunk").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.max(F.when((F.col("i0") == 0) & (F.col("role") == "system"), F.col("n"))).alias("h"))
+    order = Window.partitionBy(*KEY).orderBy("chunk")
+    above = order.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*KEY, "chunk", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("c"), F.coalesce(F.sum("s").over(above), F.lit(0)).alias("s"), F.coalesce(F.first("h").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("sys"))
+    rows = rows.join(totals, [*KEY, "chunk"]).withColumns({"idx": F.col("i0") + F.col("c"), "p": F.col("p0") + F.col("s")})
+    head = (F.col("idx") == 0) & (F.col("sys") > 0)
+    return rows.select(*KEY, "role", "text", "n", "idx", F.when(head, 0).otherwise(F.col("p") - F.col("sys")).alias("p"), "sys", head.alias("head"))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, chunk: int = CHUNK) -> DataFrame:
     """(conv_id, window, formatted, loss_spans, n_repeated): windows of each conversation, numbered in order with gaps.
 
-    `loss_spans` are (start, length) in code points of `formatted`; the first n_repeated turns of it were new before."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    stride = F.greatest(F.lit(budget - history) - F.coalesce("sys", F.lit(0)), F.lit(budget // 4))
-    rows = placed_turns(rows, chunk).withColumn("stride", stride)
+    `loss_spans` are (start, length) in code points of `formatted`; the first n_repeated turns of it were new before.
+    Placed turns are written out once (a checkpoint), as spans, histories and system turns all read them."""
+    rows = placed_turns(turns, chunk).withColumn("stride", F.greatest(F.lit(budget - history) - F.col("sys"), F.lit(budget // 4)))
     rows = rows.withColumns({"slot": F.expr("p div stride"), "last": F.expr("(p + n - 1) div stride")})
     crosses = (F.col("last") > F.col("slot")) & (F.col("p") % F.col("stride") != 0)
-    rows = rows.withColumn("w", F.when(F.col("head"), 0).otherwise(2 * F.col("slot") + crosses.cast("long")))
-    own = rows.select("conv_id", "w", "idx", F.lit(False).alias("repeated"), "role", "text")
-    later = rows.where("w > 0").groupBy("conv_id", "w").agg(F.min("p").alias("p0"), F.first("sys_text").alias("sys_text"))
-    kept = later.where("sys_text is not null").select("conv_id", "w", F.lit(0).cast("long").alias("idx"), F.lit(True).alias("repeated"), F.lit("system").alias("role"), F.col("sys_text").alias("text"))
-    near = later.select("conv_id", F.col("w").alias("to"), "p0", F.explode(F.array_distinct(F.array(F.expr(f"greatest(0, p0 - {history}) div {history}"), F.expr(f"(p0 - 1) div {history}")))).alias("b"))
-    past = rows.where("not head").select("conv_id", F.expr(f"p div {history}").alias("b"), "p", "idx", "role", "text")
-    again = same(past, near, "conv_id", "b").where(f"p < p0 and p >= p0 - {history}").select("conv_id", F.col("to").alias("w"), "idx", F.lit(True).alias("repeated"), "role", "text")
-    return render(own.union(kept).union(again))
+    rows = cut(rows.select(*KEY, "role", "text", "idx", "p", "sys", "head", F.when(F.col("head"), 0).otherwise(2 * F.col("slot") + crosses.cast("long")).alias("w")))
+    own = rows.select(*KEY, "w", "idx", F.lit(False).alias("repeated"), "role", "text")
+    later = rows.where("w > 0").groupBy(*KEY, "w").agg(F.min("p").alias("p0"), F.max("sys").alias("sys"))
+    system = rows.where("head").select(*KEY, "text")
+    kept = later.where("sys > 0").join(system, KEY).select(*KEY, "w", F.lit(0).cast("long").alias("idx"), F.lit(True).alias("repeated"), F.lit("system").alias("role"), "text")
+    near = later.select(*KEY, F.col("w").alias("to"), F.col("p0").alias("until"), F.explode(F.array_distinct(F.array(F.expr(f"greatest(0, p0 - {history}) div {history}"), F.expr(f"(p0 - 1) div {history}")))).alias("b"))
+    past = rows.where("not head").select(*KEY, F.expr(f"p div {history}").alias("b"), "p", "idx", "role", "text")
+    again = past.join(near, [*KEY, "b"]).where(f"p < until and p >= until - {history}").select(*KEY, F.col("to").alias("w"), "idx", F.lit(True).alias("repeated"), "role", "text")
+    return render(own.union(kept).union(again)).withColumn("conv_id", F.when(~F.col("nil"), F.col("conv")).cast(turns.schema["conv_id"].dataType)).select("conv_id", "window", "formatted", "loss_spans", "n_repeated")
 
 
 def render(rows: DataFrame) -> DataFrame:
     """Turns of each window in order, in the template; a window has as many turns as the budget lets it."""
     part = F.struct("idx", "repeated", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("before"), escape(F.col("text")).alias("body"), (~F.col("repeated") & (F.col("role") == "assistant")).alias("target"))
-    grouped = rows.select("conv_id", "w", part.alias("x")).groupBy("conv_id", "w").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    grouped = rows.select(*KEY, "w", part.alias("x")).groupBy(*KEY, "w").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     spans = F.aggregate(
         "xs",
         F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans")),
@@ -108,7 +108,7 @@ def render(rows: DataFrame) -> DataFrame:
         lambda a: a.spans,
     )
     formatted = F.array_join(F.transform("xs", lambda x: F.concat(x.before, x.body, F.lit(END))), "")
-    return grouped.select("conv_id", F.col("w").alias("window"), formatted.alias("formatted"), spans.alias("loss_spans"), F.size(F.filter("xs", lambda x: x.repeated)).alias("n_repeated"))
+    return grouped.select(*KEY, F.col("w").alias("window"), formatted.alias("formatted"), spans.alias("loss_spans"), F.size(F.filter("xs", lambda x: x.repeated)).alias("n_repeated"))
 
 
 def read_turns(formatted: Column, n_repeated: Column) -> Column:
