@@ -40,6 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For costly expressions: a scan with fewer tasks than cores, such as one small file, is dealt out first. A scan of
+    many files has tasks enough and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -226,18 +233,18 @@ SQL_CLEAN = sql_strip("regexp_replace(regexp_replace(" + sql_marks(SQL_TAGS.form
 
 @query(f"SELECT doc_id, {SQL_FRONT.format('t')} AS front, {SQL_CODE.format('t')} AS code, {SQL_TAGS.format('t')} AS tags FROM (SELECT doc_id, {MARKED} AS t FROM documents)")
 def markdown_strip(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", marked().alias("t"))
     return d.select("doc_id", strip_frontmatter(F.col("t")).alias("front"), strip_code(F.col("t")).alias("code"), strip_tags(F.col("t")).alias("tags"))
 
 
 @query(f"SELECT doc_id, {sql_marks('t')} AS marks FROM (SELECT doc_id, {MARKED} AS t FROM documents)")
 def markdown_marks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", marked().alias("t")).select("doc_id", clean_marks(F.col("t")).alias("marks"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", marked().alias("t")).select("doc_id", clean_marks(F.col("t")).alias("marks"))
 
 
 @query(f"SELECT doc_id, {SQL_CLEAN} AS cleaned FROM (SELECT doc_id, {MARKED} AS t FROM documents)")
 def markdown_clean(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", marked().alias("t"))
     return d.select("doc_id", normalize_space(clean_marks(strip_tags(strip_code(strip_frontmatter(F.col("t")))))).alias("cleaned"))
 
 
@@ -249,7 +256,7 @@ p AS (SELECT doc_id, unnest(list_filter(list_transform({PARAGRAPHS.format('x')},
 SELECT doc_id, CAST(sum(CASE WHEN length(para) BETWEEN 50 AND 2000 THEN 1 ELSE 0 END) AS BIGINT) AS n_whole, CAST(sum(CASE WHEN length(para) > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS n_long FROM p GROUP BY 1""")
 def paragraph_split(spark, sf_dir):
     o = chunks.ChunkOptions()
-    d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t")).select("doc_id", chunks.cleaned(F.col("t"), o).alias("x"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", marked().alias("t")).select("doc_id", chunks.cleaned(F.col("t"), o).alias("x"))
     paras = F.filter(F.transform(F.split("x", r"(?U)\n\s*\n"), lambda p: F.regexp_replace(p, r"(?U)\A\s+|\s+\z", "")), lambda p: (p != "") & ~p.rlike(r"\A#{1,6}\s+"))
     p = d.select("doc_id", F.explode(paras).alias("p"))
     n = F.length("p")
@@ -279,25 +286,25 @@ def sql_chunk_rows(chunked: str) -> str:
 
 @query(sql_chunk_rows(sql_paragraph_chunks("x", 50, 2000)))
 def markdown_paragraph_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", marked().alias("t"))
     return long_idx(chunks.markdown_chunks(d, "t", ["doc_id"]))
 
 
 @query(sql_chunk_rows(sql_section_chunks("x", 50, 1000)))
 def markdown_section_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", marked().alias("t"))
     return long_idx(chunks.markdown_chunks(d, "t", ["doc_id"], chunks.ChunkOptions(chunk_by="section", max_chars=1000)))
 
 
 @query(sql_chunk_rows(f"CASE WHEN length(x) BETWEEN 50 AND 2000 THEN [x] ELSE {sql_section_chunks('x', 50, 2000)} END"))
 def markdown_document_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", marked().alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", marked().alias("t"))
     return long_idx(chunks.markdown_chunks(d, "t", ["doc_id"], chunks.ChunkOptions(chunk_by="document")))
 
 
 @query("SELECT doc_id, CAST(len(string_split(regexp_replace(text, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1))) AS BIGINT) AS n_sentences FROM documents")
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(chunks.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.size(chunks.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
 SQL_FACTS = f"list_transform(list_filter(list_transform(flatten(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_split_to_array({sql_strip('s')}, '(?i)\\s+(?:and|but|however|also|additionally)\\s+'))), lambda p: {sql_strip('p')}), lambda p: length(p) > 10), lambda p: lower(p))"
@@ -305,12 +312,12 @@ SQL_FACTS = f"list_transform(list_filter(list_transform(flatten(list_transform(r
 
 @query(f"SELECT doc_id, unnest({SQL_FACTS}) AS fact FROM documents")
 def atomic_fact_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(atomic_facts(F.col("text"))).alias("fact"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(atomic_facts(F.col("text"))).alias("fact"))
 
 
 @query("SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(c, '\\A\\s+|\\s+\\z', '', 'g'), chr(10)), lambda l: trim(l) <> '' AND trim(l)[1] <> '#')) AS BIGINT) AS n FROM (SELECT doc_id, '# note' || chr(10) || chr(10) || text || chr(10) || '  # end' AS c FROM documents)")
 def logical_line_count(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# note\n\n"), "text", F.lit("\n  # end")).alias("c"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("# note\n\n"), "text", F.lit("\n  # end")).alias("c"))
     return d.select("doc_id", logical_lines(F.col("c")).cast("long").alias("n"))
 
 
@@ -333,13 +340,13 @@ def sql_normalize(x: str) -> str:
 
 @query(f"SELECT doc_id, {sql_normalize('t')} AS normalized FROM (SELECT doc_id, 'CEO → rev +15% YoY | 3 yrs, fn(x) -2.5% & q1: 40% ' || text AS t FROM documents)")
 def normalized_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("CEO → rev +15% YoY | 3 yrs, fn(x) -2.5% & q1: 40% "), "text").alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("CEO → rev +15% YoY | 3 yrs, fn(x) -2.5% & q1: 40% "), "text").alias("t"))
     return d.select("doc_id", normalize_for_comparison(F.col("t")).alias("normalized"))
 
 
 def shifted(spark, sf_dir):
     """Every document with the one before it, by id."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
 
 
@@ -381,7 +388,7 @@ def _any(x: str) -> str:
 s AS (SELECT doc_id, CASE WHEN {sql_strip('t')} = '' THEN 0.0 ELSE 0.7 * (len(list_filter(ls, lambda l: {_any('l')})) / len(ls)) + 0.3 * (({' + '.join(f"CAST(regexp_matches(t, '{p}') AS INT)" for p in SQL_SIGNS)}) / 13.0) END AS score FROM c)
 SELECT doc_id, round(score, 6) AS score, CASE WHEN score > 0.7 THEN 'code' WHEN score > 0.3 THEN 'mixed' ELSE 'nl' END AS domain FROM s""")
 def domain_classify(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", coded().alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", coded().alias("t"))
     return d.select("doc_id", r6(code_score(F.col("t"))).alias("score"), classify(F.col("t"))["domain"].alias("domain"))
 
 
@@ -393,7 +400,7 @@ s AS (SELECT doc_id, t, ls, {sql_strip('t')} = '' AS blank, CASE WHEN {sql_strip
 SELECT doc_id, CASE WHEN score > 0.7 THEN 'code' WHEN score > 0.3 THEN 'mixed' ELSE 'nl' END AS domain, CASE WHEN blank THEN 0.0 ELSE round(CASE WHEN score > 0.7 THEN least(score + 0.1, 1.0) WHEN score > 0.3 THEN 0.6 + (score - 0.3) * 0.5 WHEN prose >= 3 THEN 1.0 - score ELSE 0.7 END, 3) END AS confidence, round(score, 3) AS code_ratio,
 array_to_string(list_filter([{', '.join(f"CASE WHEN len(list_filter(ls, lambda l: regexp_matches(l, '{p}'))) > 0 THEN '{n}' END" for n, p in zip(CODE, SQL_SIGNS, strict=True))}], lambda n: n IS NOT NULL)[1:5], ',') AS indicators FROM s""")
 def domain_classify_detailed(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", coded().alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", coded().alias("t"))
     return d.select("doc_id", classify(F.col("t")).alias("x")).select("doc_id", "x.domain", "x.confidence", "x.code_ratio", F.array_join("x.indicators", ",").alias("indicators"))
 
 
@@ -413,27 +420,27 @@ SQL_COUNT = "CAST(len(regexp_extract_all({}, '[A-Za-z0-9]{{1,4}}|[^A-Za-z0-9 \\t
 SELECT doc_id, v AS verbose_tokens, c AS compressed_tokens, round(CASE WHEN v > 0 THEN c / v ELSE 1.0 END, 6) AS ratio, round((1.0 - CASE WHEN v > 0 THEN c / v ELSE 1.0 END) * 100.0, 6) AS reduction FROM t""")
 def token_reduction(spark, sf_dir):
     half = F.substring("text", F.lit(1), F.expr("cast(length(text) div 2 as int)"))
-    d = table(spark, sf_dir, "documents").select("doc_id", regex_token_count(F.col("text")).cast("long").alias("verbose_tokens"), regex_token_count(half).cast("long").alias("compressed_tokens"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", regex_token_count(F.col("text")).cast("long").alias("verbose_tokens"), regex_token_count(half).cast("long").alias("compressed_tokens"))
     ratio = compression_ratio(F.col("verbose_tokens"), F.col("compressed_tokens"))
     return d.select("*", r6(ratio).alias("ratio"), r6(reduction_percent(ratio)).alias("reduction"))
 
 
 @query(f"SELECT lang, round(sum({SQL_COUNT.format('substr(text, 1, 100)')}) / sum({SQL_COUNT.format('text')}), 6) AS ratio FROM documents GROUP BY 1")
 def corpus_ratio(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", regex_token_count(F.col("text")).alias("v"), regex_token_count(F.substring("text", 1, 100)).alias("c"))
+    d = spread(table(spark, sf_dir, "documents")).select("lang", regex_token_count(F.col("text")).alias("v"), regex_token_count(F.substring("text", 1, 100)).alias("c"))
     return d.groupBy("lang").agg(r6(F.sum("c") / F.sum("v")).alias("ratio"))
 
 
 @query(f"SELECT doc_id, 'openai' AS tokenizer, {SQL_COUNT.format('text')} AS tokens FROM documents UNION ALL SELECT doc_id, 'claude', {SQL_COUNT.format('text')} FROM documents UNION ALL SELECT doc_id, 'gemini', {SQL_COUNT.format('text')} FROM documents")
 def token_counts_by_tokenizer(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(token_counts(F.col("text"))).alias("tokenizer", "tokens"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(token_counts(F.col("text"))).alias("tokenizer", "tokens"))
     return d.withColumn("tokens", F.col("tokens").cast("long"))
 
 
 @query(f"SELECT doc_id, round({SQL_COUNT.format('text')} / 1000000.0 * CASE doc_id % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 0.15 ELSE 1.0 END, 9) AS cost FROM documents")
 def text_price(spark, sf_dir):
     model = F.element_at(F.array(*map(F.lit, ["claude-sonnet-4-20250514", "gpt-4o-mini", "other"])), (F.col("doc_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text_cost(model, regex_token_count(F.col("text"))), 9).alias("cost"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.round(text_cost(model, regex_token_count(F.col("text"))), 9).alias("cost"))
 
 
 @query("SELECT doc_id, substr(sha256(lang || ':' || text || ':' || source), 1, 16) AS pair_hash, 'claude:' || substr(sha256(text), 1, 32) || ':model=m_temp=0.4' AS cache_key, substr(md5(text), 1, 16) AS text_hash FROM documents")
