@@ -2,6 +2,9 @@
 
 The tables hold plain prose, so operators on marked-up text, code or logs get a column that the query makes from it;
 the SQL makes the same one. All queries read whole tables. Every result is flat and its columns are named alike.
+
+Some queries cut the texts that they read, as their SQL does (README, "Queries that cut texts"); the query named alike
+with `_whole` at its end reads whole texts.
 """
 
 from __future__ import annotations
@@ -597,6 +600,21 @@ def loss_mask_tokens(spark, sf_dir):
     return x.select("item_id", join("x.tokens").alias("tokens"), join("x.target_tokens").alias("targets"), join("x.weights").alias("weights"))
 
 
+@query("""WITH h AS (SELECT item_id, 'ab' || chr(10) || substr(text, 1, length(text) // 2) AS user_text, substr(text, length(text) // 2 + 1) AS reply FROM benchmark),
+c AS (SELECT item_id, list_transform(regexp_extract_all(user_text, '(?s).'), lambda x: unicode(x)) AS p, list_transform(regexp_extract_all(reply, '(?s).'), lambda x: unicode(x)) AS c FROM h),
+a AS (SELECT item_id, list_concat(p, c) AS ids, list_concat(list_transform(p, lambda x: 0), list_transform(c, lambda x: 1)) AS w FROM c)
+SELECT item_id, array_to_string(ids[1 : len(ids) - 1], ',') AS tokens, array_to_string(ids[2 :], ',') AS targets, array_to_string(w[2 :], ',') AS weights FROM a""")
+def loss_mask_tokens_whole(spark, sf_dir):
+    """loss_mask_tokens without its cut: the first half of each whole text is the user turn, all the rest the assistant turn."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    said = [("system", F.lit("ab")), ("user", F.substring("text", 1, half)), ("assistant", F.substring("text", half + 1, F.length("text")))]
+    b = table(spark, sf_dir, "benchmark").withColumn("messages", F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in said)))
+    p, c = prompt_and_completion(F.col("messages"))
+    x = b.select("item_id", masked_example(char_codes(p), char_codes(c)).alias("x"))
+    join = lambda a: F.array_join(F.transform(a, lambda y: y.cast("string")), ",")
+    return x.select("item_id", join("x.tokens").alias("tokens"), join("x.target_tokens").alias("targets"), join("x.weights").alias("weights"))
+
+
 @query("SELECT regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS input_text FROM documents WHERE regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') <> ''")
 def evaluation_examples(spark, sf_dir):
     return training.test_examples(training.chat_rows(pairs(spark, sf_dir))).select("input_text")
