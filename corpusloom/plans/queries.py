@@ -407,6 +407,27 @@ def domain_classify_detailed(spark, sf_dir):
     return d.select("doc_id", classify(F.col("t")).alias("x")).select("doc_id", "x.domain", "x.confidence", "x.code_ratio", F.array_join("x.indicators", ",").alias("indicators"))
 
 
+WHOLE_CODED = "CASE doc_id % 4 WHEN 0 THEN 'import os' || chr(10) || 'def run(x):' || chr(10) || '    return x;' || chr(10) || text WHEN 1 THEN 'class A:' || chr(10) || '  v: int = 1;' || chr(10) || 'if (a) => {' || chr(10) || text ELSE text END"
+
+
+def whole_coded():
+    """coded() without its cuts: the code stands before the whole text."""
+    k = F.col("doc_id") % 4
+    return F.when(k == 0, F.concat(F.lit("import os\ndef run(x):\n    return x;\n"), "text")).when(k == 1, F.concat(F.lit("class A:\n  v: int = 1;\nif (a) => {\n"), "text")).otherwise(F.col("text"))
+
+
+@query(SQL["domain_classify"].replace(CODED, WHOLE_CODED))
+def domain_classify_whole(spark, sf_dir):
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", whole_coded().alias("t"))
+    return d.select("doc_id", r6(code_score(F.col("t"))).alias("score"), classify(F.col("t"))["domain"].alias("domain"))
+
+
+@query(SQL["domain_classify_detailed"].replace(CODED, WHOLE_CODED))
+def domain_classify_detailed_whole(spark, sf_dir):
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", whole_coded().alias("t"))
+    return d.select("doc_id", classify(F.col("t")).alias("x")).select("doc_id", "x.domain", "x.confidence", "x.code_ratio", F.array_join("x.indicators", ",").alias("indicators"))
+
+
 @query("SELECT doc_id, text AS cleaned FROM (SELECT doc_id, regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS text FROM documents)")
 def generated_cleanup(spark, sf_dir):
     k = F.col("doc_id") % 3

@@ -29,3 +29,25 @@ def test_loss_mask_reads_whole_texts(spark, tables):
 def test_loss_mask_whole_sql(spark):
     d = "/root/testdata/sf0.01"
     same_as_sql("loss_mask_tokens_whole", queries.QUERIES["loss_mask_tokens_whole"](spark, d).collect(), d)
+
+
+def test_classifiers_read_whole_texts(spark, tables):
+    from tests.test_text import py_classify
+
+    code, prose = "const a = 1;\n@mark\nasync function go() {\n", "Some plain words go on. And the end?\n"
+    texts = [prose * 10 + code * 9, code * 9, prose * 3 + code, code * 3 + prose * 40, "", " ", code * 20, prose, prose * 9 + "x: int"]
+    d = tables(documents=(list(enumerate(texts)), "doc_id long, text string"))
+    heads = {0: "import os\ndef run(x):\n    return x;\n", 1: "class A:\n  v: int = 1;\nif (a) => {\n"}
+    plain = {r.doc_id: r for r in queries.QUERIES["domain_classify_whole"](spark, d).collect()}
+    full = {r.doc_id: r for r in queries.QUERIES["domain_classify_detailed_whole"](spark, d).collect()}
+    assert len(plain) == len(full) == len(texts)
+    for i, t in enumerate(texts):
+        domain, sure, score, shown = py_classify(heads.get(i % 4, "") + t)
+        assert plain[i].domain == full[i].domain == domain and abs(plain[i].score - score) <= 1e-6, t
+        assert full[i].indicators == ",".join(shown) and abs(full[i].confidence - sure) <= 6e-4 and abs(full[i].code_ratio - score) <= 6e-4, t
+
+
+def test_classifiers_whole_sql(spark):
+    d = "/root/testdata/sf0.01"
+    for name in ("domain_classify_whole", "domain_classify_detailed_whole"):
+        same_as_sql(name, queries.QUERIES[name](spark, d).collect(), d)
