@@ -7,6 +7,10 @@ longest increasing subsequence is kept, and the gaps between anchors are aligned
 by word. Coverage is the share of the template's words that the best window's alignment matches. The counts bound the
 coverage of a window from above, so no window that could reach the threshold is passed over.
 
+Short templates, whose siblings can differ in one word, count as a license only when covered in full; covered to the
+threshold, such as a notice with one word changed, they are reported as near with their coverage, and so are the
+siblings of a notice that is there in full.
+
 Defined results: words as elsewhere here (ASCII letters and digits, non-ASCII characters, in lower case); null, empty
 and wordless texts match nothing; several templates can match one text; the best has the greatest coverage, then the
 most matched words, then the first name; equal texts give equal results, repeated rows repeated ones; an empty table
@@ -110,16 +114,17 @@ class Template:
         self.name, self.words = name, split(data, offs).hashes.tolist()
         self.counts = Counter(self.words)
         self.vocabulary = np.unique(np.array(self.words, np.uint64))
-        self.least = len(self.words) if len(self.words) < SHORT else int(np.ceil(threshold * len(self.words) - 1e-9))
+        self.near = int(np.ceil(threshold * len(self.words) - 1e-9))  # words to be reported, and to count as a license
+        self.least = len(self.words) if len(self.words) < SHORT else self.near
         self.width = int(np.ceil(SPREAD * len(self.words)))
 
 
 def candidates(template: Template, hits: np.ndarray, first: np.ndarray) -> np.ndarray:
     """First words of all windows with enough words of the template; a window starts with one and stays in its text."""
-    if len(hits) < template.least:
+    if len(hits) < template.near:
         return hits[:0]
     stop = np.minimum(hits + template.width, first[np.searchsorted(first, hits, "right")])
-    return hits[np.searchsorted(hits, stop) - np.arange(len(hits)) >= template.least]
+    return hits[np.searchsorted(hits, stop) - np.arange(len(hits)) >= template.near]
 
 
 def best_alignment(template: Template, words: np.ndarray, starts: list[int], end: int) -> tuple[int, int, int]:
@@ -127,7 +132,7 @@ def best_alignment(template: Template, words: np.ndarray, starts: list[int], end
     best = 0, 0, 0
     for a in starts:
         own = words[a : min(a + template.width, end)].tolist()
-        if (Counter(own) & template.counts).total() < max(template.least, best[0] + 1):
+        if (Counter(own) & template.counts).total() < max(template.near, best[0] + 1):
             continue
         pairs = align(own, template.words)
         if len(pairs) > best[0]:
@@ -139,7 +144,9 @@ def best_alignment(template: Template, words: np.ndarray, starts: list[int], end
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple = (), templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The `keep` columns and license (best or null), coverage, n_matched, start and stop of the match in code points,
-    and licenses (all names at or above the threshold, sorted, joined by `|`)."""
+    and licenses (all names, sorted, joined by `|`); then near_license, near_coverage, near_start and near_stop of the
+    best short template that reaches the threshold but is not covered in full, and near (all of these, best first, each
+    with a colon and its coverage to six digits, joined by `|`)."""
     small_batches(docs.sparkSession)
     known = [Template(k, v, threshold) for k, v in sorted((templates or TEMPLATES).items())]
     known = [t for t in known if t.words]
@@ -161,27 +168,32 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple = (), tem
             ok = every[near] == w.hashes[spot]
             spot, near = spot[ok], near[ok]
             found: dict[int, list] = {}
+            close: dict[int, list] = {}
             for k, template in enumerate(known):
                 starts = candidates(template, spot[has[k][near]], w.first)
                 text = np.searchsorted(w.first, starts, "right") - 1
                 for i in np.unique(text).tolist():
                     n, x, y = best_alignment(template, w.hashes, starts[text == i].tolist(), int(w.first[i + 1]))
-                    if n >= template.least:
-                        found.setdefault(i, []).append((-n / len(template.words), -n, template.name, x, y))
+                    if n >= template.near:
+                        (found if n >= template.least else close).setdefault(i, []).append((-n / len(template.words), -n, template.name, x, y))
             rows = []
             for i in range(batch.num_rows):
-                if i not in found:
-                    rows.append((None, 0.0, 0, None, None, ""))
-                    continue
-                share, n, name, x, y = min(found[i])
-                raw = data[offs[i] : offs[i + 1]].tobytes()
-                place = lambda b: len(raw[: b - offs[i]].decode())  # noqa: E731, B023
-                rows.append((name, -share, -n, place(w.starts[x]), place(w.ends[y]), "|".join(sorted(f[2] for f in found[i]))))
-            types = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            names = ["license", "coverage", "n_matched", "start", "stop", "licenses"]
+                row = [None, 0.0, 0, None, None, "", None, 0.0, None, None, ""]
+                if i in found or i in close:
+                    raw = data[offs[i] : offs[i + 1]].tobytes()
+                    place = lambda b: len(raw[: b - offs[i]].decode())  # noqa: E731, B023
+                if i in found:
+                    share, n, name, x, y = min(found[i])
+                    row[:6] = name, -share, -n, place(w.starts[x]), place(w.ends[y]), "|".join(sorted(f[2] for f in found[i]))
+                if i in close:
+                    share, _, name, x, y = min(close[i])
+                    row[6:] = name, -share, place(w.starts[x]), place(w.ends[y]), "|".join(f"{f[2]}:{-f[0]:.6f}" for f in sorted(close[i]))
+                rows.append(row)
+            types = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+            names = ["license", "coverage", "n_matched", "start", "stop", "licenses", "near_license", "near_coverage", "near_start", "near_stop", "near"]
             yield pa.RecordBatch.from_arrays([column(batch, k) for k in carried] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*carried, *names])
 
-    out = source.mapInArrow(run, kinds + "license string, coverage double, n_matched long, start long, stop long, licenses string")
+    out = source.mapInArrow(run, kinds + "license string, coverage double, n_matched long, start long, stop long, licenses string, near_license string, near_coverage double, near_start long, near_stop long, near string")
     return out.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
 
 

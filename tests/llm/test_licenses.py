@@ -111,3 +111,31 @@ def test_query_against_brute_force(spark, tables):
         share, n, name = min(found, default=(0.0, 0, None))
         assert (got[i].license, round(got[i].coverage, 9), got[i].n_matched) == (name, round(-share, 9), -n), t
         assert got[i].licenses == "|".join(sorted(f[2] for f in found))
+
+
+def test_edited_short_notices_are_reported(spark):
+    from corpusloom.llm.licenses import SHORT
+    from tests.llm.test_decontaminate import words
+
+    rng, rows = random.Random(11), []
+    for name, text in TEMPLATES.items():
+        own = words(text)
+        if len(own) < SHORT:
+            for k in range(len(own)):
+                for new in (["zzz"], [], [own[k], "zzz"]):
+                    rows.append((len(rows), " ".join(own[:k] + new + own[k + 1 :]), name, len(own) - (own[k] not in new)))
+    said = [("Licensed under the MIT License", "MIT notice", 4), ("Licensed under the Apache License, Version 2", "Apache-2.0 notice", 7)]
+    rows += [(i, *x) for i, x in enumerate(said, len(rows))]
+    docs = [(i, prose(rng, 40) + " qqq " * 30 + t + " qqq " * 30 + prose(rng, 40)) for i, t, _, _ in rows]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), keep=("doc_id",)).collect()}
+    for i, t, name, n in rows:
+        size, r = len(words(TEMPLATES[name])), got[i]
+        near = dict(x.rsplit(":", 1) for x in r.near.split("|") if x)
+        if n == size:
+            assert name in r.licenses.split("|") and name not in near, t
+        elif n >= 0.8 * size - 1e-9:
+            assert name not in r.licenses.split("|") and abs(float(near[name]) - n / size) < 1e-6, t
+            assert r.near_coverage >= n / size - 1e-9 and docs[i][1][r.near_start : r.near_stop] in t, t
+        else:
+            assert name not in near, t
+    assert [got[len(rows) - 2 + i].near_license for i in range(2)] == [x[1] for x in said]
