@@ -139,3 +139,24 @@ def test_edited_short_notices_are_reported(spark):
         else:
             assert name not in near, t
     assert [got[len(rows) - 2 + i].near_license for i in range(2)] == [x[1] for x in said]
+
+
+def test_sibling_licenses_are_told_apart(spark):
+    gpl3 = TEMPLATES["GPL-3.0 header"]
+    siblings = {
+        "GPL-3.0 header": gpl3,
+        "GPL-2.0 header": gpl3.replace("version 3", "version 2"),
+        "AGPL-3.0 header": gpl3.replace("GNU General", "GNU Affero General"),
+        "LGPL-3.0 header": gpl3.replace("GNU General", "GNU Lesser General"),
+        "BSD-2-Clause": TEMPLATES["BSD-2-Clause"],
+        "BSD-3-Clause": TEMPLATES["BSD-2-Clause"] + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+        "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX GPL-2.0-only": "# SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX GPL-2.0-or-later": "# SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX MIT": "// SPDX-License-Identifier: MIT",
+        "SPDX CC-BY-NC-4.0": "SPDX-License-Identifier: CC-BY-NC-4.0",
+    }
+    rows = [(i, "some words first\n" + t + "\nand the rest") for i, t in enumerate(siblings.values())]
+    got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id",)).collect()}
+    assert [got[i] for i in range(len(rows))] == list(siblings)
