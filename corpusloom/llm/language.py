@@ -5,8 +5,9 @@ Every language has a codeword of +1 and -1; for every bit a linear classifier ov
 how well its classifier separates the training rows; `score` is the gap between the nearest and the next codeword as a
 share of their sum, and a text whose score is under `AMBIGUOUS` is flagged.
 
-Training uses a sample bounded by `PER_LANGUAGE` rows of each language and `TRAINING_ROWS` in all, on average, chosen by
-a hash of the id over all labelled training rows; only n-gram frequencies of these rows reach the driver. Prediction reads the text alone.
+Training uses at most `PER_LANGUAGE` rows of each language and `TRAINING_ROWS` in all (but one of each language at
+least): those with the least hashes of id and text among all its labelled training rows. Only some hashes and the n-gram
+frequencies of these rows reach the driver; a repeated row comes once, with its count. Prediction reads the text alone.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing was learned; with one learned
 language every other text gets it with score 1; a null id is not held out; equal texts get equal results, repeated rows
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import column, pieces, positional, small_batches, table
 from .words import LOWER, randoms
 
-#: Orders of the n-grams, buckets that they are hashed to, training rows of a language (about), and the ridge.
+#: Orders of the n-grams, buckets that they are hashed to, most training rows of a language, and the ridge.
 ORDERS, BUCKETS, PER_LANGUAGE, RIDGE = (1, 2, 3, 4), 4096, 500, 1e-3
-#: Training rows in all (about), shared equally when there are many languages.
+#: Most training rows in all, shared equally when there are many languages.
 TRAINING_ROWS = 4000
 #: Below this score a text's language is ambiguous. Columns of a code for more than five languages, for each doubling.
 AMBIGUOUS, COLUMNS = 0.05, 10
@@ -101,6 +102,34 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def up_to(most: dict[str, int]):
+    """Whether a row's hash is at most that of its language; languages without one are left out."""
+    return F.col("h") <= F.element_at(F.create_map(*(F.lit(x).cast(t) for k, v in most.items() for x, t in ((k, "string"), (v, "long")))), F.col("l"))
+
+
+def least_hashes(rows: DataFrame, counts: dict[str, int], each: int) -> dict[str, dict[int, int]]:
+    """The `each` least hashes of every language, with the times that they are taken. Only hashes below a limit are
+    counted, which twice as many rows should pass; where repeated rows leave too few, the limit is raised."""
+    out, share = {}, {k: min(1.0, (2 * each + 64) / n) for k, n in counts.items()}
+    while share:
+        most = {k: min(int(x * 2**64), 2**64 - 1) - 2**63 for k, x in share.items()}
+        met: dict[str, list] = {k: [] for k in share}
+        for r in rows.where(up_to(most)).groupBy("l", "h").agg(F.count("*").alias("n")).toLocalIterator():
+            met[r.l].append((r.h, r.n))
+        for k, pairs in met.items():
+            left, taken = each, {}
+            for h, n in sorted(pairs):
+                if left:
+                    taken[h] = min(n, left)
+                    left -= taken[h]
+            if not left or share[k] == 1:
+                out[k] = taken
+                del share[k]
+            else:
+                share[k] = min(1.0, 16 * share[k])
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, training_rows: int = TRAINING_ROWS) -> Model:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
@@ -109,15 +138,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages = sorted(counts)
     if len(languages) < 2:
         return Model(languages, np.zeros((0, BUCKETS)), np.zeros(0, int))
-    each = min(per_language, training_rows / len(languages))
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n)))), F.col("l"))
+    each = max(1, int(min(per_language, training_rows / len(languages))))
+    rows = rows.withColumn("h", F.xxhash64("i", "t"))
+    weights = least_hashes(rows, counts, each)
 
     def run(batches):
         for batch, data, offs in pieces(batches, "t"):
-            yield pa.RecordBatch.from_arrays([column(batch, "l"), pa.array([x.tobytes() for x in frequencies(data, offs).astype(np.float16)], pa.binary())], names=["l", "x"])
+            yield pa.RecordBatch.from_arrays([column(batch, "l"), column(batch, "h"), pa.array([x.tobytes() for x in frequencies(data, offs).astype(np.float16)], pa.binary())], names=["l", "h", "x"])
 
-    chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
-    found = sorted((r.l, bytes(r.x)) for r in chosen.mapInArrow(run, "l string, x binary").toLocalIterator())
+    chosen = rows.where(up_to({k: max(w) for k, w in weights.items()})).groupBy("l", "h").agg(F.first("t").alias("t"))
+    found = sorted((r.l, bytes(r.x), r.h) for r in chosen.mapInArrow(run, "l string, h long, x binary").toLocalIterator())
+    found = [(k, x) for k, x, h in found for _ in range(weights[k][h])]
     seen = sorted({k for k, _ in found})
     values = np.frombuffer(b"".join(x for _, x in found), np.float16).astype(np.float32).reshape(len(found), BUCKETS)
     return Model(seen, values, np.array([seen.index(k) for k, _ in found], int))

@@ -64,3 +64,20 @@ def test_stage_and_empty_table(spark, tables):
     out = drop_unidentified(spark, frame, "")
     assert out.columns == frame.columns and sorted(map(tuple, out.collect())) == sorted(rows[:60])
     assert op6_language_id(spark, tables(documents=([], SCHEMA))).count() == 0
+
+
+def test_training_sample_is_bounded_and_no_language_is_left_out(spark, monkeypatch):
+    from corpusloom.llm import language
+
+    own = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(None, f"the word {i} of null ids", "en") for i in range(400)]
+    rows += [(own[0], f"das Wort {i} zu einer Nummer", "de") for i in range(400)]
+    rows += [(own[1], "le mot tout pareil", "fr")] * 400 + [(k, f"la palabra {k} de todos", "es") for k in own[2:5]]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string, lang string"), []
+    model = language.Model
+    monkeypatch.setattr(language, "Model", lambda names, x, y: seen.append((names, len(x), np.bincount(y).tolist())) or model(names, x, y))
+    train(docs, per_language=20)
+    train(docs, training_rows=40)
+    train(docs.where("lang <> 'es'").repartition(7), per_language=20)
+    names = ["de", "en", "es", "fr"]
+    assert seen == [(names, 63, [20, 20, 3, 20]), (names, 33, [10, 10, 3, 10]), (["de", "en", "fr"], 60, [20, 20, 20])]
