@@ -186,8 +186,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows whose language can't be told (null, no letter, or nothing to learn from) go."""
+    """Pipeline stage: rows without a letter (null ones too) go. The decoded language and `ambiguous` decide nothing here,
+    and with nothing to learn from, rows with a letter stay."""
     plain = positional(docs)
     i, t, l = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text", "lang"))
-    out = identify(plain, train(plain, i, t, l), t, tuple(plain.columns))
+    model = train(plain, i, t, l)
+    if not model.languages:
+        return plain.where(F.col(t).rlike(r"\p{L}")).toDF(*docs.columns)
+    out = identify(plain, model, t, tuple(plain.columns))
     return out.where("lang_pred <> 'und'").select(plain.columns).toDF(*docs.columns)

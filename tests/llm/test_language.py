@@ -81,3 +81,9 @@ def test_training_sample_is_bounded_and_no_language_is_left_out(spark, monkeypat
     train(docs.where("lang <> 'es'").repartition(7), per_language=20)
     names = ["de", "en", "es", "fr"]
     assert seen == [(names, 63, [20, 20, 3, 20]), (names, 33, [10, 10, 3, 10]), (["de", "en", "fr"], 60, [20, 20, 20])]
+
+
+def test_stage_keeps_letters_when_nothing_was_learned(spark):
+    rows = [(1, "plain words", None), (2, None, None), (3, "12 !?", None), (4, "é", None), (5, "", None), (None, "слово", None)]
+    out = drop_unidentified(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted((r.text, r.doc_id) for r in out.collect()) == [("plain words", 1), ("é", 4), ("слово", None)]
