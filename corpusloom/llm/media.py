@@ -7,6 +7,8 @@ It needs no codec: only box headers and sample tables are read, payload bytes ar
 Defined results: null text is empty text; an empty payload is padded to one whole sample block; a null or broken
 container yields a feature `broken:<reason>` and no ranges; equal texts give equal containers, repeated rows give
 repeated results; an empty table gives an empty result; columns that are not named in a call are not read.
+
+Limits: only the first track that has samples or fragments is described, and of a track with both only its `moov` samples.
 """
 
 from __future__ import annotations
