@@ -27,7 +27,7 @@ from .words import LOWER, Words, split
 
 #: Words of a window, and bytes of benchmark text in one broadcast.
 WINDOW, PART_BYTES = 13, 16 << 20
-#: contaminated: at least one of so many words is hit.
+#: contaminated: at least one of so many words is hit. The pipeline stage asks it of items shorter than a window alone.
 SHARE = 20
 
 
@@ -132,7 +132,8 @@ def benchmark_parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, keep: tuple | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The `keep` columns (the id by default) and n_words, n_hit, n_items, items_sha256, contaminated of each row."""
+    """The `keep` columns (the id by default) and n_words, n_hit, n_items, items_sha256, contaminated of each row, and
+    full_window: whether a window of `size` words occurs, however long the text is."""
     keep = (id_col,) if keep is None else tuple(keep)
     spark = docs.sparkSession
     small_batches(spark)
@@ -142,15 +143,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     flat = ", ".join(f"{k} {kinds[k]}" for k in carried)
     for ids, texts, last in benchmark_parts(benchmark, item_col, item_text, part_bytes):
         index = Index(ids, texts, size)
-        index.order(vocabulary_counts(df, "t", index.vocabulary))
+        index.order(vocabulary_counts(docs, text_col, index.vocabulary))
         shared = spark.sparkContext.broadcast(index)
-        df = df.mapInArrow(lambda batches, shared=shared, last=last: scan(batches, shared.value, carried, last), f"{flat}, " + ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "t string, hit binary, found array<string>"))
+        df = df.mapInArrow(lambda batches, shared=shared, last=last: scan(batches, shared.value, size, carried, last), f"{flat}, " + ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, full_window boolean" if last else "t string, hit binary, found array<string>, full boolean"))
         if not last:
             df = cut(df)
     return df.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
 
 
-def scan(batches, index: Index, carried: list[str], last: bool):
+def scan(batches, index: Index, size: int, carried: list[str], last: bool):
     """Adds one part's hits; with the last part the hits become counts."""
     for batch, data, offs in pieces(batches, "t"):
         w = split(data, offs)
@@ -161,6 +162,8 @@ def scan(batches, index: Index, carried: list[str], last: bool):
         np.add.at(edge, start + index.length[window], -1)
         hit = np.cumsum(edge)[:total] > 0
         found: dict[int, set] = {}
+        full = np.zeros(batch.num_rows, bool)
+        full[np.searchsorted(w.first, start[index.length[window] == size], "right") - 1] = True
         if len(start):
             text = np.searchsorted(w.first, start, "right") - 1
             pairs = np.unique(np.stack([text, index.item[window]], 1), axis=0)
@@ -168,6 +171,7 @@ def scan(batches, index: Index, carried: list[str], last: bool):
                 found.setdefault(t, set()).add(index.names[i])
         if "hit" in batch.schema.names:
             old, own = column(batch, "hit").to_pylist(), column(batch, "found").to_pylist()
+            full |= column(batch, "full").to_numpy(zero_copy_only=False)
             for t, (bitmap, names) in enumerate(zip(old, own, strict=True)):
                 a, b = w.first[t], w.first[t + 1]
                 hit[a:b] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=b - a).astype(bool)
@@ -178,25 +182,26 @@ def scan(batches, index: Index, carried: list[str], last: bool):
             sums = np.concatenate([[0], np.cumsum(hit)])
             n_hit = sums[w.first[1:]] - sums[w.first[:-1]]
             digests = [hashlib.sha256(",".join(sorted(found.get(t, ()))).encode()).hexdigest() for t in rows]
-            out = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(found.get(t, ())) for t in rows], pa.int64()), pa.array(digests, pa.string()), pa.array((n_hit > 0) & (SHARE * n_hit >= n))]
-            names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+            out = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(found.get(t, ())) for t in rows], pa.int64()), pa.array(digests, pa.string()), pa.array((n_hit > 0) & (SHARE * n_hit >= n)), pa.array(full)]
+            names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "full_window"]
         else:
             maps = [np.packbits(hit[w.first[t] : w.first[t + 1]]).tobytes() for t in rows]
-            out = [column(batch, "t"), pa.array(maps, pa.binary()), pa.array([sorted(found.get(t, ())) for t in rows], pa.list_(pa.string()))]
-            names = ["t", "hit", "found"]
+            out = [column(batch, "t"), pa.array(maps, pa.binary()), pa.array([sorted(found.get(t, ())) for t in rows], pa.list_(pa.string())), pa.array(full)]
+            names = ["t", "hit", "found", "full"]
         yield pa.RecordBatch.from_arrays([column(batch, k) for k in carried] + out, names=[*carried, *names])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("full_window")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows that are not contaminated, with the columns of docs."""
+    """Pipeline stage: rows in which no window of 13 words of an item occurs and that are not contaminated, with the
+    columns of docs. An item of fewer words can be common speech, so it counts by its share of the text."""
     plain = positional(docs)
     flagged = decontaminate(plain, table(spark, sf_dir, "benchmark"), text_col=plain.columns[docs.columns.index("text")], keep=tuple(plain.columns))
-    return flagged.where(~F.col("contaminated")).select(plain.columns).toDF(*docs.columns)
+    return flagged.where(~F.col("full_window") & ~F.col("contaminated")).select(plain.columns).toDF(*docs.columns)
 
 
 OP4_SQL = r"""

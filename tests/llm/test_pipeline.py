@@ -4,7 +4,7 @@ import corpus_pipeline
 from corpusloom.llm.crf import fit_labelled, labelled_table
 from corpusloom.llm.packing import VOCABULARY
 from corpusloom.llm.pii import all_spans, redact
-from tests.llm.test_decontaminate import brute as contaminated
+from tests.llm.test_decontaminate import dropped
 from tests.llm.test_neighbours import brute as near, grams
 from tests.llm.test_packing import holds
 
@@ -18,7 +18,7 @@ def corpus():
     items = [(i, text("en", 30)) for i in range(3)]
     docs = [(t := text(lang := rng.choice(["en", "fr"]), rng.randrange(20, 300)), lang) for _ in range(80)]
     docs += [(docs[0][0], "en"), (docs[1][0] + " one more", docs[1][1]), (docs[2][0].upper(), docs[2][1])]
-    docs += [(text("en", 60) + " " + items[1][1], "en"), (None, "en"), ("", None), ("12 34 ?!", "fr")]
+    docs += [(text("en", 60) + " " + items[1][1], "en"), (text("en", 500) + " " + items[2][1] + " " + text("en", 500), "en"), (None, "en"), ("", None), ("12 34 ?!", "fr")]
     docs += [(text("en", 50) + " mail a.b@c.de or +1 (504) 555-2652 now", "en"), ('token = "ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e" ' + text("fr", 40), None)]
     return [(i, t, lang, "s", len(t or ""), "c") for i, (t, lang) in enumerate(docs)], items
 
@@ -35,7 +35,9 @@ def test_run_against_brute_force(spark, tables):
     rows = corpus_pipeline.run(spark, d).collect()
     kept = [(i, t) for i, t, *_ in docs if t and any(map(str.isalpha, t))]
     kept = [x for x, (i, c, _, _) in zip(kept, near(kept)) if i == c or not grams(x[1])]
-    kept = [x for x in kept if not contaminated(x[1], items)[-1]]
+    planted = {i for i, t, *_ in docs if t and any(item in t for _, item in items)}
+    kept = [x for x in kept if not dropped(x[1], items)]
+    assert len(planted) == 2 and not planted & {i for i, _ in kept}
     field, library = fit_labelled(labelled_table()), Tokenizer.from_file(VOCABULARY)
     data, offs = as_bytes(pa.array([t for _, t in kept]))
     clean = [redact(t, s) for (_, t), (_, s) in zip(kept, all_spans([t for _, t in kept], data, offs, field))]
@@ -44,7 +46,7 @@ def test_run_against_brute_force(spark, tables):
     got = {}
     for r in rows:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
-    assert got == sizes and holds(rows) <= np.ceil(sum(sizes.values()) / 2048) + 1
+    assert got == sizes and not planted & set(got) and holds(rows) <= np.ceil(sum(sizes.values()) / 2048) + 1
     assert 80 <= len(sizes) < len(docs) - 5
 
 
