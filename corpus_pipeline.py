@@ -8,11 +8,11 @@ return the columns of their documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.common import shared_folder
 from corpusloom.llm.decontaminate import drop_contaminated
 from corpusloom.llm.language import drop_unidentified
 from corpusloom.llm.neighbours import drop_near_duplicates
@@ -34,8 +34,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir. A stage's input is deleted once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-")
-    folder, before = f"{shared}/pipeline-{uuid.uuid4().hex}", None
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         if before:
