@@ -6,12 +6,19 @@
    trie. Rows are sorted by range over (tree, label, digest), so any run of equal labels can be split over tasks. A pass
    over the order gives for each row the length of the prefix that it shares with the one before; rows that share a
    prefix of length d lie side by side, so the links with prefix >= d chain up exactly the nodes of depth d.
-3. Adaptive depth: starting at whole labels, chains at the depth are joined into candidate groups, the groups are
-   verified exactly, and each link found at similarity s counts for 1 / P_d(s) links that exist, P_d being the forest's
-   chance to meet such a pair. While found / estimated is below the target recall, the prefix is shortened by one.
-4. Verification: a group of up to `BLOCK` sets is one unit of work; a larger one is dealt into blocks and every pair of
-   blocks is a unit, so no unit grows with a group. A unit counts links of its sets and their local components; pairs
-   are never emitted. The components of verified links are the classes of near duplicates.
+3. Adaptive depth: starting at whole labels, chains at the depth are joined into candidate groups and the groups are
+   verified exactly. Of the links found, those whose sets share a prefix of the depth were met by the forest itself; one
+   of similarity s stands for 1 / P_d(s) links that exist, P_d being the forest's chance to meet such a pair. While links
+   found / links estimated is below the target recall, the prefix is shortened, to the longest at which the links met so
+   far predict enough; groups that a shorter prefix leaves as they were are not verified again. The shortest prefix is
+   the longest whose chance reaches the target at the threshold itself, so the target holds there by calculation; with
+   no links at all to estimate from, that prefix is used.
+4. Verification: a group of up to `BLOCK` sets is one unit of work. In a larger one every set is first compared with the
+   group's centre, the set of shingles that most of a block of its sets have. Jaccard distance is a metric, so two sets
+   near the centre are linked for sure and two at different distances from it are not; sets are told apart by bands of
+   distance, such pairs are counted by band, and only the remaining pairs of blocks become units. So a group of near
+   copies, whatever its size, costs one comparison a set, and no unit grows with a group. A unit counts links of its
+   sets and their local components; pairs are never emitted. The components of verified links are the classes.
 
 Defined results: words are runs of ASCII letters (A-Z as a-z), digits and non-ASCII characters; a text of fewer than
 five words, but not none, has one shingle; null, empty and wordless texts have none and are never linked; one output row
@@ -27,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, column, cut, pieces, positional, small_batches, table
@@ -35,10 +42,12 @@ from .components import connected_components
 from .words import randoms, shingles, split
 
 SIZE, THRESHOLD = 5, 0.8
-#: Trees of the forest, values of a whole label, the shortest prefix, and the share of links to be found.
-TREES, DEPTH, LEAST, RECALL = 20, 6, 3, 0.998
-#: Sets of one unit of verification, and columns of its dense products.
-BLOCK, WIDTH = 256, 2048
+#: Trees of the forest, values of a whole label, and the share of links to be found.
+TREES, DEPTH, RECALL = 20, 8, 0.998
+#: Sets of a block of verification, columns of its dense products, and bands of distance that reach the threshold's.
+BLOCK, WIDTH, BANDS = 128, 2048, 10
+#: Bits of the filter that keeps texts without candidates out of the shuffle, for each candidate and at most (8 MB).
+FILTER_EACH, FILTER_MOST = 16, 1 << 26
 
 
 def shingle_sets(batches, text_col: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -63,14 +72,13 @@ def minhash(sets: list[np.ndarray], factor: np.ndarray, shift: np.ndarray) -> np
     return out
 
 
-def signatures(rows: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
+def signatures(rows: DataFrame, size: int, forest: Forest) -> DataFrame:
     """(i, k, digest, n, sig) for rows (i, k, t); digest, n and sig are null without words."""
-    factor, shift = randoms(trees * depth, 21) | np.uint64(1), randoms(trees * depth, 22)
 
     def run(batches):
         for batch, sets in shingle_sets(batches, "t", size):
             full = [x for x in sets if len(x)]
-            sigs = iter(minhash(full, factor, shift))
+            sigs = iter(forest.signatures(full))
             digests = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([column(batch, "i"), column(batch, "k"), pa.array(digests, pa.binary()), pa.array([len(x) or None for x in sets], pa.int32()), pa.array([next(sigs).tobytes() if len(x) else None for x in sets], pa.binary())], names=["i", "k", "digest", "n", "sig"])
 
@@ -129,6 +137,21 @@ def chance(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
     return 1 - (1 - s**depth) ** trees
 
 
+def shortest(threshold: float, trees: int, depth: int, recall: float) -> int:
+    """The longest prefix at which a pair at the threshold itself is met with the target's chance."""
+    for d in range(depth, 0, -1):
+        if chance(threshold, trees, d) >= recall:
+            return d
+    raise ValueError(f"{trees} trees can't reach recall {recall} at similarity {threshold}")
+
+
+def estimates(s: np.ndarray, trees: int, depth: int, whole: int) -> np.ndarray:
+    """For links met at `depth`, a row each: links that each stands for, then how many of those a prefix of 1, 2, ...
+    `whole` values meets."""
+    p = chance(s[:, None], trees, np.arange(1, whole + 1))
+    return np.concatenate([np.ones((len(s), 1)), p], 1) / chance(s, trees, depth)[:, None]
+
+
 class Unit:
     """Sets of one unit of verification: block pairs (x, y) link sets of x with sets of y, all pairs if x = y."""
 
@@ -161,8 +184,8 @@ class Unit:
             out += m @ m.T
         return np.rint(out).astype(np.int64)
 
-    def rows(self, threshold: float, trees: int, depth: int) -> list[tuple]:
-        """(digest, links to sets, links to rows, links estimated to exist, least digest linked with) of each set."""
+    def rows(self, threshold: float, forest: Forest, depth: int) -> list[tuple]:
+        """(digest, links to sets, links to rows, least digest linked with, estimates) of each set that has links."""
         if len(self.sets) < 2:
             return []
         both = self.shared()
@@ -174,7 +197,8 @@ class Unit:
             linked &= side[:, None] != side[None]
         np.fill_diagonal(linked, False)
         some = np.flatnonzero(linked.any(1))
-        exist = np.where(linked, 1 / chance(np.where(linked, both / union, 1.0), trees, depth), 0).sum(1)
+        if not len(some):
+            return []
         order = np.array(sorted(range(len(self.digests)), key=self.digests.__getitem__))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -185,72 +209,208 @@ class Unit:
             if (new == low).all():
                 break
             low = new
-        copies = np.array(self.copies)
-        to_rows = linked.astype(np.int64) @ copies
-        return [(self.digests[i], int(linked[i].sum()), int(to_rows[i]), float(exist[i]), self.digests[order[low[i]]]) for i in some.tolist()]
-
-
-def verify(units: DataFrame, threshold: float, trees: int, depth: int) -> DataFrame:
-    """units (c, x, y, side, digest, copies, shingles), sorted by (c, x, y) in each partition."""
-    names = ["digest", "links", "row_links", "exist", "low"]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        to_rows = linked.astype(np.int64) @ np.array(self.copies)
+        labels = np.zeros((len(self.sets), forest.trees, forest.depth), ">u4")
+        labels[some] = forest.signatures([self.sets[i] for i in some.tolist()]).reshape(len(some), forest.trees, -1)
+        out = []
+        for i in some.tolist():
+            others = np.flatnonzero(linked[i])
+            met = others[(labels[others, :, :depth] == labels[i, :, :depth]).all(2).any(1)]
+            stand = estimates(both[i, met] / union[i, met], forest.trees, depth, forest.depth).sum(0)
+            out.append((self.digests[i], len(others), int(to_rows[i]), self.digests[order[low[i]]], *stand.tolist()))
+        return out
+
+
+class Forest:
+    """The hash functions of `trees` labels of `depth` values."""
+
+    def __init__(self, trees: int, depth: int) -> None:
+        self.trees, self.depth = trees, depth
+        self.factor, self.shift = randoms(trees * depth, 21) | np.uint64(1), randoms(trees * depth, 22)
+
+    def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
+        return minhash(sets, self.factor, self.shift)
+
+    def estimate_columns(self) -> list[str]:
+        return [f"e{x}" for x in range(self.depth + 1)]
+
+
+def blocks_of(batches, key: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with one key, of batches that are sorted by it; a run is at most some blocks long."""
+    now, run = None, []
+    for batch in batches:
+        cols = [column(batch, n).to_pylist() for n in (*key, *columns)]
+        for row in zip(*cols, strict=True):
+            if row[: len(key)] != now:
+                if run:
+                    yield now, run
+                now, run = row[: len(key)], []
+            run.append(row[len(key) :])
+    if run:
+        yield now, run
+
+
+def verify(units: DataFrame, threshold: float, forest: Forest, depth: int) -> DataFrame:
+    """(c, digest, links, row_links, low, e0, e1, ...) of units (c, x, y, side, digest, copies, shingles)."""
+    names = ["c", "digest", "links", "row_links", "low", *forest.estimate_columns()]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), *[pa.float64()] * (forest.depth + 1)]
 
     def run(batches):
-        key, unit, seen, ready = None, Unit(), set(), []
-        for batch in batches:
-            cols = [column(batch, n).to_pylist() for n in ("c", "x", "y", "side", "digest", "copies", "shingles")]
-            for c, x, y, side, digest, copies, raw in zip(*cols, strict=True):
-                if (c, x, y) != key:
-                    ready += unit.rows(threshold, trees, depth)
-                    key, unit, seen = (c, x, y), Unit(), set()
-                    if len(ready) > 2000:
-                        yield out(ready)
-                        ready = []
+        ready = []
+        for key, rows in blocks_of(batches, ("c", "x", "y"), ("side", "digest", "copies", "shingles")):
+            unit, seen = Unit(), set()
+            for side, digest, copies, raw in rows:
                 if digest not in seen:
                     seen.add(digest)
                     unit.add(digest, side, copies, np.frombuffer(raw, np.uint64))
-        ready += unit.rows(threshold, trees, depth)
+            ready += [(key[0], *x) for x in unit.rows(threshold, forest, depth)]
+            if len(ready) > 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready, strict=True), kinds, strict=True)], names=names)
+                ready = []
         if ready:
-            yield out(ready)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready, strict=True), kinds, strict=True)], names=names)
+
+    dealt = units.repartition("c", "x", "y").sortWithinPartitions("c", "x", "y")
+    return dealt.mapInArrow(run, "c binary, digest binary, links long, row_links long, low binary" + "".join(f", {e} double" for e in forest.estimate_columns()))
+
 
-    return units.mapInArrow(run, "digest binary, links long, row_links long, exist double, low binary")
+def row_key(i: Column, k: Column) -> Column:
+    """One column for an id and the hash of its text, null included."""
+    return F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(k, F.lit("-")))
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def among_candidates(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(key, t) of rows (i, k, t) that may be those of members: all of these, once each, and few others. A filter of one
+    bit for each hash value, a broadcast of at most 2^20 words, keeps texts without candidates out of the shuffle."""
+    bits = min(FILTER_MOST, 1 << max(10, (FILTER_EACH * n).bit_length()))
+    slot = F.xxhash64("key").bitwiseAND(F.lit(bits - 1))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = members.select(slot.alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.bit_or(bit).alias("mask"))
+    keyed = texts.select(row_key(F.col("i"), F.col("k")).alias("key"), "t").withColumn("slot", slot).withColumn("word", F.expr("shiftright(slot, 6)"))
+    some = keyed.join(F.broadcast(words), "word").where(F.col("mask").bitwiseAND(bit) != 0)
+    return some.groupBy("key").agg(F.first("t").alias("t"))
+
+
+def with_shingles(texts: DataFrame, members: DataFrame, n: int, size: int) -> DataFrame:
+    """(c, size, digest, copies, shingles) of members (c, size, digest, copies, key)."""
+    found = among_candidates(texts, members, n).join(members, "key").select("c", "size", "digest", "copies", "t")
+
+    def sets(batches):
+        for batch, own in shingle_sets(batches, "t", size):
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("c", "size", "digest", "copies")] + [pa.array([x.tobytes() for x in own], pa.binary())], names=["c", "size", "digest", "copies", "shingles"])
+
+    return found.mapInArrow(sets, "c binary, size long, digest binary, copies long, shingles binary")
+
+
+def dealt_out(groups: DataFrame, parts: str = "nb") -> DataFrame:
+    """A row of each group for each of its blocks, so that a join with its members is dealt over (c, block)."""
+    return groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+
+
+def bands_of(own: DataFrame, threshold: float) -> DataFrame:
+    """(c, nb, block, digest, copies, band) of the sets of large groups: distance to the group's centre, in steps that
+    are a tenth of the threshold's distance."""
+    step = (1 - threshold) / BANDS
+
+    def centre(batches):
+        names, kinds = ["c", "nb", "centre"], [pa.binary(), pa.int32(), pa.binary()]
+        for (c,), rows in blocks_of(batches, ("c",), ("nb", "shingles")):
+            values, n = np.unique(np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((c, rows[0][0], values[2 * n > len(rows)].tobytes()), kinds, strict=True)], names=names)
+
+    def measure(batches):
+        for batch in batches:
+            out = []
+            for raw, middle in zip(column(batch, "shingles").to_pylist(), column(batch, "centre").to_pylist(), strict=True):
+                x, y = np.frombuffer(raw, np.uint64), np.frombuffer(middle or b"", np.uint64)
+                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+                both = int((y[at] == x).sum()) if len(y) else 0
+                out.append(int((1 - both / (len(x) + len(y) - both)) / step))
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("c", "nb", "block", "digest", "copies")] + [pa.array(out, pa.int64())], names=["c", "nb", "block", "digest", "copies", "band"])
+
+    centres = own.where("block = 0").repartition("c").sortWithinPartitions("c").select("c", "nb", "shingles").mapInArrow(centre, "c binary, nb int, centre binary")
+    joined = own.join(dealt_out(centres).drop("nb"), ["c", "block"], "left")
+    return cut(joined.mapInArrow(measure, "c binary, nb int, block int, digest binary, copies long, band long"))
+
+
+def large_groups(own: DataFrame, threshold: float, forest: Forest, depth: int, block: int) -> DataFrame:
+    """As `verify`, of the sets (c, size, digest, copies, shingles) of groups of more than a block: what the distances to
+    the centre settle, and units for the rest."""
+    own = cut(own.withColumn("nb", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.hash("digest"), F.col("nb"))))
+    bands = bands_of(own, threshold)
+    counts = bands.groupBy("c", "nb", "band").agg(F.count("*").alias("m"), F.sum("copies").alias("rows"), F.min("digest").alias("least"))
+    # at most a row for each band of a group, carried in an array
+    table_ = cut(counts.withColumn("sub", F.ceil(F.col("m") / block)).groupBy("c", "nb").agg(F.array_sort(F.collect_list(F.struct("band", "m", "rows", "least", "sub"))).alias("bands")))
+    placed = cut(bands.join(dealt_out(table_).drop("nb"), ["c", "block"]))
+    sure = F.filter("bands", lambda b: b.band + F.col("band") <= BANDS - 2)
+    total = lambda f: F.aggregate("sure", F.lit(0).cast("long"), lambda a, b: a + f(b))
+    self_ = (2 * F.col("band") <= BANDS - 2).cast("long")
+    lowest = F.get("bands", F.lit(0))
+    close = placed.withColumn("sure", sure).select("c", "digest", (total(lambda b: b.m) - self_).alias("links"), (total(lambda b: b.rows) - self_ * F.col("copies")).alias("row_links"), F.when(F.size("sure") > 0, lowest["least"]).otherwise(F.col("digest")).alias("low"), "band", "sure").where("links > 0")
+    # a pair that the centre settles has about the similarity of independent edits
+    step = (1 - threshold) / BANDS
+    alike = lambda a, b: F.greatest(F.lit(threshold), 1 - (a + b + 1) * F.lit(step))
+    met = lambda s, d: 1 - F.pow(1 - F.pow(s, F.lit(float(d))), F.lit(float(forest.trees)))
+    number = lambda b: b.m - F.when(b.band == F.col("band"), 1).otherwise(0)
+    weigh = lambda d: F.aggregate("sure", F.lit(0.0), lambda a, b: a + number(b) * (met(alike(b.band, F.col("band")), d) if d else F.lit(1.0)) / met(alike(b.band, F.col("band")), depth))
+    settled = close.select("c", "digest", "links", "row_links", "low", *(weigh(d).alias(e) for d, e in enumerate(forest.estimate_columns())))
+    open_ = F.filter("bands", lambda b: (b.band + F.col("band") > BANDS - 2) & (F.abs(b.band - F.col("band")) <= BANDS + 1))  # a band more than the bound, for rounding
+    width = 1 << 32
+    key = lambda band, sub: band * F.lit(width) + sub
+    other = placed.withColumn("near", F.explode(open_)).where("near.m > 1 or near.band <> band")
+    own_sub = F.element_at(F.filter("bands", lambda b: b.band == F.col("band")), 1)["sub"]
+    other = other.withColumn("side", key(F.col("band"), F.pmod(F.xxhash64("digest"), own_sub)))
+    other = other.select("c", "digest", "side", "near", F.explode(F.sequence(F.lit(0).cast("long"), F.col("near.sub") - 1)).alias("sub")).withColumn("other", key(F.col("near.band"), F.col("sub")))
+    pairs = other.select("c", "digest", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+    units = pairs.join(own.select("c", "digest", "copies", "shingles"), ["c", "digest"])
+    return verify(units.select("c", "x", "y", "side", "digest", "copies", "shingles"), threshold, forest, depth).unionByName(settled)
+
+
+def candidates(chain: DataFrame, depth: int) -> DataFrame:
+    """(digest, c, size): sets joined by chains of prefixes of `depth` values."""
+    groups = connected_components(chain.where(F.col("lcp") >= depth)).withColumnRenamed("v", "digest")
+    return cut(groups.join(groups.groupBy("c").agg(F.count("*").alias("size")), "c").select("digest", "c", "size"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, depths: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, sets): (i, k, digest, n) of each row, k being a hash of its text; and (digest, class, rep, copies, links,
-    row_links) of each set, class being the set's class and rep a (i, k) of the set."""
+    row_links) of each set, class being the set's class and rep a (i, k) of the set. `depths`, if given, gets the prefix
+    lengths used, each with the share of the estimated links that was found."""
+    least, forest = shortest(threshold, trees, depth, recall), Forest(trees, depth)
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).withColumn("k", F.md5("t"))
-    rows = cut(signatures(texts.select("i", "k", "t"), size, trees, depth))
+    rows = cut(signatures(texts.select("i", "k", "t"), size, forest))
     known = rows.where("digest is not null")
     first = F.struct(F.col("i").isNull().alias("nil"), "i", "k")
-    reps = known.groupBy("digest").agg(F.min(first).alias("rep"), F.count("*").alias("copies"))
-    sigs = known.join(reps.select("digest", "rep"), "digest").where(first == F.col("rep")).dropDuplicates(["digest"]).select("digest", "sig")
-    chain = cut(trie_links(sigs, trees, depth, least).groupBy("a", "b").agg(F.max("lcp").alias("lcp")))
-    reps = cut(reps)
-    shingled = None
-    for d in range(depth, least - 1, -1):
-        groups = connected_components(chain.where(F.col("lcp") >= d)).withColumnRenamed("v", "digest")
-        blocks = groups.groupBy("c").agg(F.count("*").alias("size")).select("c", F.ceil(F.col("size") / block).cast("int").alias("nb"))
-        members = groups.join(blocks, "c").join(reps, "digest").select("digest", "c", "nb", "copies", F.pmod(F.hash("digest"), F.col("nb")).alias("side"), F.col("rep.i").alias("i"), F.col("rep.k").alias("k"))
-        found = texts.join(members.withColumnsRenamed({"i": "i2", "k": "k2"}), F.col("i").eqNullSafe(F.col("i2")) & (F.col("k") == F.col("k2"))).select("c", "nb", "side", "digest", "copies", "t")
-
-        def sets(batches):
-            for batch, own in shingle_sets(batches, "t", size):
-                yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("c", "nb", "side", "digest", "copies")] + [pa.array([x.tobytes() for x in own], pa.binary())], names=["c", "nb", "side", "digest", "copies", "shingles"])
-
-        own = found.mapInArrow(sets, "c binary, nb int, side int, digest binary, copies long, shingles binary")
-        units = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("other", "nb")
-        shingled = cut(verify(units.repartition("c", "x", "y").sortWithinPartitions("c", "x", "y"), threshold, trees, d))
-        seen, exist = shingled.agg(F.sum("links"), F.sum("exist")).first()
-        if not seen or seen >= recall * exist:
+    # equal sets have one signature, so any will do: a row leaves each task for a set, however many copies it has
+    reps = cut(known.groupBy("digest").agg(F.min(first).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    chain = cut(trie_links(reps.select("digest", "sig"), trees, depth, least).groupBy("a", "b").agg(F.max("lcp").alias("lcp")))
+    groups = verified = None
+    d = depth
+    while True:
+        before, groups = groups, candidates(chain, d)
+        fresh = groups
+        if before is not None:
+            same = groups.select("c", "size").distinct().join(before.select("c", "size").distinct(), ["c", "size"]).select("c")
+            fresh, verified = groups.join(same, "c", "left_anti"), verified.join(same, "c", "left_semi")
+        members = cut(fresh.join(reps.drop("sig"), "digest").select("c", "size", "digest", "copies", row_key(F.col("rep.i"), F.col("rep.k")).alias("key")))
+        n, most = members.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+        own = with_shingles(texts, members, n, size)
+        zero = F.lit(0).cast("long")
+        new = verify(own.where(F.col("size") <= block).select("c", zero.alias("x"), zero.alias("y"), zero.alias("side"), "digest", "copies", "shingles"), threshold, forest, d)
+        if most > block:
+            new = new.unionByName(large_groups(own.where(F.col("size") > block), threshold, forest, d, block))
+        verified = cut(new if verified is None else verified.unionByName(new))
+        seen, *stand = verified.agg(F.sum("links"), *(F.sum(e) for e in forest.estimate_columns())).first()
+        share = seen / max(seen, stand[0]) if seen else 0.0
+        if depths is not None:
+            depths.append((d, share))
+        if d == least or share >= recall:
             break
-    linked = shingled.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("row_links").alias("row_links"))
-    classes = connected_components(shingled.select(F.col("digest").alias("a"), F.col("low").alias("b")))
-    sets_ = reps.join(linked, "digest", "left").join(classes.withColumnsRenamed({"v": "digest", "c": "class"}), "digest", "left")
+        d = next((x for x in range(d - 1, least, -1) if seen and stand[x] >= recall * stand[0]), least)
+    linked = verified.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("row_links").alias("row_links"))
+    classes = connected_components(verified.select(F.col("digest").alias("a"), F.col("low").alias("b")))
+    sets_ = reps.drop("sig").join(linked, "digest", "left").join(classes.withColumnsRenamed({"v": "digest", "c": "class"}), "digest", "left")
     return rows, sets_.select("digest", F.coalesce("class", "digest").alias("class"), "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("row_links", F.lit(0)).alias("row_links"))
 
 
@@ -272,11 +432,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     plain = positional(docs)
     i, t = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
     rows, sets = similar(plain, i, t)
-    key = lambda id_, k: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("-")), F.coalesce(k, F.lit("-")))
-    best = sets.groupBy("class").agg(F.min("rep").alias("rep")).select(key(F.col("rep.i"), F.col("rep.k")).alias("key"), F.lit(True).alias("one"))
-    bare = rows.where("digest is null").select(key(F.col("i"), F.col("k")).alias("key")).distinct().withColumn("one", F.lit(False))
+    best = sets.groupBy("class").agg(F.min("rep").alias("rep")).select(row_key(F.col("rep.i"), F.col("rep.k")).alias("key"), F.lit(True).alias("one"))
+    bare = rows.where("digest is null").select(row_key(F.col("i"), F.col("k")).alias("key")).distinct().withColumn("one", F.lit(False))
     # one join of whole rows by one key; of repeated rows with words one stays, found in the join's own partitions
-    kept = plain.withColumn("key", key(F.col(i), F.md5(t))).join(best.union(bare), "key")
+    kept = plain.withColumn("key", row_key(F.col(i), F.md5(t))).join(best.union(bare), "key")
     kept = kept.withColumn("nth", F.when(F.col("one"), -1).otherwise(F.monotonically_increasing_id()))
     return kept.dropDuplicates(["key", "nth"]).select(plain.columns).toDF(*docs.columns)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.neighbours import chance, drop_near_duplicates, jaccard_join, op2_ngram_jaccard_join
+from corpusloom.llm.neighbours import chance, shortest, similar, drop_near_duplicates, jaccard_join, op2_ngram_jaccard_join
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -97,3 +97,70 @@ def test_components(spark):
     edges = chain + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 6000), (6000, 5000), (7, 7)]
     got = {r.v: r.c for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {5000: 5000, 6000: 5000}
+
+
+def test_prefix_is_shortened_until_recall_is_met(spark):
+    """Pairs at 0.8 are met by few whole labels, so the prefix is cut; copies that differ in a word of many need no cut."""
+    rng = random.Random(17)
+    word = lambda: f"v{rng.randrange(100_000)}"
+    far, near = [], []
+    for k in range(150):
+        w = [word() for _ in range(104)]
+        far += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:93] + [word() for _ in range(11)]))]
+        v = [word() for _ in range(400)]
+        near += [(2 * k, " ".join(v)), (2 * k + 1, " ".join(v[:399] + [word()]))]
+    for rows, wanted in ((far, True), (near, False)):
+        depths = []
+        _, sets = similar(spark.createDataFrame(rows, "doc_id long, text string"), depths=depths)
+        assert sets.where("links > 0").count() >= 0.98 * len(rows)
+        assert depths[0][0] == 8 and depths == sorted(depths, reverse=True)
+        assert (len(depths) > 1) == wanted, depths
+        assert depths[-1][1] >= 0.998 or depths[-1][0] == shortest(0.8, 20, 8, 0.998), depths
+
+
+def test_the_shortest_prefix_reaches_the_target():
+    for threshold, trees, depth, recall in ((0.8, 20, 8, 0.998), (0.5, 20, 8, 0.99), (0.8, 4, 3, 0.9)):
+        d = shortest(threshold, trees, depth, recall)
+        assert chance(threshold, trees, d) >= recall and (d == depth or chance(threshold, trees, d + 1) < recall)
+    with pytest.raises(ValueError):
+        shortest(0.2, 1, 4, 0.999)
+
+
+@pytest.mark.parametrize("edits", [3, 30])
+def test_a_large_group_against_brute_force(spark, edits):
+    """Hundreds of near copies: few edits are settled by their distance to the centre, many need units; a loose fringe
+    makes links that are missing in both."""
+    rng = random.Random(23 + edits)
+    base = [f"w{rng.randrange(5000)}" for _ in range(260)]
+    rows = []
+    for k in range(330):
+        w = list(base)
+        for _ in range(rng.randrange(edits)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(5000)}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, rows[k][1]) for k in range(9)]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), block=32).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_a_group_of_near_copies_costs_one_comparison_a_set(spark, monkeypatch):
+    """No unit is made for copies that all lie near their centre."""
+    from corpusloom.llm import neighbours
+
+    rng, seen = random.Random(29), []
+    base = [f"w{i}" for i in range(600)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(5000)}"
+        rows.append((k, " ".join(w)))
+    plain = neighbours.verify
+
+    def counted(units, *rest):
+        seen.append(units.count())
+        return plain(units, *rest)
+
+    monkeypatch.setattr(neighbours, "verify", counted)
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), block=32).collect()
+    assert all((r.class_id, r.n_links) == (0, 299) for r in got) and sum(seen) == 0
