@@ -3,7 +3,7 @@
 from .classify import classify, code_score
 from .scoring import (
     call_cost, combined_score, compression_ratio, cosine, dot, fact_overlap, hashed_vector, is_equivalent,
-    judge_or_partial, parse_judge, reduction_percent, task_score, text_cost, verdict_score,
+    judge_or_partial, parse_judge, reduction_percent, task_score, text_cost, text_fact_overlap, verdict_score,
 )
 from .text import (
     atomic_facts, clean_generated, clean_marks, lexical_overlap, logical_lines, normalize_for_comparison,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, strip, token_set
+from .text import atomic_facts, let, strip, token_set
 from ..schemas import JUDGE_REPLY
 
 #: Score of each verdict of a judge at full confidence (fixed values).
@@ -69,9 +71,17 @@ def is_equivalent(score: Column, threshold: float = 0.75) -> Column:
 
 
 def fact_overlap(a: Column, b: Column, above: float = 0.8) -> Column:
-    """Mean share of the facts (arrays of vectors) of each side that have one above the threshold on the other."""
+    """Mean share of the facts (arrays of vectors) of each side that have one above the threshold on the other; a fact
+    that is there twice counts once."""
     share = lambda x, y: F.size(F.filter(x, lambda u: F.exists(y, lambda v: cosine(u, v) > above))) / F.size(x)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), (share(a, b) + share(b, a)) / 2.0).otherwise(0.0)
+    sets = F.struct(F.array_distinct(a).alias("x"), F.array_distinct(b).alias("y"))
+    return let(sets, lambda s: F.when((F.size(s.x) > 0) & (F.size(s.y) > 0), (share(s.x, s.y) + share(s.y, s.x)) / 2.0).otherwise(0.0))
+
+
+def text_fact_overlap(a: Column, b: Column, encode: Callable[[Column], Column] | None = None, above: float = 0.8) -> Column:
+    """Overlap of the facts of two texts, as sets; `encode` makes a fact's vector."""
+    vectors = lambda x: F.transform(F.array_distinct(atomic_facts(F.coalesce(x, F.lit("")))), encode or hashed_vector)
+    return let(F.struct(vectors(a).alias("x"), vectors(b).alias("y")), lambda v: fact_overlap(v.x, v.y, above))
 
 
 def parse_judge(reply: Column) -> Column:

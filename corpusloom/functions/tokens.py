@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ TOKENIZERS = ("openai", "claude", "gemini")
 
 def regex_token_count(x: Column) -> Column:
     """Offline stand-in for a BPE tokenizer: runs of ASCII letters and digits of at most four characters, and any other
-    character that is not white space. An approximation; exact tokenizers come in as columns or pandas UDFs."""
+    character that is not white space. An approximation; exact tokenizers come in by `seams.count_tokens`."""
     return F.coalesce(F.regexp_count(x, F.lit(r"[A-Za-z0-9]{1,4}|[^A-Za-z0-9 \t\n\r\f]")), F.lit(0))
 
 
@@ -19,12 +21,30 @@ def token_counts(x: Column, count=regex_token_count) -> Column:
     return F.create_map(*(y for name in TOKENIZERS for y in (F.lit(name), count(x))))
 
 
+def rank_encoder(path: str, pattern: str) -> Callable[[], Callable[[list], list]]:
+    """Makes a byte-level BPE encoder from a file of ranks (base64 and number a line) and a split pattern, for the seams:
+    a list of texts to a list of ids each, null being empty."""
+
+    def make() -> Callable[[list], list]:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [encode(t) if t else [] for t in texts]
+
+    return make
+
+
 def text_hash(x: Column) -> Column:
     return F.substring(F.md5(x), 1, 16)
 
 
 def pair_hash(domain: Column, verbose: Column, compressed: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws(":", domain, verbose, compressed), 256), 1, 16)
+    """A null part counts as empty, in its place."""
+    return F.substring(F.sha2(F.concat_ws(":", *(F.coalesce(x, F.lit("")) for x in (domain, verbose, compressed))), 256), 1, 16)
 
 
 def cache_key(prefix: str, content: Column, **params) -> Column:

@@ -10,7 +10,7 @@ from ..functions.scoring import PRICES
 
 #: Prompts of the tasks (fixed values); other tasks use that of qa.
 PROMPTS = {
-    "qa": "Based on the following context, answer the question concisely.\n\nContext:\n{context}\n\nQuestion: What are the key points mentioned?\n\nAnswer:",
+    "qa": "Based on the following context, answer the question concisely.\n\nContext:\n{context}\n\nQuestion: What are the key points mentioned?\nAnswer:",
     "reasoning": "Analyze the following information and explain the main implications.\n\nInformation:\n{context}\n\nAnalysis:",
     "code_generation": "Based on the following specification, write the corresponding code.\n\nSpecification:\n{context}\n\nCode:",
 }

@@ -35,6 +35,10 @@ def test_scores(spark):
     assert value(spark, C.is_equivalent(lit(0.75))) and not value(spark, C.is_equivalent(lit(0.7499)))
     facts = F.array(arr(1, 0), arr(0, 1)), F.array(arr(1, 0.1))
     assert value(spark, C.fact_overlap(*facts)) == pytest.approx((0.5 + 1) / 2)
+    assert value(spark, C.fact_overlap(F.array(arr(1, 0), arr(1, 0), arr(0, 1)), facts[1])) == pytest.approx((0.5 + 1) / 2)
+    a, b = "The price went up. The price went up! But the shop was closed", "the price went up and it rained all day long"
+    exact = lambda x: F.array((x == "the price went up").cast("double"), (x == "it rained all day long").cast("double"), (x == "the shop was closed").cast("double"))
+    assert value(spark, C.text_fact_overlap(F.lit(a), F.lit(b), exact)) == pytest.approx(0.5) and value(spark, C.text_fact_overlap(F.lit(a), F.lit(None).cast("string"), exact)) == 0
     assert value(spark, C.fact_overlap(facts[0], F.expr("cast(array() as array<array<double>>)"))) == 0
 
 
@@ -96,3 +100,24 @@ def test_test_examples(spark):
     chat = [([("system", "s"), ("user", "Compress:\n The text. "), ("user", "later")],), ([("system", "s")],), ([("user", "Compress:\n")],), ([("user", "def f(x):\n    return x;")],)]
     rows = training.test_examples(spark.createDataFrame(chat, "messages array<struct<role:string,content:string>>")).collect()
     assert sorted((r.input_text, r.domain) for r in rows) == [("The text.", "nl"), ("def f(x):\n    return x;", "code")]
+
+
+def test_prompts_have_the_fixed_text(spark):
+    want = {
+        "qa": "Based on the following context, answer the question concisely.|@|Context:|X|@|Question: What are the key points mentioned?|Answer:",
+        "reasoning": "Analyze the following information and explain the main implications.|@|Information:|X|@|Analysis:",
+        "code_generation": "Based on the following specification, write the corresponding code.|@|Specification:|X|@|Code:",
+    }
+    for task, text in want.items():
+        assert value(spark, validate.prompt(F.lit(task), F.lit("X"))).split("\n") == ["" if x == "@" else x for x in text.split("|")]
+
+
+def test_pair_hash_keeps_places(spark):
+    none = F.lit(None).cast("string")
+    assert value(spark, C.pair_hash(none, F.lit("a"), F.lit("b"))) != value(spark, C.pair_hash(F.lit("a"), F.lit("b"), none))
+
+
+def test_evaluation_summary(spark):
+    rows = spark.createDataFrame([(0.5, 0.9, 10.0), (0.7, 0.7, 30.0)], "compression_ratio double, min_equivalence double, duration_ms double")
+    s = validate.evaluation_summary(rows).first()
+    assert (s.examples, s.avg_ratio, s.avg_equivalence, s.min_equivalence, s.avg_duration_ms) == (2, pytest.approx(0.6), pytest.approx(0.8), 0.7, 20.0)
