@@ -35,7 +35,7 @@ def path_excluded(relative: Column, patterns: list[str] = EXCLUDED) -> Column:
     name = F.regexp_extract(relative, r"([^/]*)\z", 1)
     out = F.lit(False)
     for p in patterns:
-        java = "^" + fnmatch.translate(p).replace("(?s:", "(?s:").replace(r"\Z", "").replace(r"\z", "") + "$"
+        java = "^" + fnmatch.translate(p).replace(r"\Z", "").replace(r"\z", "") + "$"
         out = out | name.rlike(java) | relative.rlike(java)
     return out
 
@@ -51,18 +51,22 @@ def first_of_each(df: DataFrame, keys: list[Column | str], order: list[Column |
 
 def merge(df: DataFrame, domain: str, low: int = 100, high: int = 2500, dedupe: bool = True) -> DataFrame:
     """Adds domain, body (first of text, content, code) and status (filtered, duplicate or kept) to rows that carry
-    file_idx and line_idx; duplicates are later rows of one body among those in the length window."""
+    file_idx and line_idx, which together name one row; duplicates are later rows of one body among those in the length
+    window.
+
+    Bodies stay out of the join by hash: places and hashes alone meet the first place of each body, so a hot body is a
+    few bytes a row there, and whole rows are joined by their place, which is never hot. Filtered rows are not shuffled."""
     body = first_filled(*(F.col(c) for c in ("text", "content", "code") if c in df.columns))
     rows = df.withColumns({"body": body, "domain": F.lit(domain)}).withColumn("fits", F.coalesce(in_window(F.col("body"), low, high), F.lit(False)))
     if not dedupe:
         return rows.withColumn("status", F.when(F.col("fits"), "kept").otherwise("filtered")).drop("fits")
-    # one shuffle of keys: the first place of each body is an aggregate, joined back by hash (a hot hash is split)
-    h = F.when(F.col("fits"), text_hash(F.col("body")))
-    rows = rows.withColumn("h", h)
-    firsts = rows.where("h is not null").groupBy("h").agg(F.min(F.struct("file_idx", "line_idx")).alias("first")).withColumnRenamed("h", "fh")
-    joined = rows.join(firsts, F.col("h") == F.col("fh"), "left")
-    status = F.when(~F.col("fits"), "filtered").when(F.col("first") == F.struct("file_idx", "line_idx"), "kept").otherwise("duplicate")
-    return joined.withColumn("status", status).drop("fits", "h", "fh", "first")
+    place = ["file_idx", "line_idx"]
+    keys = rows.where("fits").select(*place, text_hash(F.col("body")).alias("h"))
+    firsts = keys.groupBy("h").agg(F.min(F.struct(*place)).alias("first"))
+    status = keys.join(firsts, "h").select(*place, F.when(F.col("first") == F.struct(*place), "kept").otherwise("duplicate").alias("status"))
+    named = status.withColumnsRenamed({c: f"at_{c}" for c in place})
+    fitting = rows.where("fits").join(named, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in place]).select(*rows.columns, "status")
+    return fitting.unionByName(rows.where("not fits").withColumn("status", F.lit("filtered"))).drop("fits")
 
 
 def merged_rows(merged: DataFrame) -> DataFrame:

@@ -103,3 +103,16 @@ def test_code_units():
 
 def test_tree_likeness():
     assert tree_likeness("x = 1", "x  =  1  # c") == 1 and tree_likeness("x = (", "x") == 0 and 0 < tree_likeness("x = 1", "def f(): pass") < 1 and tree_likeness(None, "x") == 0
+
+
+def test_merge_leaves_hot_bodies_out_of_the_join(spark):
+    """Two thirds of the rows are one body or too short: keys alone meet by hash, and filtered rows are not shuffled."""
+    rows = [(0, i, "x" * 200 if i % 3 else "short") for i in range(300)] + [(1, i, f"{i} " + "y" * 150) for i in range(50)]
+    frame = spark.createDataFrame(rows, "file_idx int, line_idx int, text string")
+    merged = corpus.merge(frame, "nl")
+    stats = corpus.merge_stats(merged).first()
+    assert (stats.total_read, stats.duplicates, stats.filtered, stats.kept) == (350, 199, 100, 51)
+    assert merged.where("status = 'kept' and length(text) = 200").first().line_idx == 1
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    by_hash = [x for x in plan.splitlines() if "Join" in x and "h#" in x]
+    assert by_hash and "Union" in plan.splitlines()[0]
