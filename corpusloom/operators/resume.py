@@ -21,9 +21,14 @@ def after(rows: DataFrame, n: int, index_col: str = "line_idx") -> DataFrame:
 
 
 def with_cached(requests: DataFrame, cache: DataFrame, key_col: str = "key", now: Column | None = None) -> DataFrame:
-    """Adds cached, the newest value that has not expired, or null."""
-    live = cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > (F.current_timestamp() if now is None else now)))
-    newest = live.groupBy(key_col).agg(F.max_by("value", F.coalesce("written_at", F.timestamp_seconds(F.lit(0)))).alias("cached")) if "written_at" in cache.columns else live.groupBy(key_col).agg(F.max("value").alias("cached"))
+    """Adds cached, the value of the newest entry if that has not expired, or null. A deleted key's newest entry has no
+    value."""
+    live = F.col("expires_at").isNull() | (F.col("expires_at") > (F.current_timestamp() if now is None else now))
+    if "written_at" in cache.columns:
+        entry = F.max_by(F.struct("value", "expires_at"), F.coalesce("written_at", F.timestamp_seconds(F.lit(0)))).alias("x")
+        newest = cache.groupBy(key_col).agg(entry).select(key_col, "x.*").where(live).select(key_col, F.col("value").alias("cached"))
+    else:
+        newest = cache.where(live).groupBy(key_col).agg(F.max("value").alias("cached"))
     return requests.join(newest, key_col, "left")
 
 

@@ -5,21 +5,26 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import strip
+from ..functions import pair_hash, strip
 from ..operators.corpus import few_fences, first_filled, first_of_each, in_window, looks_like_code, ordered_limit, path_excluded
 
 
+#: A line's place in its file: where its split begins, and its row in the task that reads the split.
+PLACE = "struct<block:bigint,row:bigint>"
+
+
 def text_lines(spark: SparkSession, paths: list[str] | str, pattern: str | None = None) -> DataFrame:
-    """(file, line_idx, value) of non-blank lines. Line numbers need whole files, so a file is the unit of work."""
-    reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    """(file, line_idx, value) of non-blank lines. A file is read in splits, by as many tasks as it has; line_idx is a
+    place that orders the lines of a file and names each, not a number without gaps."""
+    reader = spark.read.format("text").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    whole = reader.load(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_idx", "value")).where("trim(value) <> ''")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return reader.load(paths).select(F.col("_metadata.file_path").alias("file"), place.alias("line_idx"), "value").where("trim(value) <> ''")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, mode: str = "strict") -> DataFrame:
@@ -78,6 +83,12 @@ def read_python(spark: SparkSession, directory: str, exclude: list[str] | None =
     return files.where(~(path_excluded(F.col("relative")) if exclude is None else path_excluded(F.col("relative"), exclude)))
 
 
+def read_markdown_file(spark: SparkSession, path: str) -> DataFrame:
+    """(path, relative, source) of one Markdown file; relative is its name."""
+    file = spark.read.format("binaryFile").load(path).where(F.is_valid_utf8(F.col("content").cast("string")))
+    return file.select("path", F.substring_index("path", "/", -1).alias("relative"), F.col("content").cast("string").alias("source"))
+
+
 def read_markdown(spark: SparkSession, directory: str, patterns: tuple[str, ...] = ("*.md", "*.markdown")) -> DataFrame:
     return read_files(spark, directory, patterns)
 
@@ -91,7 +102,7 @@ def read_corpus_files(spark: SparkSession, paths: list[str]) -> DataFrame:
             x = F.from_json("value", f"{schemas.CORPUS_ROW}, bad_line string", {"columnNameOfCorruptRecord": "bad_line"})
             stem = path.rstrip("/").rpartition("/")[2].rpartition(".")[0]
             out.append(text_lines(spark, path).select(F.lit(k).alias("file_idx"), "line_idx", F.lit(stem).alias("file_stem"), x.alias("x")).select("file_idx", "line_idx", "file_stem", "x.*"))
-    rows = reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"file_idx int, line_idx int, file_stem string, {schemas.CORPUS_ROW}, bad_line string")
+    rows = reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"file_idx int, line_idx {PLACE}, file_stem string, {schemas.CORPUS_ROW}, bad_line string")
     return rows.withColumn("bad", F.col("bad_line").isNotNull()).drop("bad_line")
 
 
@@ -127,6 +138,16 @@ def multi_turn(df: DataFrame, limit: int = 2000, low: int = 100, high: int = 200
     return ordered_limit(first_of_each(rows, [F.substring("text", 1, 200)], ["idx"]), limit, ["idx"]).select("text")
 
 
+def multi_turn_rows(turns: DataFrame, limit: int | None = 2000, low: int = 100, high: int = 2000, id_col: str = "conv_id") -> DataFrame:
+    """As multi_turn, from rows (id, turn, role, text). A conversation's length is an aggregate first, so only those in
+    the window are gathered into a row, and no row is longer than the window."""
+    own = turns.where((F.col("role") == "user") & (F.col("text") != ""))
+    fits = own.groupBy(F.col(id_col).alias("idx")).agg((F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("n")).where(F.col("n").between(low, high)).select("idx")
+    kept = own.join(fits, own[id_col] == fits["idx"], "left_semi")
+    rows = long_turns_to_user_text(kept, id_col).withColumnRenamed(id_col, "idx").where(few_fences(F.col("text")))
+    return ordered_limit(first_of_each(rows, [F.substring("text", 1, 200)], ["idx"]), limit, ["idx"]).select("text")
+
+
 def questions(df: DataFrame, limit: int = 2000, low: int = 100, high: int = 2000) -> DataFrame:
     """System prompt, a blank line and the question."""
     rows = df.withColumn("text", F.concat_ws("\n\n", F.nullif(F.col("system_prompt"), F.lit("")), F.col("question"))).where(in_window(F.col("text"), low, high) & few_fences(F.col("text")))
@@ -149,6 +170,16 @@ def read_validated_pairs(spark: SparkSession, directory: str) -> DataFrame:
     return both[0].unionByName(both[1]).where(F.coalesce("validation.passed", F.lit(True)))
 
 
+def read_done_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(pair_hash) of the pairs in a file of validated lines, each once; lines that can't be read or lack a part are
+    skipped, and no file is no hashes."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "pair_hash string")
+    known = read_jsonl(spark, path, schemas.PAIR, "skip").where("verbose is not null and compressed is not null and domain is not null")
+    return known.select(pair_hash(F.col("domain"), F.col("verbose"), F.col("compressed")).alias("pair_hash")).distinct()
+
+
 def read_cost_log(spark: SparkSession, path: str) -> DataFrame:
     return read_optional(spark, path, schemas.CALL_RECORD)
 
@@ -166,7 +197,3 @@ def read_logs(spark: SparkSession, directory: str, name: str = "train.log") -> D
     path = F.col("_metadata.file_path")
     return files.select(run_name(F.regexp_replace(path, "/[^/]*$", "")).alias("run"), path.alias("path"), F.col("value").alias("content")).where("run is not null")
 
-
-def numbered(df: DataFrame, order: list[str], key: str) -> DataFrame:
-    """Adds idx, the row's place among rows of one key; for small tables that have no order of their own."""
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

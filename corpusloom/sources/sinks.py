@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import subprocess
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.training import chat_rows, completion_rows, text_rows
@@ -64,6 +65,49 @@ def cache_entries(df: DataFrame, key_col: str, value_col: str, seconds: int | No
     return df.select(F.col(key_col).alias("key"), F.col(value_col).cast("string").alias("value"), ends.alias("expires_at"), now.alias("written_at"))
 
 
+def delete_cached(keys: DataFrame, path: str, key_col: str = "key") -> int:
+    """Deletes keys of the cache: an entry without a value, newer than any other, is appended for each."""
+    entries = keys.select(key_col).distinct().withColumn("none", F.lit(None).cast("string"))
+    return append_jsonl(cache_entries(entries, key_col, "none"), path)
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """Leaves a cache without entries."""
+    spark.createDataFrame([], "key string, value string, expires_at timestamp, written_at timestamp").write.mode("overwrite").json(path)
+
+
+def sample_path(directory: str, dataset: str, split: str = "train") -> str:
+    """Where samples of a remote dataset go by default: its name with slashes as underscores, and the split."""
+    return f"{directory.rstrip('/')}/{dataset.replace('/', '_')}_{split}.jsonl"
+
+
+def git_sha(directory: str = ".") -> str:
+    """The commit of a working directory, or `unknown`."""
+    try:
+        said = subprocess.run(["git", "rev-parse", "HEAD"], cwd=directory, capture_output=True, text=True)
+    except OSError:
+        return "unknown"
+    return said.stdout.strip() or "unknown" if said.returncode == 0 else "unknown"
+
+
+def lora_config(model: str, data: str, adapter_path: str, rank: int = 8, alpha: int = 16, **options) -> dict:
+    """A trainer's settings as they are written for it."""
+    return {"model": model, "data": data, "adapter_path": adapter_path} | options | {"lora_parameters": {"rank": rank, "alpha": alpha, "dropout": 0.0, "scale": alpha / rank}}
+
+
+def write_yaml(values: dict, path: str) -> None:
+    """Nested settings as YAML; scalars are written as JSON, which YAML reads alike."""
+
+    def lines(x: dict, indent: str) -> list[str]:
+        out = []
+        for k, v in sorted(x.items()):
+            out += [f"{indent}{k}:", *lines(v, indent + "  ")] if isinstance(v, dict) and v else [f"{indent}{k}: {json.dumps(v)}"]
+        return out
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text("\n".join(lines(values, "")) + "\n", encoding="utf-8")
+
+
 def new_run(root: str, metadata: dict, when: datetime | None = None) -> Path:
     """A run directory named by the time, its metadata, and a `latest` link; a real directory called latest is an error."""
     when = when or datetime.now(UTC)

@@ -7,24 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.resume import not_done
-
-
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What has been written so far; nothing before the first batch."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+from pyspark.sql.types import StructType
 
 
 def append_new(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], target: str, out_schema: str, key: Column, checkpoint: str, files_per_batch: int = 8) -> StreamingQuery:
-    """Runs `work` on rows of new JSON files whose key the target does not have, and appends the result, file batch by
-    file batch. A batch is repeated after a failure and finds its own rows done; earlier batches stay."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        todo = not_done(rows.dropDuplicates(), stored(spark, target, out_schema), key)
-        work(todo).write.mode("append").json(target)
+    """Runs `work` on rows of new JSON files whose key no earlier batch had, and appends the result, file batch by file
+    batch. Each batch writes folders of its own, results and the keys of its rows, so a batch that is repeated after a
+    failure replaces what it had written, and what is done is known from the keys alone (`<checkpoint>/keys`): results
+    are not read again. `out_schema` is what `work` gives."""
+    keys = f"{checkpoint.rstrip('/')}/keys"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(keys)
+        known = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        named = rows.dropDuplicates().withColumn("resume_key", key)
+        todo = named
+        if known:
+            done = spark.read.schema("resume_key string, batch long").parquet(keys).where(F.col("batch") < number).select("resume_key").distinct()
+            todo = named.join(done, "resume_key", "left_anti")
+        todo.persist()
+        try:
+            made = work(todo.drop("resume_key"))
+            made.select([F.col(f.name) for f in StructType.fromDDL(out_schema).fields]).write.mode("overwrite").json(f"{target}/batch={number}")
+            todo.select(F.col("resume_key").cast("string")).write.mode("overwrite").parquet(f"{keys}/batch={number}")
+        finally:
+            todo.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -155,6 +155,13 @@ def test_incremental(spark, tmp_path):
     lines(source / "2.json", {"verbose": "b"}, {"verbose": "c"})
     run()
     assert sorted(r.verbose for r in spark.read.schema(out_schema).json(target).collect()) == ["a", "b", "c"]
+    # a batch that failed after its results were written replaces them, and finds its own rows not done
+    import shutil
+
+    shutil.rmtree(tmp_path / "ck/commits")
+    shutil.rmtree(tmp_path / "ck/keys/batch=1")
+    run()
+    assert sorted(r.verbose for r in spark.read.schema(out_schema).json(target).collect()) == ["a", "b", "c"]
     todo = spark.createDataFrame([(str(i), 1.0) for i in range(40)], "verbose string, cost_usd double")
     spent = run_with_budget(spark, todo, lambda d: d, str(tmp_path / "b"), 12.0, 8, F.col("verbose"))
     assert 12.0 < spent < 40 and spark.read.schema("verbose string").json(str(tmp_path / "b")).count() == spent
@@ -195,3 +202,71 @@ def test_preview(spark):
 
     rows = preview(spark.createDataFrame([("x" * 200,), ("y",)], "t string"), "t", width=5).collect()
     assert sorted(r.t for r in rows) == ["xxxxx...", "y"]
+
+
+def test_lines_of_a_file_are_read_in_splits(spark, tmp_path):
+    """Many tasks for one file, in the order of its lines all the same."""
+    path = lines(tmp_path / "big.jsonl", *({"text": f"{k} " + "w" * 90, "source": "s"} for k in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        frame = readers.text_lines(spark, path)
+        assert frame.rdd.getNumPartitions() > 4
+        assert [json.loads(r.value)["text"].split()[0] for r in frame.orderBy("file", "line_idx").collect()] == [str(k) for k in range(3000)]
+        assert [r.text.split()[0] for r in readers.read_generation_corpus(spark, path, 700).collect()] == [str(k) for k in range(700)]
+        merged = corpus.merge(readers.read_corpus_files(spark, [path, path]).where("not bad"), "nl", low=10)
+        assert {(r.file_idx, r.status): r["count"] for r in merged.groupBy("file_idx", "status").count().collect()} == {(0, "kept"): 3000, (1, "duplicate"): 3000}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_done_hashes_and_pairs(spark, tmp_path):
+    from corpusloom.functions import pair_hash
+    from corpusloom.operators.resume import not_done
+
+    p = lines(tmp_path / "done.jsonl", {"verbose": "v", "compressed": "c", "domain": "nl", "validation": {"passed": False}}, "{broken", {"verbose": "only"}, "", {"verbose": "v", "compressed": "c", "domain": "nl"})
+    done = readers.read_done_hashes(spark, p)
+    assert done.count() == 1 and readers.read_done_hashes(spark, str(tmp_path / "no.jsonl")).count() == 0
+    q = lines(tmp_path / "pairs.jsonl", {"verbose": "v", "compressed": "c", "domain": "nl"}, {"verbose": "w", "compressed": "c", "domain": "nl"})
+    pairs = readers.read_pairs(spark, q)
+    assert [r.verbose for r in pairs.join(done, pair_hash(F.col("domain"), F.col("verbose"), F.col("compressed")) == F.col("pair_hash"), "left_anti").collect()] == ["w"]
+
+
+def test_one_markdown_file(spark, tmp_path):
+    lines(tmp_path / "md/a.md", "# T\n\ntext")
+    lines(tmp_path / "md/b.md", "other")
+    assert [(r.relative, r.source) for r in readers.read_markdown_file(spark, str(tmp_path / "md/a.md")).collect()] == [("a.md", "# T\n\ntext\n")]
+
+
+def test_cache_delete_and_clear(spark, tmp_path):
+    from corpusloom.operators.resume import with_cached
+
+    path, schema = str(tmp_path / "cache"), "key string, value string, expires_at timestamp, written_at timestamp"
+    entries = spark.createDataFrame([("k", "v"), ("l", "w")], "k string, v string")
+    sinks.append_jsonl(sinks.cache_entries(entries, "k", "v"), path)
+    asked = spark.createDataFrame([("k",), ("l",), ("m",)], "key string")
+    found = lambda: {r.key: r.cached for r in with_cached(asked, spark.read.schema(schema).json(path)).collect()}
+    assert found() == {"k": "v", "l": "w", "m": None}
+    sinks.delete_cached(asked.where("key = 'k'"), path)
+    assert found() == {"k": None, "l": "w", "m": None}
+    sinks.append_jsonl(sinks.cache_entries(entries.where("k = 'k'"), "k", "v"), path)
+    assert found()["k"] == "v"
+    sinks.clear_cache(spark, path)
+    assert set(found().values()) == {None}
+
+
+def test_run_files(tmp_path):
+    config = sinks.lora_config("m", "d", "a", rank=8, alpha=16, iters=5, grad_checkpoint=True)
+    assert config["lora_parameters"]["scale"] == 2.0
+    sinks.write_yaml(config, str(tmp_path / "x/lora.yaml"))
+    assert (tmp_path / "x/lora.yaml").read_text().splitlines() == ['adapter_path: "a"', 'data: "d"', "grad_checkpoint: true", "iters: 5", "lora_parameters:", "  alpha: 16", "  dropout: 0.0", "  rank: 8", "  scale: 2.0", 'model: "m"']
+    assert sinks.git_sha(str(tmp_path)) == "unknown" and sinks.sample_path("data/", "org/set") == "data/org_set_train.jsonl"
+
+
+def test_settings_groups(tmp_path):
+    from corpusloom.settings import Generation, Training, load_yaml
+
+    (tmp_path / "t.yaml").write_text('{"cloud": {"model": "m", "training": {"epochs": "5", "learning_rate": 0.1}}}')
+    t = Training().with_cloud(load_yaml(str(tmp_path / "t.yaml")))
+    assert (t.cloud_model, t.cloud_epochs, t.cloud_lr, t.cloud_batch_size) == ("m", 5, 0.1, 4) and Training().with_cloud(None) == Training()
+    assert Generation().updated({"temperature": "0.1"}).temperature == 0.1
