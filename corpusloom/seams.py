@@ -5,15 +5,19 @@ Each callable maps a list of texts to a list of results; `make` builds it once f
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions import cache_key
+from .functions import cache_key, cosine, judge_or_partial, parse_judge, strip, task_score, verdict_score
+from .functions.scoring import VERDICTS, call_cost
+from .operators.code_units import ast_similarity
 from .operators.resume import with_cached
 
 #: Parts of an error message that make a call worth repeating (fixed values).
@@ -35,17 +39,19 @@ def with_retries(call: Callable, times: int = 3, base: float = 2.0, most: float
     return run
 
 
-def map_texts(df: DataFrame, text_col: str, out_col: str, make: Callable[[], Callable[[list], list]], kind: str = "string", batch: int = 32) -> DataFrame:
-    """Adds out_col, what the callable gives for each text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out_col}` {kind}"
+def map_texts(df: DataFrame, text_col: str, out_col: str, make: Callable[[], Callable[[list], list]], kind: str = "string", batch: int = 32, ms_col: str | None = None) -> DataFrame:
+    """Adds out_col, what the callable gives for each text, and on request ms_col, a text's part of its call's time."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out_col}` {kind}" + (f", `{ms_col}` double" if ms_col else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()
         for pdf in batches:
-            values = []
+            values, took = [], []
             for a in range(0, len(pdf), batch):
-                values += call(pdf[text_col].iloc[a : a + batch].tolist())
-            yield pdf.assign(**{out_col: values})
+                texts, began = pdf[text_col].iloc[a : a + batch].tolist(), time.perf_counter()
+                values += call(texts)
+                took += [(time.perf_counter() - began) * 1000 / len(texts)] * len(texts)
+            yield pdf.assign(**{out_col: values} | ({ms_col: took} if ms_col else {}))
 
     return df.mapInPandas(run, schema)
 
@@ -56,9 +62,105 @@ def map_distinct_texts(df: DataFrame, text_col: str, out_col: str, make, kind: s
     return df.join(once, df[text_col].eqNullSafe(F.col("seam_text")), "left").drop("seam_text")
 
 
-def generate_pairs(texts: DataFrame, cache: DataFrame, make, prefix: str, domain: str, **params) -> DataFrame:
-    """(verbose, compressed, domain, hit): cached results where there are any, calls for the rest."""
+def count_tokens(df: DataFrame, text_col: str, encoders: dict[str, Callable[[], Callable[[list], list]]], prefix: str = "tokens_") -> DataFrame:
+    """Adds a column of counts for each named encoder; an encoder maps a list of texts to a list of id lists, null being
+    empty. One encoder under several names is called once."""
+    names: dict[int, str] = {}
+    for name, make in encoders.items():
+        col = f"{prefix}{name}"
+        if id(make) in names:
+            df = df.withColumn(col, F.col(names[id(make)]))
+        else:
+            df, names[id(make)] = map_texts(df, text_col, col, _lengths(make), "long"), col
+    return df
+
+
+def _lengths(make: Callable) -> Callable:
+    def made() -> Callable[[list], list]:
+        call = make()
+        return lambda texts: [len(ids) for ids in call([t if isinstance(t, str) else None for t in texts])]
+
+    return made
+
+
+def encode_texts(df: DataFrame, text_cols: list[str], make: Callable[[], Callable[[list], list]], batch: int = 32) -> DataFrame:
+    """Adds `<column>_vector` for each text column; every distinct text of all of them is encoded once."""
+    every = reduce(DataFrame.union, [df.select(F.col(c).alias("seam_text")) for c in text_cols]).where("seam_text is not null").distinct()
+    known = map_texts(every, "seam_text", "seam_vector", make, "array<double>", batch)
+    for c in text_cols:
+        df = df.join(known.withColumnsRenamed({"seam_text": "seam_key", "seam_vector": f"{c}_vector"}), F.col(c) == F.col("seam_key"), "left").drop("seam_key")
+    return df
+
+
+def pair_equivalence(pairs: DataFrame, make: Callable, a: str = "verbose_output", b: str = "compressed_output", task_col: str | None = None) -> DataFrame:
+    """Adds semantic (cosine of the texts' vectors, clipped; 0 where a text is null or empty) and equivalence (for code
+    generation half of it and half the likeness of the syntax trees, where both can be parsed)."""
+    filled = (F.coalesce(F.col(a), F.lit("")) != "") & (F.coalesce(F.col(b), F.lit("")) != "")
+    out = encode_texts(pairs, [a, b], make).withColumn("semantic", F.when(filled, cosine(F.col(f"{a}_vector"), F.col(f"{b}_vector"))).otherwise(0.0)).drop(f"{a}_vector", f"{b}_vector")
+    if task_col is None:
+        return out.withColumn("equivalence", F.col("semantic"))
+    likeness = ast_similarity(F.when(F.col(task_col) == "code_generation", F.col(a)), F.when(F.col(task_col) == "code_generation", F.col(b)))
+    return out.withColumn("seam_ast", likeness).withColumn("equivalence", task_score(F.col(task_col), F.col("semantic"), F.col("seam_ast"))).drop("seam_ast")
+
+
+def readable_verdict(reply: str | None) -> bool:
+    """Whether `parse_judge` can read a reply, for retries where replies arrive."""
+    try:
+        text = reply.strip()
+        if text.startswith("```"):
+            rows = text.split("\n")
+            stop = max((i for i, r in enumerate(rows) if r.strip() == "```"), default=len(rows))
+            text = "\n".join(rows[1:stop])
+        data = json.loads(text.removeprefix("json"))
+        float(data["confidence"])
+        return data["verdict"].lower() in VERDICTS
+    except (AttributeError, KeyError, TypeError, ValueError):
+        return False
+
+
+def with_fallback(primary: Callable[[str], str], fallback: Callable[[str], str] | None = None, retries: int = 2, readable: Callable[[str], bool] = readable_verdict) -> Callable[[list], list]:
+    """For the seams: asks the first model up to retries + 1 times while it fails or can't be read, then the second model
+    once; null where neither gives a readable reply."""
+
+    def ask(prompt: str) -> str | None:
+        for model in [primary] * (retries + 1) + ([fallback] if fallback else []):
+            try:
+                reply = model(prompt)
+            except Exception:  # any error of a model's client is a failed attempt
+                continue
+            if readable(reply):
+                return reply
+        return None
+
+    return lambda prompts: [None if p is None else ask(p) for p in prompts]
+
+
+def judge(df: DataFrame, prompt_col: str, primary: Callable[[], Callable[[str], str]], fallback: Callable[[], Callable[[str], str]] | None = None, retries: int = 2) -> DataFrame:
+    """Adds judged (the reply as a struct, or a partial verdict of half confidence where no model could be read) and
+    judge_score."""
+    replies = map_texts(df, prompt_col, "seam_reply", lambda: with_fallback(primary(), fallback() if fallback else None, retries))
+    out = replies.withColumn("judged", judge_or_partial(parse_judge(F.col("seam_reply")))).drop("seam_reply")
+    return out.withColumn("judge_score", verdict_score(F.col("judged.verdict"), F.col("judged.confidence")))
+
+
+def call_records(df: DataFrame, text_col: str, reply_col: str, model: str, operation: str, count: Callable[[Column], Column], now: Column | None = None) -> DataFrame:
+    """Cost records of answered texts: token counts, price, model and operation, for the cost log."""
+    rows = df.select((F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("timestamp"), F.lit(model).alias("model"), count(F.col(text_col)).cast("long").alias("input_tokens"), count(F.col(reply_col)).cast("long").alias("output_tokens"))
+    return rows.withColumns({"cost_usd": call_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens")), "operation": F.lit(operation)})
+
+
+def generate_pairs(texts: DataFrame, cache: DataFrame, make, prefix: str, domain: str, language: str | None = None, template: str = "{input}", metadata: dict[str, str] | None = None, **params) -> DataFrame:
+    """(verbose, compressed, domain, language, metadata, key, hit): cached results where there are any, for the rest calls
+    with the template's `{input}` replaced, replies stripped. A cache key tells languages apart."""
+    params |= {"lang": language} if language else {}
     probed = with_cached(texts.select(F.col("text").alias("verbose"), cache_key(prefix, F.col("text"), **params).alias("key")), cache)
-    hits = probed.where("cached is not null").select("verbose", F.col("cached").alias("compressed"), F.lit(True).alias("hit"))
-    misses = map_texts(probed.where("cached is null").select("verbose"), "verbose", "compressed", make).withColumn("hit", F.lit(False))
-    return hits.unionByName(misses).withColumn("domain", F.lit(domain))
+    hits = probed.where("cached is not null").select("verbose", F.col("cached").alias("compressed"), "key", F.lit(True).alias("hit"))
+    asked = probed.where("cached is null").select("verbose", "key", F.replace(F.lit(template), F.lit("{input}"), F.col("verbose")).alias("seam_prompt"))
+    misses = map_texts(asked, "seam_prompt", "compressed", make).drop("seam_prompt").withColumns({"compressed": strip(F.col("compressed")), "hit": F.lit(False)})
+    more = F.create_map(*(F.lit(x) for kv in metadata.items() for x in kv)) if metadata else F.lit(None).cast("map<string,string>")
+    return hits.unionByName(misses).select("verbose", "compressed", F.lit(domain).alias("domain"), F.lit(language).cast("string").alias("language"), more.alias("metadata"), "key", "hit")
+
+
+def generation_counters(generated: DataFrame) -> DataFrame:
+    """(cached_count, generated_count) of generated pairs."""
+    return generated.agg(F.count_if("hit").alias("cached_count"), F.count_if(~F.col("hit")).alias("generated_count"))
