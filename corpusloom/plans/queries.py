@@ -3,12 +3,12 @@
 The tables hold plain prose, so operators on marked-up text, code or logs get a column that the query makes from it;
 the SQL makes the same one. All queries read whole tables. Every result is flat and its columns are named alike.
 
-Some queries cut the texts that they read, as their SQL does (README, "Queries that cut texts"); the query named alike
-with `_whole` at its end reads whole texts.
+Texts go in whole; where a pair of texts is asked for and the tables have none, the second is made from the whole first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +18,13 @@ from ..functions import (
     atomic_facts, call_cost, char_codes, clean_generated, clean_marks, code_score, combined_score, compression_ratio, cosine,
     judge_or_partial, lexical_overlap, logical_lines, masked_example, normalize_for_comparison, normalize_space, pair_hash,
     parse_judge, prompt_and_completion, reduction_percent, regex_token_count, strip_code, strip_frontmatter, strip_tags,
-    text_hash, token_counts, verdict_score, classify, cache_key, text_cost, fact_overlap,
+    text_cost, text_fact_overlap, text_hash, token_counts, verdict_score, classify, cache_key, fact_overlap,
 )
 from ..functions.classify import CODE
 from ..functions.text import ABBREVIATIONS, SYMBOLS
 from ..operators import chunks, code_units, corpus, costs, evaluate, resume, runs, training, validate
 from ..sources import readers
+from .. import seams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,10 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For costly expressions: a scan with fewer tasks than cores, such as one small file, is dealt out first. A scan of
-    many files has tasks enough and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    """For costly expressions over one small file, which a scan gives to one task: dealt out over as many tasks as the
+    session's `spark.corpusloom.spread` says. Unset, as for tables of many files, the scan is left alone."""
+    tasks = df.sparkSession.conf.get("spark.corpusloom.spread", None)
+    return df.repartition(int(tasks)) if tasks else df
+
+
+def squeezed(c: str):
+    """A short form of a whole text: its spaces left out."""
+    return F.replace(F.col(c), F.lit(" "), F.lit(""))
 
 
 def r6(c):
@@ -129,10 +135,7 @@ def conversation_user_text(spark, sf_dir):
 @query("""WITH u AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations WHERE role = 'user' AND text <> '' GROUP BY 1)
 SELECT text FROM (SELECT text, row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY conv_id) AS n FROM u WHERE length(text) BETWEEN 100 AND 2000) WHERE n = 1""")
 def multi_turn_adapter(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda x: F.struct(x.role.alias("role"), x.text.alias("content")))
-    rows = c.groupBy(F.col("conv_id").alias("idx")).agg(messages.alias("messages")).withColumn("prompt", F.lit(""))
-    return readers.multi_turn(rows, limit=None)
+    return readers.multi_turn_rows(table(spark, sf_dir, "conversations"), limit=None)
 
 
 @query("SELECT text, conv_id FROM (SELECT text, conv_id, turn, row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY conv_id, turn) AS n FROM conversations WHERE role = 'user' AND length(text) BETWEEN 100 AND 2000) WHERE n = 1")
@@ -375,12 +378,13 @@ SQL_SIGNS = [
     rf"{B}(const|let|var)\s+{W}+\s*=", r"=>\s*[{\(]?", rf"{B}async\s+(function|def|\()", r"(?s)\{\s*\n.*\n\s*\}", r"(?m);\s*$",
     rf":\s*(int|str|float|bool|list|dict|Any|None){E}", r"(?m)^\s*return\s+", r"(?m)^\s*(if|else|elif|else if)\s*[\(:]",
 ]
-CODED = "CASE doc_id % 4 WHEN 0 THEN 'import os' || chr(10) || 'def run(x):' || chr(10) || '    return x;' || chr(10) || substr(text, 1, 200) WHEN 1 THEN 'class A:' || chr(10) || '  v: int = 1;' || chr(10) || 'if (a) => {' ELSE text END"
+CODED = "CASE doc_id % 4 WHEN 0 THEN 'import os' || chr(10) || 'def run(x):' || chr(10) || '    return x;' || chr(10) || text WHEN 1 THEN 'class A:' || chr(10) || '  v: int = 1;' || chr(10) || 'if (a) => {' || chr(10) || text ELSE text END"
 
 
 def coded():
+    """Whole texts, half of them behind a few lines of code."""
     k = F.col("doc_id") % 4
-    return F.when(k == 0, F.concat(F.lit("import os\ndef run(x):\n    return x;\n"), F.substring("text", 1, 200))).when(k == 1, F.lit("class A:\n  v: int = 1;\nif (a) => {")).otherwise(F.col("text"))
+    return F.when(k == 0, F.concat(F.lit("import os\ndef run(x):\n    return x;\n"), "text")).when(k == 1, F.concat(F.lit("class A:\n  v: int = 1;\nif (a) => {\n"), "text")).otherwise(F.col("text"))
 
 
 def _any(x: str) -> str:
@@ -407,27 +411,6 @@ def domain_classify_detailed(spark, sf_dir):
     return d.select("doc_id", classify(F.col("t")).alias("x")).select("doc_id", "x.domain", "x.confidence", "x.code_ratio", F.array_join("x.indicators", ",").alias("indicators"))
 
 
-WHOLE_CODED = "CASE doc_id % 4 WHEN 0 THEN 'import os' || chr(10) || 'def run(x):' || chr(10) || '    return x;' || chr(10) || text WHEN 1 THEN 'class A:' || chr(10) || '  v: int = 1;' || chr(10) || 'if (a) => {' || chr(10) || text ELSE text END"
-
-
-def whole_coded():
-    """coded() without its cuts: the code stands before the whole text."""
-    k = F.col("doc_id") % 4
-    return F.when(k == 0, F.concat(F.lit("import os\ndef run(x):\n    return x;\n"), "text")).when(k == 1, F.concat(F.lit("class A:\n  v: int = 1;\nif (a) => {\n"), "text")).otherwise(F.col("text"))
-
-
-@query(SQL["domain_classify"].replace(CODED, WHOLE_CODED))
-def domain_classify_whole(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", whole_coded().alias("t"))
-    return d.select("doc_id", r6(code_score(F.col("t"))).alias("score"), classify(F.col("t"))["domain"].alias("domain"))
-
-
-@query(SQL["domain_classify_detailed"].replace(CODED, WHOLE_CODED))
-def domain_classify_detailed_whole(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", whole_coded().alias("t"))
-    return d.select("doc_id", classify(F.col("t")).alias("x")).select("doc_id", "x.domain", "x.confidence", "x.code_ratio", F.array_join("x.indicators", ",").alias("indicators"))
-
-
 @query("SELECT doc_id, text AS cleaned FROM (SELECT doc_id, regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS text FROM documents)")
 def generated_cleanup(spark, sf_dir):
     k = F.col("doc_id") % 3
@@ -449,9 +432,9 @@ def token_reduction(spark, sf_dir):
     return d.select("*", r6(ratio).alias("ratio"), r6(reduction_percent(ratio)).alias("reduction"))
 
 
-@query(f"SELECT lang, round(sum({SQL_COUNT.format('substr(text, 1, 100)')}) / sum({SQL_COUNT.format('text')}), 6) AS ratio FROM documents GROUP BY 1")
+@query(f"SELECT lang, round(sum({SQL_COUNT.format("replace(text, ' ', '')")}) / sum({SQL_COUNT.format('text')}), 6) AS ratio FROM documents GROUP BY 1")
 def corpus_ratio(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents")).select("lang", regex_token_count(F.col("text")).alias("v"), regex_token_count(F.substring("text", 1, 100)).alias("c"))
+    d = spread(table(spark, sf_dir, "documents")).select("lang", regex_token_count(F.col("text")).alias("v"), regex_token_count(squeezed("text")).alias("c"))
     return d.groupBy("lang").agg(r6(F.sum("c") / F.sum("v")).alias("ratio"))
 
 
@@ -535,10 +518,16 @@ def per_model_scores(spark, sf_dir):
     return s.select("model", "n", r6("avg_score").alias("avg_score"), r6("min_score").alias("min_score"))
 
 
-@query("SELECT d.doc_id, m.model, t.task FROM documents d, (VALUES ('claude'), ('gpt'), ('gemini')) m(model), (VALUES ('qa'), ('reasoning'), ('code_generation')) t(task) WHERE t.task = 'reasoning' OR (t.task = 'code_generation') = (d.lang = 'fr')")
+def sql_prompt(task: str, context: str) -> str:
+    """The prompt of a task, from the fixed values."""
+    cases = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in validate.PROMPTS.items())
+    return f"replace(CASE {task} {cases} END, '{{context}}', {context})"
+
+
+@query(f"""SELECT d.doc_id, m.model, t.task, md5({sql_prompt('t.task', 'd.text')}) AS verbose_prompt, md5({sql_prompt('t.task', "replace(d.text, ' ', '')")}) AS compressed_prompt FROM documents d, (VALUES ('claude'), ('gpt'), ('gemini')) m(model), (VALUES ('qa'), ('reasoning'), ('code_generation')) t(task) WHERE t.task = 'reasoning' OR (t.task = 'code_generation') = (d.lang = 'fr')""")
 def validation_requests(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("verbose"), F.substring("text", 1, 50).alias("compressed"), F.when(F.col("lang") == "fr", "code").otherwise("nl").alias("domain"))
-    return validate.requests(d, list(validate.MODELS)).select("doc_id", "model", "task")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("verbose"), squeezed("text").alias("compressed"), F.when(F.col("lang") == "fr", "code").otherwise("nl").alias("domain"))
+    return validate.requests(d, list(validate.MODELS)).select("doc_id", "model", "task", F.md5("verbose_prompt").alias("verbose_prompt"), F.md5("compressed_prompt").alias("compressed_prompt"))
 
 
 @query("SELECT round(count(*) * 12 * 500 / 1000000.0 * ((3.0 + 0.15 + 0.075) / 3) + count(*) * 12 * 250 / 1000000.0 * ((15.0 + 0.60 + 0.30) / 3), 6) AS validation, round(count(*) * 500 * 3 / 1000000.0 * 0.40, 6) AS training FROM documents")
@@ -556,13 +545,72 @@ def judge_scores(spark, sf_dir):
     return j.select("doc_id", "j.verdict", "j.confidence", r6(verdict_score(F.col("j.verdict"), F.col("j.confidence"))).alias("score"))
 
 
-@query(f"""WITH f AS (SELECT a.vec_id AS k, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT k AS pair_id, CAST(CASE WHEN list_cosine_similarity(CAST(x AS DOUBLE[]), CAST(y AS DOUBLE[])) > 0.8 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS overlap FROM f""")
+def sql_share(a: str, b: str) -> str:
+    """Share of the vectors of one list that have one above 0.8 in the other."""
+    return f"len(list_filter({a}, lambda u: len(list_filter({b}, lambda v: list_cosine_similarity(u, v) > 0.8)) > 0)) / len({a})"
+
+
+@query(f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT a.vec_id AS k, list_distinct([a.v, b.v, a.v]) AS x, list_distinct([c.v, a.v, c.v, a.v]) AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2)
+SELECT k AS pair_id, round(({sql_share('x', 'y')} + {sql_share('y', 'x')}) / 2.0, 6) AS overlap FROM f""")
 def fact_overlap_score(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
-    # facts {x, y} against {x, x}: x is found, y only if it is near
-    score = fact_overlap(F.array("embedding", "y"), F.array("embedding", "embedding"))
-    return p.select(F.col("vec_id").alias("pair_id"), F.when(score > 0.8, 1.0).otherwise(0.5).alias("overlap"))
+    """Facts {x, y, x} against {z, x, z, x}: x is found on both sides, y and z only if something is near; repeats count once."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    near = lambda k, n: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("x").alias(n))
+    p = e.join(near(1, "y"), "vec_id").join(near(2, "z"), "vec_id")
+    return p.select(F.col("vec_id").alias("pair_id"), r6(fact_overlap(F.array("x", "y", "x"), F.array("z", "x", "z", "x"))).alias("overlap"))
+
+
+LETTERS = "etaoinsr"
+
+
+def letter_counts(x):
+    """A toy encoder, for tests: how often each of eight letters occurs."""
+    return F.array(*((F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+
+
+def sql_letters(x: str) -> str:
+    return "[" + ", ".join(f"CAST(length({x}) - length(replace({x}, '{c}', '')) AS DOUBLE)" for c in LETTERS) + "]"
+
+
+def sql_near(a: str, b: str) -> str:
+    return f"coalesce(list_cosine_similarity({a}, {b}), 0.0)"
+
+
+def letter_encoder():
+    return lambda texts: [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
+@query(f"""WITH b AS (SELECT item_id, text, list_transform(list_distinct({SQL_FACTS}), lambda f: {sql_letters('f')}) AS facts FROM benchmark),
+p AS (SELECT a.item_id, {sql_letters('a.text')} AS u, {sql_letters('b.text')} AS v, list_distinct(a.facts) AS x, list_distinct(b.facts) AS y FROM b a JOIN b b ON b.item_id = a.item_id + 1)
+SELECT item_id, round(list_cosine_similarity(u, v), 6) AS semantic, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round((len(list_filter(x, lambda f: len(list_filter(y, lambda g: list_cosine_similarity(f, g) > 0.8)) > 0)) / len(x) + len(list_filter(y, lambda f: len(list_filter(x, lambda g: list_cosine_similarity(f, g) > 0.8)) > 0)) / len(y)) / 2.0, 6) END AS fact_overlap FROM p""")
+def detailed_report_facts(spark, sf_dir):
+    """Whole benchmark items against the next, with an encoder passed in for the texts and their facts."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    p = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
+    p = evaluate.quick_equivalence(p, letter_encoder, "text", "other")
+    d = p.select("item_id", evaluate.detailed_equivalence(F.col("text"), F.col("other"), F.col("semantic"), facts=True, overlap=text_fact_overlap(F.col("text"), F.col("other"), letter_counts)).alias("x"))
+    return d.select("item_id", r6("x.semantic_similarity").alias("semantic"), r6("x.fact_overlap").alias("fact_overlap"))
+
+
+@query(f"""WITH p AS (SELECT a.doc_id, {sql_letters('a.text')} AS u, {sql_letters('b.text')} AS v FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1)
+SELECT doc_id, round(CASE WHEN len(list_filter(u, lambda x: x > 0)) = 0 OR len(list_filter(v, lambda x: x > 0)) = 0 THEN 0.0 ELSE list_cosine_similarity(u, v) END, 6) AS semantic FROM p""")
+def batched_similarity(spark, sf_dir):
+    """Every document with the one before it, each distinct text encoded once by an encoder that is passed in."""
+    return evaluate.quick_equivalence(shifted(spark, sf_dir), letter_encoder, "text", "other").select("doc_id", r6("semantic").alias("semantic"))
+
+
+def counters():
+    """Three encoders, as users pass them in: bytes, characters and words."""
+    return {"bytes": lambda: lambda ts: [list((t or "").encode()) for t in ts], "characters": lambda: lambda ts: [list(t or "") for t in ts], "words": lambda: lambda ts: [re.findall(r"[^ \n]+", t or "") for t in ts]}
+
+
+@query("""WITH c AS (SELECT doc_id, lang, strlen(text) AS tokens_bytes, CAST(length(text) AS BIGINT) AS tokens_characters, CAST(len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '')) AS BIGINT) AS tokens_words FROM documents)
+SELECT *, round(tokens_bytes / 1000000.0 * 3.0, 9) AS price, round(CASE WHEN tokens_bytes > 0 THEN tokens_words / tokens_bytes ELSE 1.0 END, 6) AS ratio FROM c""")
+def counts_by_given_tokenizers(spark, sf_dir):
+    """Token counts, price and ratio with tokenizers that are passed in as callables."""
+    d = seams.count_tokens(spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text"), "text", counters()).drop("text")
+    return d.select("*", F.round(text_cost(F.lit("claude-sonnet-4-20250514"), F.col("tokens_bytes")), 9).alias("price"), r6(compression_ratio(F.col("tokens_bytes"), F.col("tokens_words"))).alias("ratio"))
 
 
 @query(f"""WITH p AS (SELECT a.doc_id, {TOKENS.format('a.text')} AS x, {TOKENS.format('b.text')} AS y, a.text AS t FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1)
@@ -580,6 +628,17 @@ def evaluate_generator(spark, sf_dir):
     return out.select("input_text", "compressed_text", r6("compression_ratio").alias("compression_ratio"), r6("min_equivalence").alias("min_equivalence"), "passed")
 
 
+@query(f"""WITH t AS (SELECT {sql_strip('text')} AS x FROM documents), u AS (SELECT x, substr(x, 1, length(x) // 2) AS y FROM t WHERE x <> ''),
+e AS (SELECT {SQL_COUNT.format('y')} / {SQL_COUNT.format('x')} AS ratio, least(length(y) / length(x), {sql_near(sql_letters('x'), sql_letters('y'))}) AS low FROM u)
+SELECT count(*) AS examples, round(avg(ratio), 6) AS avg_ratio, round(avg(low), 6) AS avg_equivalence, round(min(low), 6) AS min_equivalence FROM e""")
+def evaluation_report(spark, sf_dir):
+    """The summary of an evaluation under two models' scores, the least of which counts."""
+    half = lambda: lambda texts: [t[: len(t) // 2] for t in texts]
+    scores = {"length": lambda a, b: F.length(b) / F.length(a), "letters": lambda a, b: cosine(letter_counts(a), letter_counts(b))}
+    s = validate.evaluation_summary(evaluate.evaluate(training.chat_rows(pairs(spark, sf_dir)), half, scores))
+    return s.select("examples", *(r6(c).alias(c) for c in ("avg_ratio", "avg_equivalence", "min_equivalence")))
+
+
 @query("SELECT lang, CAST(floor(count(*) * 0.8) AS BIGINT) AS train, CAST(floor(count(*) * 0.1) AS BIGINT) AS valid, count(*) - CAST(floor(count(*) * 0.8) AS BIGINT) - CAST(floor(count(*) * 0.1) AS BIGINT) AS test FROM documents GROUP BY 1")
 def split_preview(spark, sf_dir):
     n = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
@@ -590,43 +649,31 @@ def split_preview(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("verbose"), F.substring("text", 1, 40).alias("compressed"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("verbose"), squeezed("text").alias("compressed"))
 
 
-@query("SELECT 'system' AS r1, 'user' AS r2, 'assistant' AS r3, 'Compress:' || chr(10) || text AS user_text, substr(text, 1, 40) AS reply FROM documents")
+@query("SELECT 'system' AS r1, 'user' AS r2, 'assistant' AS r3, 'Compress:' || chr(10) || text AS user_text, replace(text, ' ', '') AS reply FROM documents")
 def chat_format(spark, sf_dir):
     m = training.chat_rows(pairs(spark, sf_dir))
     return m.select(*(F.col("messages")[i]["role"].alias(f"r{i + 1}") for i in range(3)), F.col("messages")[1]["content"].alias("user_text"), F.col("messages")[2]["content"].alias("reply"))
 
 
-@query("SELECT 'Compress:' || chr(10) || text AS prompt, substr(text, 1, 40) AS completion FROM documents")
+@query("SELECT 'Compress:' || chr(10) || text AS prompt, replace(text, ' ', '') AS completion FROM documents")
 def completion_format(spark, sf_dir):
     return training.completion_rows(pairs(spark, sf_dir))
 
 
-@query("SELECT '### Input:' || chr(10) || text || chr(10) || chr(10) || '### Output:' || chr(10) || substr(text, 1, 40) AS text FROM documents")
+@query("SELECT '### Input:' || chr(10) || text || chr(10) || chr(10) || '### Output:' || chr(10) || replace(text, ' ', '') AS text FROM documents")
 def text_format(spark, sf_dir):
     return training.text_rows(pairs(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT item_id, list_transform(regexp_extract_all('ab' || substr(text, 1, 20), '(?s).'), lambda x: unicode(x)) AS p, list_transform(regexp_extract_all(substr(text, 21, 10), '(?s).'), lambda x: unicode(x)) AS c FROM benchmark),
-a AS (SELECT item_id, list_concat(p, c) AS ids, list_concat(list_transform(p, lambda x: 0), list_transform(c, lambda x: 1)) AS w FROM c)
-SELECT item_id, array_to_string(ids[1 : len(ids) - 1], ',') AS tokens, array_to_string(ids[2 :], ',') AS targets, array_to_string(w[2 :], ',') AS weights FROM a""")
-def loss_mask_tokens(spark, sf_dir):
-    said = [("system", F.lit("ab")), ("user", F.substring("text", 1, 20)), ("assistant", F.substring("text", 21, 10))]
-    b = table(spark, sf_dir, "benchmark").withColumn("messages", F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in said)))
-    p, c = prompt_and_completion(F.col("messages"))
-    x = b.select("item_id", masked_example(char_codes(F.replace(p, F.lit("ab\n"), F.lit("ab"))), char_codes(c)).alias("x"))
-    join = lambda a: F.array_join(F.transform(a, lambda y: y.cast("string")), ",")
-    return x.select("item_id", join("x.tokens").alias("tokens"), join("x.target_tokens").alias("targets"), join("x.weights").alias("weights"))
-
-
 @query("""WITH h AS (SELECT item_id, 'ab' || chr(10) || substr(text, 1, length(text) // 2) AS user_text, substr(text, length(text) // 2 + 1) AS reply FROM benchmark),
 c AS (SELECT item_id, list_transform(regexp_extract_all(user_text, '(?s).'), lambda x: unicode(x)) AS p, list_transform(regexp_extract_all(reply, '(?s).'), lambda x: unicode(x)) AS c FROM h),
 a AS (SELECT item_id, list_concat(p, c) AS ids, list_concat(list_transform(p, lambda x: 0), list_transform(c, lambda x: 1)) AS w FROM c)
 SELECT item_id, array_to_string(ids[1 : len(ids) - 1], ',') AS tokens, array_to_string(ids[2 :], ',') AS targets, array_to_string(w[2 :], ',') AS weights FROM a""")
-def loss_mask_tokens_whole(spark, sf_dir):
-    """loss_mask_tokens without its cut: the first half of each whole text is the user turn, all the rest the assistant turn."""
+def loss_mask_tokens(spark, sf_dir):
+    """The first half of each whole text is the user turn, all the rest the assistant turn."""
     half = F.floor(F.length("text") / 2).cast("int")
     said = [("system", F.lit("ab")), ("user", F.substring("text", 1, half)), ("assistant", F.substring("text", half + 1, F.length("text")))]
     b = table(spark, sf_dir, "benchmark").withColumn("messages", F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in said)))
@@ -729,28 +776,45 @@ def perplexity(spark, sf_dir):
 
 
 def sources(spark, sf_dir):
-    body = "def run_{0}(x):\n    \"\"\"Doc.\"\"\"\n    y = x + {0}\n    # note\n    z = y * {0}\n    text = 'a long enough line to pass the window of characters {0}'\n    return y, z, text\n\n\nclass K{0}:\n    def __init__(self, a):\n        self.a = a\n\n    def go(self, b):\n        c = self.a + b\n        d = [c for _ in range({0})]\n        e = 'another long line that makes this method pass the window {0}'\n        return c, d, e\n\n    def test_it(self):\n        return None\n"
-    return table(spark, sf_dir, "documents").select(F.replace(F.lit(body), F.lit("{0}"), F.col("doc_id").cast("string")).alias("source"), F.concat("source", F.lit(".py")).alias("path"))
+    """A module for each document, with the whole text as a string in a function and in a method."""
+    body = "def run_{0}(x):\n    \"\"\"Doc.\"\"\"\n    y = x + {0}\n    # note\n    z = y * {0}\n    text = '{1}'\n    return y, z, text\n\n\nclass K{0}:\n    def __init__(self, a):\n        self.a = a\n\n    def go(self, b):\n        c = self.a + b\n        d = [c for _ in range({0})]\n        e = '{1}'\n        return c, d, e\n\n    def test_it(self):\n        return None\n"
+    quoted = F.translate("text", "\\'\n\r", '/"  ')
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.replace(F.replace(F.lit(body), F.lit("{0}"), F.col("doc_id").cast("string")), F.lit("{1}"), quoted).alias("source"), F.concat("source", F.lit(".py")).alias("path"))
+
 
+#: Units of those modules by hand: their lines, and their characters without the id, its digits and the text.
+UNITS = """u AS (SELECT source, unit_type, lines, fixed + ids * length(CAST(doc_id AS VARCHAR)) + texts * length(text) AS chars FROM documents, (VALUES ('function', 7, 100, 3, 1), ('class', 12, 214, 2, 1), ('method', 5, 114, 1, 1)) k(unit_type, lines, fixed, ids, texts)),
+f AS (SELECT * FROM u WHERE chars BETWEEN 100 AND 3000)"""
 
-@query("SELECT u.unit_type, count(*) AS n, CAST(sum(u.lines * 1) AS BIGINT) AS total_lines FROM documents, (VALUES ('function', 7), ('class', 12), ('method', 5)) u(unit_type, lines) GROUP BY 1")
+
+@query(f"WITH {UNITS} SELECT unit_type, count(*) AS n, CAST(sum(lines) AS BIGINT) AS total_lines FROM f GROUP BY 1")
 def code_unit_counts(spark, sf_dir):
     u = code_units.code_units(sources(spark, sf_dir))
     return u.groupBy("unit_type").agg(F.count("*").alias("n"), F.sum((F.col("end_line") - F.col("start_line") + 1).cast("long")).alias("total_lines"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS same, doc_id % 5 = 0 AS broken FROM documents")
+@query(f"WITH {UNITS} SELECT count(*) FILTER (unit_type = 'function') AS n_function, count(*) FILTER (unit_type = 'class') AS n_class, count(*) FILTER (unit_type = 'method') AS n_method, CAST(sum(chars) AS BIGINT) AS total_chars, CAST(sum(chars) // count(*) AS BIGINT) AS avg_chars, CAST(floor(sum(lines) / count(*)) AS BIGINT) AS avg_lines, count(DISTINCT source) AS files FROM f")
+def code_corpus_summary(spark, sf_dir):
+    s = corpus.code_corpus_summary(code_units.code_units(sources(spark, sf_dir)))
+    return s.select("n_function", "n_class", "n_method", "total_chars", "avg_chars", "avg_lines", "files")
+
+
+#: The dumps of the two trees share 82 characters and differ in a name of k.
+@query("SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 82 / (82.0 + doc_id % 20 + 1) END, 6) AS likeness FROM documents")
 def ast_likeness(spark, sf_dir):
-    a = F.lit("def f(x):\n    return x + 1\n")
-    b = F.when(F.col("doc_id") % 5 == 0, "def (").when(F.col("doc_id") % 2 == 0, "def f(x):\n\n    return x + 1  # same").otherwise("y = [i for i in range(3)]")
-    d = table(spark, sf_dir, "documents").select("doc_id", code_units.ast_similarity(a, b).alias("s"))
-    return d.select("doc_id", ((F.col("s") == 1) | ((F.col("doc_id") % 10 == 0) & (F.col("s") == 0))).alias("same"), (F.col("s") == 0).alias("broken"))
+    """Two assignments to names that differ in every character, the longer the less alike; every fifth can't be parsed."""
+    k = (F.col("doc_id") % 20 + 1).cast("int")
+    other = F.when(F.col("doc_id") % 5 == 0, "def (").otherwise(F.concat(F.repeat(F.lit("b"), k), F.lit(" = 1\n")))
+    d = table(spark, sf_dir, "documents").select("doc_id", code_units.ast_similarity(F.concat(F.repeat(F.lit("a"), k), F.lit(" = 1\n")), other).alias("s"))
+    return d.select("doc_id", r6("s").alias("likeness"))
 
 
-@query("SELECT count(*) AS n_function, count(*) AS n_class, count(*) AS n_method, CAST(sum(f + c + m) AS BIGINT) AS total_chars, count(DISTINCT source) AS files FROM (SELECT source, 152 + 4 * length(CAST(doc_id AS VARCHAR)) AS f, 271 + 3 * length(CAST(doc_id AS VARCHAR)) AS c, 171 + 2 * length(CAST(doc_id AS VARCHAR)) AS m FROM documents)")
-def code_corpus_summary(spark, sf_dir):
-    s = corpus.code_corpus_summary(code_units.code_units(sources(spark, sf_dir)))
-    return s.select("n_function", "n_class", "n_method", "total_chars", "files")
+@query()
+def ast_likeness_texts(spark, sf_dir):
+    """Modules that hold whole texts, each against the one before it by id."""
+    d = sources(spark, sf_dir).select("doc_id", "source")
+    p = d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("source").alias("other")), "doc_id")
+    return p.select("doc_id", r6(code_units.ast_similarity(F.col("source"), F.col("other"))).alias("likeness"))
 
 
 @query("SELECT doc_id FROM documents WHERE length(text) > 50 ORDER BY lang, doc_id LIMIT 77")
@@ -759,8 +823,13 @@ def ordered_limit(spark, sf_dir):
     return corpus.ordered_limit(d, 77, ["lang", "doc_id"]).select("doc_id")
 
 
-@query("SELECT item_id, model, sha256('Analyze the following information and explain the main implications.' || chr(10) || chr(10) || 'Information:' || chr(10) || text || chr(10) || chr(10) || 'Analysis:') AS prompt_hash FROM benchmark, (VALUES ('claude-sonnet-4-20250514'), ('gpt-4o-mini')) m(model)")
+QA = "'Based on the following context, answer the question concisely.' || chr(10) || chr(10) || 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: What are the key points mentioned?' || chr(10) || 'Answer:'"
+REASONING = "'Analyze the following information and explain the main implications.' || chr(10) || chr(10) || 'Information:' || chr(10) || text || chr(10) || chr(10) || 'Analysis:'"
+CODE_GENERATION = "'Based on the following specification, write the corresponding code.' || chr(10) || chr(10) || 'Specification:' || chr(10) || text || chr(10) || chr(10) || 'Code:'"
+
+
+@query(f"SELECT item_id, model, task, CASE task WHEN 'reasoning' THEN {REASONING} WHEN 'code_generation' THEN {CODE_GENERATION} ELSE {QA} END AS prompt FROM benchmark, (VALUES ('claude-sonnet-4-20250514'), ('gpt-4o-mini')) m(model), (VALUES ('qa'), ('reasoning'), ('code_generation'), ('summarization')) t(task)")
 def task_prompts(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("verbose"), F.col("text").alias("compressed"), F.lit("nl").alias("domain"))
-    asked = validate.requests(b, ["claude", "gpt"], ["reasoning"])
-    return asked.select("item_id", validate.model_name(F.col("model")).alias("model"), F.sha2("verbose_prompt", 256).alias("prompt_hash"))
+    asked = validate.requests(b, ["claude", "gpt"], ["qa", "reasoning", "code_generation", "summarization"])
+    return asked.select("item_id", validate.model_name(F.col("model")).alias("model"), "task", F.col("verbose_prompt").alias("prompt"))

@@ -17,7 +17,7 @@ def same_as_sql(name, got, directory):
 def test_loss_mask_reads_whole_texts(spark, tables):
     texts = ["abc", "x", "", "é»→" * 30 + "end", "in ab\n" * 20, "word " * 400 + "last"]
     d = tables(benchmark=(list(enumerate(texts)), "item_id long, text string"))
-    got = {r.item_id: r for r in queries.QUERIES["loss_mask_tokens_whole"](spark, d).collect()}
+    got = {r.item_id: r for r in queries.QUERIES["loss_mask_tokens"](spark, d).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         half = len(t) // 2
@@ -28,7 +28,7 @@ def test_loss_mask_reads_whole_texts(spark, tables):
 
 def test_loss_mask_whole_sql(spark):
     d = "/root/testdata/sf0.01"
-    same_as_sql("loss_mask_tokens_whole", queries.QUERIES["loss_mask_tokens_whole"](spark, d).collect(), d)
+    same_as_sql("loss_mask_tokens", queries.QUERIES["loss_mask_tokens"](spark, d).collect(), d)
 
 
 def test_classifiers_read_whole_texts(spark, tables):
@@ -38,8 +38,8 @@ def test_classifiers_read_whole_texts(spark, tables):
     texts = [prose * 10 + code * 9, code * 9, prose * 3 + code, code * 3 + prose * 40, "", " ", code * 20, prose, prose * 9 + "x: int"]
     d = tables(documents=(list(enumerate(texts)), "doc_id long, text string"))
     heads = {0: "import os\ndef run(x):\n    return x;\n", 1: "class A:\n  v: int = 1;\nif (a) => {\n"}
-    plain = {r.doc_id: r for r in queries.QUERIES["domain_classify_whole"](spark, d).collect()}
-    full = {r.doc_id: r for r in queries.QUERIES["domain_classify_detailed_whole"](spark, d).collect()}
+    plain = {r.doc_id: r for r in queries.QUERIES["domain_classify"](spark, d).collect()}
+    full = {r.doc_id: r for r in queries.QUERIES["domain_classify_detailed"](spark, d).collect()}
     assert len(plain) == len(full) == len(texts)
     for i, t in enumerate(texts):
         domain, sure, score, shown = py_classify(heads.get(i % 4, "") + t)
@@ -49,5 +49,18 @@ def test_classifiers_read_whole_texts(spark, tables):
 
 def test_classifiers_whole_sql(spark):
     d = "/root/testdata/sf0.01"
-    for name in ("domain_classify_whole", "domain_classify_detailed_whole"):
+    for name in ("domain_classify", "domain_classify_detailed"):
         same_as_sql(name, queries.QUERIES[name](spark, d).collect(), d)
+
+
+def test_likeness_of_whole_texts(spark, tables):
+    import ast
+    from difflib import SequenceMatcher
+
+    texts = ["plain words", "plain words here", "it's \\ a line\nand more", "w " * 500]
+    d = tables(documents=([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"))
+    source = {r.doc_id: r.source for r in queries.sources(spark, d).collect()}
+    assert all("w " * 500 in source[3] and t.split()[0].strip("\'") in source[i].replace('"', "'") for i, t in enumerate(texts))
+    dump = lambda i: ast.dump(ast.parse(source[i]))
+    got = {r.doc_id: r.likeness for r in queries.QUERIES["ast_likeness_texts"](spark, d).collect()}
+    assert got == {i: round(SequenceMatcher(None, dump(i), dump(i - 1)).ratio(), 6) for i in range(1, 4)}
