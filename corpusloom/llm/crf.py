@@ -1,8 +1,12 @@
 """Linear-chain conditional random field over word-shape features: training and batched Viterbi in numpy.
 
 Tokens are runs of bytes above the space. A token's shape is its sequence of byte classes with repeats collapsed (so
-`555-2652` is `9-9`); features are hashes of the shapes and coarse lengths of a token and its neighbours, of its lower-
-case bytes where it is short, and of the neighbours' bytes. Each feature has a weight for each label in a hashed table.
+`555-2652` is `9-9`); features are hashes of the shapes and coarse lengths of a token and its neighbours, of its
+digits, dots and signs in any order, and of the bytes of the token before. Each feature has a weight for each label in a
+hashed table.
+
+Memory goes with the tokens of a text, a few dozen bytes each: features are made and weighed in slices, and Viterbi runs
+over the stretches that can hold anything but O, those of like length together, so one long line costs short ones nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ HEX = np.zeros(256, bool)
 HEX[0x30:0x3A] = HEX[0x61:0x67] = True
 KIND = randoms(256, 41)
 POWER = powers(4096, int(randoms(1, 42)[0]) | 1)
-SALT, TEMPLATE = randoms(3, 43), randoms(9, 44)
+#: Tokens, and bytes of them, whose features are made at once; padded places of one Viterbi pass.
+SLICE, STEP, CELLS = 1 << 15, 1 << 18, 200_000
+SALT, TEMPLATE = randoms(3, 43), randoms(10, 44)
 U = np.uint64
 
 
@@ -40,38 +46,46 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     stop[tails] = inside[tails]
     breaks = data == 0x0A
     breaks[heads] = True
-    return starts, np.flatnonzero(stop) + 1, np.cumsum(breaks)[starts] if len(starts) else starts
+    return starts, np.flatnonzero(stop) + 1, np.cumsum(breaks, dtype=np.int32)[starts] if len(starts) else starts
 
 
-def polynomial(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each run of values that starts at `first`."""
-    n = np.diff(np.append(first, len(values)))
-    place = np.arange(len(values)) - np.repeat(first, n)
-    return mix(np.add.reduceat(values * POWER[np.minimum(place, len(POWER) - 1)], first) + n.astype(np.uint64))
+def polynomial(table: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each run of table[codes] that starts at `first`, worked out in steps of bounded size."""
+    n = np.diff(np.append(first, len(codes)))
+    out = np.zeros(len(first), np.uint64)
+    for a in range(0, len(codes), STEP):
+        b = min(a + STEP, len(codes))
+        runs = slice(int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b)))
+        heads = np.maximum(first[runs], a)
+        place = np.arange(a, b) - np.repeat(first[runs], np.diff(np.append(heads, b)))
+        out[runs] += np.add.reduceat(table[codes[a:b]] * POWER[np.minimum(place, len(POWER) - 1)], heads - a)
+    return mix(out + n.astype(np.uint64))
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Buckets of each token's features, a row for each token."""
     n = ends - starts
-    own = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
-    raw = data[own]
+    raw = data[starts[0] : ends[-1]]
+    raw = raw[raw > 0x20]
     first = np.cumsum(n) - n
     kind = CLASS[raw]
     change = np.append(True, kind[1:] != kind[:-1])
     change[first] = True
-    at = np.cumsum(change)[first] - 1
-    shape = polynomial(KIND[kind[change]], at)
-    digits = np.add.reduceat((kind == 1).astype(np.int64), first)
-    hexes = np.add.reduceat(HEX[raw].astype(np.int64), first) == n
-    dots = np.add.reduceat((raw == 0x2E).astype(np.int64), first)
-    word = polynomial(BYTE[raw], first)
+    at = np.cumsum(change, dtype=np.int32)[first] - 1
+    shape = polynomial(KIND, kind[change], at)
+    digits = np.add.reduceat(kind == 1, first, dtype=np.int64)
+    hexes = np.add.reduceat(HEX[raw], first, dtype=np.int64) == n
+    dots = np.add.reduceat(raw == 0x2E, first, dtype=np.int64)
+    signs = np.add.reduceat(raw == 0x40, first, dtype=np.int64)
+    word = polynomial(BYTE, raw, first)
     size = np.minimum(np.log2(n).astype(np.int64), 7).astype(np.uint64) + U(8) * hexes.astype(np.uint64)
     count = np.minimum(digits, 20).astype(np.uint64) * U(4) + np.minimum(dots, 3).astype(np.uint64)
+    marks = np.minimum(signs, 2) + 3 * (dots > 0)  # whatever their order and number
     edge = U(1)
     same = np.append(False, line[1:] == line[:-1])
     before = lambda x: np.where(same, np.append(edge, x[:-1]), edge)
     after = lambda x: np.where(np.append(same[1:], False), np.append(x[1:], edge), edge)
-    columns = [shape, shape + size * SALT[0], shape ^ count * SALT[1], before(shape), after(shape), mix(before(shape) + shape * U(3)), mix(after(shape) + shape * U(5)), before(word), mix(count * SALT[2] + before(count))]
+    columns = [shape, shape + size * SALT[0], shape ^ count * SALT[1], before(shape), after(shape), mix(before(shape) + shape * U(3)), mix(after(shape) + shape * U(5)), before(word), mix(count * SALT[2] + before(count)), marks.astype(np.uint64)]
     return np.stack([(mix(c ^ TEMPLATE[i]) >> U(64 - 15)).astype(np.int32) for i, c in enumerate(columns)], 1)
 
 
@@ -125,32 +139,56 @@ class Crf:
         self.weights[used], self.moves = w, a.astype(np.float32)
         return self
 
-    def decode(self, f: np.ndarray, line: np.ndarray) -> np.ndarray:
-        """The best label of every token. Lines in which no token can leave O under any neighbours are O outright:
-        each other label's gain over O plus twice the best gain of a transition is not above zero there."""
+    def label(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """The best label of every token. A slice's features see one token to each side of it."""
+        out = np.zeros((len(starts), len(LABELS)), np.float32)
+        a, size = 0, np.concatenate([[0], np.cumsum(ends - starts)])
+        while a < len(starts):
+            b = max(a + 1, min(a + SLICE, int(np.searchsorted(size, size[a] + STEP, "right")) - 1))
+            lo, hi = max(0, a - 1), min(len(starts), b + 1)
+            out[a:b] = self.emissions(features(data, starts[lo:hi], ends[lo:hi], line[lo:hi])[a - lo : b - lo])
+            a = b
+        return self.decode(out, line)
+
+    def stretches(self, e: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, one past the last) of the stretches of a line outside of which a best path is O throughout.
+
+        A token is O in a best path if no other label gains on O under any neighbours. Between two such tokens a run of
+        other labels gains on O at most each token's gain and twice the best gain of a transition on O to O, so a
+        stretch without a token for which that is above zero is O too."""
+        m = self.moves
+        enter, leave = np.maximum((m[:, 1:] - m[:, :1]).max(0), 0), np.maximum((m[1:] - m[:1]).max(1), 0)
+        free = (e[:, 1:] + (enter + leave) > e[:, :1]).any(1)
+        hot = e[:, 1:].max(1) - e[:, 0] + 2 * max(0.0, float((m - m[0, 0]).max())) > 0
+        near = np.append(False, free[1:] & free[:-1] & (line[1:] == line[:-1]))  # belongs with the token before
+        first = np.flatnonzero(free & ~near)
+        last = np.flatnonzero(free & ~np.append(near[1:], False)) + 1
+        sums = np.concatenate([[0], np.cumsum(hot)])
+        alive = sums[last] > sums[first]
+        return first[alive], last[alive]
+
+    def decode(self, e: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """The best label of every token from its emissions."""
         out = np.zeros(len(line), np.int64)
         if not len(line):
             return out
-        e = self.emissions(f)
-        most = 2 * max(0.0, float((self.moves - self.moves[0, 0]).max()))
-        hot = e[:, 1:].max(1) - e[:, 0] + most > 0
-        if not hot.any():
-            return out
-        new = np.append(True, line[1:] != line[:-1])
-        number = np.cumsum(new) - 1
-        alive = np.zeros(number[-1] + 1, bool)
-        alive[number[hot]] = True
-        keep = np.flatnonzero(alive[number])
-        grid, mask = padded(number[keep])
-        order = np.argsort(mask.sum(1), kind="stable")
-        sums = mask.sum(1)[order]
+        first, last = self.stretches(e, line)
+        size = last - first
+        by = np.argsort(size, kind="stable")
+        first, last, size = first[by], last[by], size[by]
         a = 0
-        while a < len(order):  # lines of like length go together
-            b = max(a + 1, min(int(np.searchsorted(sums, 2 * sums[a], "right")), a + max(1, 200_000 // int(2 * sums[a]))))
-            own, width = order[a:b], int(sums[b - 1])
-            g, m = grid[own, :width], mask[own, :width]
-            path = viterbi(e[keep[g]], m, self.moves)
-            out[keep[g[m]]] = path[m]
+        while a < len(size):  # stretches of like length go together
+            b = max(a + 1, min(int(np.searchsorted(size, 2 * size[a], "right")), a + max(1, CELLS // int(2 * size[a]))))
+            span = np.arange(size[b - 1])
+            mask = span < size[a:b, None]
+            at = np.where(mask, first[a:b, None] + span, 0)
+            x = e[at]
+            before, after = first[a:b] - 1, last[a:b]
+            inside = (before >= 0) & (line[before] == line[first[a:b]])
+            x[inside, 0] += self.moves[0]
+            inside = (after < len(line)) & (line[np.minimum(after, len(line) - 1)] == line[last[a:b] - 1])
+            x[np.flatnonzero(inside), size[a:b][inside] - 1] += self.moves[:, 0]
+            out[at[mask]] = viterbi(x, mask, self.moves)[mask]
             a = b
         return out
 
@@ -194,6 +232,9 @@ def labelled_table(n: int = 600, seed: int = 5) -> list[tuple[list[str], list[st
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     tail = lambda: rng.choice(["", "", "", "", ",", ".", ";", "!", "?", ")", "***", "%%%", "&&&", "$$$", "###", "!!"])
 
+    def mixed(k: int, more: str = "") -> str:
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(k))
+
     def prose() -> str:
         w = word()
         x = rng.random()
@@ -219,7 +260,7 @@ def labelled_table(n: int = 600, seed: int = 5) -> list[tuple[list[str], list[st
             ("ip", [[".".join(str(rng.randrange(256)) for _ in range(4))]]),
             ("card", [["".join(d)], ["".join(d)], d, ["-".join(d)], [".".join(d)]]),
             ("phone", [[f"+{digits(1)}", f"({area})", f"{a}-{b}"], [f"+{digits(2)}", area, a, b], [f"({area})", f"{a}-{b}"], [f"{area}-{a}-{b}"], [f"+{digits(11)}"], [f"{area}.{a}.{b}"]]),
-            ("secret", [["token", "=", f'"{token}"'], ["token", "=", f'"{token}"'], ["secret_key", "=", f'"{token}"'], ["api_key:", token]]),
+            ("secret", [["token", "=", f'"{token}"'], ["token", "=", f'"{token}"'], ["secret_key", "=", f'"{token}"'], ["api_key:", token], ["password", "=", f'"{mixed(24)}"'], ["aws_secret", "=", f'"{mixed(40, "+/")}"'], ["api_key:", f"sk-{mixed(32)}"], ["token:", f"ghp_{mixed(36)}"], ["token", "=", f'"{mixed(43, "_-")}="'], ["Bearer", mixed(40, "._-")]]),
         ])
         form = list(rng.choice(forms))
         form[-1] += rng.choice(["", "", "", ",", ".", "###", "!!"])

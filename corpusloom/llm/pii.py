@@ -2,8 +2,9 @@
 
 Pattern spans always stay. The field, trained on the driver from a small labelled table, labels every token of every
 line; runs of one label become spans if they do not meet a pattern span and hold what their kind needs (a card 13 to 19
-digits that pass Luhn, a phone 9 to 15 digits, an address four parts of at most 255, a secret 20 or more hex digits, an
-e-mail a name and a host), so numbers that the patterns turned down stay out.
+digits that pass Luhn, a phone 9 to 15 digits, an address four parts of at most 255, a secret 20 or more hex digits or
+characters of a key as base64 and prefixed keys have them, an e-mail a name and a host), so numbers that the patterns
+turned down stay out.
 
 Defined results: null text is empty text and has no spans; offsets count code points; equal texts give equal spans and
 repeated rows repeated results; an empty table gives an empty result; other columns are not read.
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, pieces, positional, small_batches, table
-from .crf import LABELS, Crf, features, fit_labelled, labelled_table, tokens
+from .crf import LABELS, Crf, fit_labelled, labelled_table, tokens
 
 KINDS = LABELS[1:]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,6 +35,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 OPENING, CLOSING = "\"'(<[{", "\"'.,;:!?)>]}*%&$#"
+#: Characters of keys; a key that is not all hex digits has digits, both cases and this many different characters.
+KEY, VARIED = re.compile(r"[A-Za-z0-9+/_.=-]{20,}"), 10
 DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -79,7 +84,9 @@ def holds(kind: str, s: str) -> bool:
         return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", s)) and all(int(p) <= 255 for p in s.split("."))
     if kind == "email":
         return bool(re.fullmatch(r"[\w.%+-]+\s*(?:@|[\[(<]\s*at\s*[\])>])\s*[\w-]+(?:(?:\.|\s*[\[(<]\s*dot\s*[\])>]\s*)[\w-]+)+", s))
-    return len(s) >= 20 and bool(re.fullmatch(r"[0-9a-fA-F]+", s)) and bool(DIGIT.search(s))
+    if not KEY.fullmatch(s) or not DIGIT.search(s):
+        return False
+    return bool(re.fullmatch(r"[0-9a-fA-F]+", s)) or (len(set(s)) >= VARIED and s != s.lower() and s != s.upper())
 
 
 def field_spans(field: Crf, data: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
@@ -88,7 +95,7 @@ def field_spans(field: Crf, data: np.ndarray, offs: np.ndarray) -> dict[int, lis
     out: dict[int, list] = {}
     if not len(starts):
         return out
-    labels = field.decode(features(data, starts, ends, line), line)
+    labels = field.label(data, starts, ends, line)
     some = np.flatnonzero(labels)
     if not len(some):
         return out
@@ -116,12 +123,14 @@ def all_spans(texts: list, data: np.ndarray, offs: np.ndarray, field: Crf) -> It
         if i not in added:
             yield base, base
             continue
-        raw = data[offs[i] : offs[i + 1]].tobytes()
+        points = np.cumsum((data[offs[i] : offs[i + 1]] & 0xC0) != 0x80, dtype=np.int32)  # code points up to each byte
+        by_start = sorted((x, y) for _, x, y in base)
+        heads, reach = [x for x, _ in by_start], list(accumulate((y for _, y in by_start), max))
         more = []
         for kind, a, b in added[i]:
-            a = len(raw[:a].decode())
-            b = a + len(raw[len(text[:a].encode()) : b].decode())
-            if all(b <= x or y <= a for _, x, y in base):
+            a, b = int(points[a]) - 1, int(points[b - 1])
+            k = bisect_left(heads, b)
+            if not k or reach[k - 1] <= a:  # meets no pattern span
                 more.append((kind, a, b))
         yield base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1])) if more else base
 

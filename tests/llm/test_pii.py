@@ -55,7 +55,7 @@ def test_field_on_unseen_rows(field):
     data = np.frombuffer("\n".join(" ".join(w) for w, _ in rows).encode(), np.uint8)
     starts, ends, line = crf.tokens(data, np.array([0, len(data)]))
     gold = np.array([crf.LABELS.index(y) for _, ys in rows for y in ys])
-    assert (field.decode(crf.features(data, starts, ends, line), line) == gold).mean() > 0.96
+    assert (field.label(data, starts, ends, line) == gold).mean() > 0.96
 
 
 def test_viterbi_and_shortcut_against_all_paths(field):
@@ -69,7 +69,8 @@ def test_viterbi_and_shortcut_against_all_paths(field):
         model = crf.Crf()
         model.moves = field.moves + scale * rng.normal(size=field.moves.shape).astype(np.float32)
         model.weights = field.weights + scale * rng.normal(size=field.weights.shape).astype(np.float32)
-        e, got = model.emissions(f), model.decode(f, line)
+        e = model.emissions(f)
+        got = model.decode(e, line)
         for k in set(line.tolist()):
             own = np.flatnonzero(line == k)
             value = lambda p: sum(e[i, y] for i, y in zip(own, p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
@@ -101,3 +102,84 @@ def test_stage(spark):
 
 def test_empty_table(spark, tables):
     assert pii.op7_pii(spark, tables(documents=([], "doc_id long, text string"))).count() == 0
+
+
+def lines_of(rows):
+    """Lines with the spans of their labelled runs, in bytes."""
+    for words, labels in rows:
+        at, spans, text = 0, [], " ".join(words)
+        for k, (w, y) in enumerate(zip(words, labels)):
+            if y != "O":
+                if k and labels[k - 1] == y and spans:
+                    spans[-1][2] = at + len(w.encode())
+                else:
+                    spans.append([y, at, at + len(w.encode())])
+            at += len(w.encode()) + 1
+        yield text, spans
+
+
+def test_precision_and_recall_of_added_spans(field):
+    """Spans on lines that the field was not trained on: a labelled run counts as met by a span of its kind inside it."""
+    rows = list(lines_of(crf.labelled_table(600, 1234)))
+    data, offs = as_bytes(pa.array([t for t, _ in rows]))
+    found = pii.field_spans(field, data, offs)
+    right = sum(any(k == y and x <= a and b <= z for y, x, z in spans) for i, (_, spans) in enumerate(rows) for k, a, b in found.get(i, ()))
+    # a run of more than one entity or with wrong check digits can't be a span, so recall is over runs that can
+    wanted = [(i, y, a, b) for i, (t, spans) in enumerate(rows) for y, a, b in spans if pii.holds(y, t.encode()[a:b].decode().lstrip(pii.OPENING if y != "phone" else "\"'<[{").rstrip(pii.CLOSING))]
+    met = sum(any(k == y and a <= x and z <= b for k, x, z in found.get(i, ())) for i, y, a, b in wanted)
+    every = sum(map(len, found.values()))
+    print(f"precision {right / every:.3f} of {every}, recall {met / len(wanted):.3f} of {len(wanted)}")
+    assert right / every > 0.97 and met / len(wanted) > 0.95
+
+
+def brute_labels(field, text):
+    """Labels of a text's tokens: every line by itself, plain Viterbi over all its tokens."""
+    out = []
+    for row in text.split("\n"):
+        data = np.frombuffer(row.encode(), np.uint8)
+        starts, ends, line = crf.tokens(data, np.array([0, len(data)]))
+        if len(starts):
+            e = field.emissions(crf.features(data, starts, ends, line)).astype(float)
+            best, back = e[0], []
+            for x in e[1:]:
+                score = best[:, None] + field.moves
+                back.append(score.argmax(0))
+                best = score.max(0) + x
+            path = [int(best.argmax())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            out += path[::-1]
+    return out
+
+
+def test_added_spans_against_brute_force(field, monkeypatch):
+    rng = random.Random(5)
+    lines = [" ".join(w) for w, _ in crf.labelled_table(150, 77)]
+    texts = ["\n".join(rng.sample(lines, 20)), " ".join(lines), "\n".join(lines) + " é " + " ".join(lines[:30]), "x", ""]
+    data, offs = as_bytes(pa.array(texts))
+    starts, ends, line = crf.tokens(data, offs)
+    want = [y for t in texts for y in brute_labels(field, t)]
+    assert field.label(data, starts, ends, line).tolist() == want
+    monkeypatch.setattr(crf, "SLICE", 7)
+    monkeypatch.setattr(crf, "STEP", 64)
+    monkeypatch.setattr(crf, "CELLS", 50)
+    assert field.label(data, starts, ends, line).tolist() == want
+
+
+@pytest.mark.parametrize("text", ["mail a.b@c.de now " * 20 + "w ab, " * 1_300_000 + "\nphone +1 (504) 555-2652 or (504) 555-2652" * 1500, "x" * 8_000_000 + "\n" + "call (504) 555-2652 now\n" * 2000])
+def test_memory_of_long_and_short_lines(field, text):
+    """8 MB in a line of over a million tokens beside many short ones: arrays stay under 500 MB."""
+    import tracemalloc
+
+    data, offs = as_bytes(pa.array([text]))
+    tracemalloc.start()
+    spans = next(pii.all_spans([text], data, offs, field))[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20, peak
+    assert sum(k == "phone" for k, _, _ in spans) >= 1500
+
+
+def test_keys_are_secrets():
+    assert all(pii.holds("secret", s) for s in ("ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e", "sk-aB3dE5gH7jK9mN1pQ3sT5vW7", "qRs7+Tuv/Wx0yZ1aBc2DeF3gHi4JkL5mNo6PqR7sT", "ghp_a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"))
+    assert not any(pii.holds("secret", s) for s in ("internationalisation", "zzzzzzzzzzzzzzzzzzzzzzzzz1Z", "short1A", "2024-01-01-2024-01-02", "a sentence with 1 B blank"))
