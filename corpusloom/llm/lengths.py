@@ -1,7 +1,7 @@
 """Token counts: the exact histogram of encoded lengths, and what it answers for every context limit.
 
 Documents are encoded once and only their lengths leave the encoder; the histogram has one row for each length that
-occurs. Sums from above (in two levels: inside blocks of lengths, then over blocks) give for every limit the documents
+occurs and is written out (a checkpoint), as the report reads it more than once. Sums from above (in two levels: inside blocks of lengths, then over blocks) give for every limit the documents
 and tokens that fit, those that are cut, the tokens kept when each document is truncated, and the quantile reached.
 
 Defined results: null text has length 0, as the empty text; repeated rows count each; an empty table has an empty
@@ -11,6 +11,7 @@ histogram; other columns are not read.
 from __future__ import annotations
 
 import base64
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -18,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, pieces, small_batches, table
+from .common import column, cut, pieces, small_batches, table
 
 #: Lengths that share a block of the suffix sums.
 BLOCK = 256
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@cache
 def encoder(path: str):
-    """Byte-level BPE from a file of ranks, with no special tokens."""
+    """Byte-level BPE from a file of ranks, with no special tokens; one for each process, which outlives a task."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -54,7 +56,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str =
 def limit_report(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each length as context limit. Between two lengths L < M a limit x keeps `truncated_tokens` of L plus
     (x - L) times `docs_longer` of L tokens, so the rows answer every limit."""
-    h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.expr(f"length div {block}").alias("b"))
+    h = cut(histogram).select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.expr(f"length div {block}").alias("b"))
     above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = h.groupBy("b").agg(F.sum("n_docs").alias("bn"), F.sum("tokens").alias("bt"))  # longest text / block rows
     whole = blocks.agg(F.sum("bn").alias("all_docs"), F.sum("bt").alias("all_tokens"))

@@ -1,4 +1,4 @@
-from corpusloom.llm.lengths import VOCABULARY, at_limits, encoder, length_quantile, limit_report, op8_token_counts
+from corpusloom.llm.lengths import VOCABULARY, length_histogram, at_limits, encoder, length_quantile, limit_report, op8_token_counts
 
 TEXTS = [None, "", "one two", "one two", "three", "word " * 3000, "é" * 500, "日本語 🙂 <|endoftext|>", "a" * 20_000, " \n\n "]
 
@@ -29,3 +29,17 @@ def test_report_over_blocks(spark):
 
 def test_empty_table(spark, tables):
     assert op8_token_counts(spark, tables(documents=([], "doc_id long, text string"))).count() == 0
+
+
+def test_documents_are_encoded_once(spark):
+    """The report reads its histogram more than once, the documents only once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    limit_report(length_histogram(docs)).collect()
+    assert seen.value == len(TEXTS)
