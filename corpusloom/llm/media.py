@@ -1,14 +1,16 @@
 """Media columns: ISO base media containers (nested boxes) written and indexed without decoding payloads.
 
 `mux` stores byte payloads losslessly as 8-bit samples of one audio track; `index_media` walks the nested boxes of any
-container, decodes its sample tables (or the runs of its movie fragments) and returns codec, duration and the byte ranges of samples and of keyframes.
-It needs no codec: only box headers and sample tables are read, payload bytes are just addressed.
+container, decodes the sample tables of every track and the runs of its movie fragments, and returns for each track codec,
+duration and the byte ranges of samples and of keyframes. It needs no codec: only box headers and sample tables are read,
+payload bytes are just addressed. The columns beside `tracks` are those of the first track that has samples.
+
+Keyframes are one range each. Samples of one size that are all keyframes (as in plain audio, a byte or two each) are one
+range for each run of bytes instead, so an index never outgrows its media; their number is then `n_keys`.
 
 Defined results: null text is empty text; an empty payload is padded to one whole sample block; a null or broken
 container yields a feature `broken:<reason>` and no ranges; equal texts give equal containers, repeated rows give
 repeated results; an empty table gives an empty result; columns that are not named in a call are not read.
-
-Limits: only the first track that has samples or fragments is described, and of a track with both only its `moov` samples.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +106,37 @@ def numbers(data: memoryview, start: int, end: int, kind: str, count: int) -> np
     return np.frombuffer(data, kind, count, start).astype(np.int64)
 
 
+@dataclass
+class Run:
+    """Samples of a fragment that lie one after another; `sizes` is one number where all are equal, `sync` where all or
+    none but the first are keyframes."""
+
+    start: int
+    count: int
+    sizes: np.ndarray | int
+    sync: np.ndarray | bool
+    first: bool  # whether the first sample is a keyframe
+    duration: int
+
+    def stop(self) -> int:
+        return self.start + (self.count * self.sizes if isinstance(self.sizes, int) else int(self.sizes.sum()))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Starts and stops of keyframes, and their number."""
+        if isinstance(self.sizes, int) and isinstance(self.sync, bool):
+            if self.sync and self.first:
+                some = np.array([self.start] if self.count else [], np.int64)
+                return some, some + self.count * self.sizes, self.count
+            if not self.sync:
+                some = np.array([self.start] if self.first and self.count else [], np.int64)
+                return some, some + self.sizes, len(some)
+        sizes = np.full(self.count, self.sizes, np.int64) if isinstance(self.sizes, int) else self.sizes
+        sync = np.full(self.count, self.sync, bool) if isinstance(self.sync, bool) else self.sync.copy()
+        sync[:1] = self.first
+        ends = self.start + np.cumsum(sizes)
+        return (ends - sizes)[sync], ends[sync], int(sync.sum())
+
+
 class Track:
     """What the sample tables of one track say."""
 
@@ -111,7 +145,8 @@ class Track:
         self.constant, self.samples = 0, 0
         self.sizes = self.offsets = self.keys = None
         self.id, self.defaults, self.base = 0, (0, 0, 0), 0
-        self.fragments: list[tuple[int, np.ndarray, np.ndarray, int]] = []
+        self.next: int | None = None  # where a run without an offset of its own starts
+        self.fragments: list[Run] = []
         self.runs = np.zeros((0, 3), np.int64)
 
     def ends(self) -> np.ndarray | None:
@@ -149,7 +184,7 @@ def tracks(data: bytes | memoryview) -> list[Track]:
         elif kind == b"trex":
             extends[struct.unpack_from(">I", view, a + 4)[0]] = struct.unpack_from(">III", view, a + 12)
         elif kind == b"moof":
-            moof = at
+            moof, current = at, None
         elif kind == b"tfhd":
             current = fragment_header(view, a, found, extends, moof)
         elif kind == b"trun" and current is not None:
@@ -197,9 +232,10 @@ def fragment_header(view: memoryview, a: int, found: list[Track], extends: dict,
     if t is None:
         return None
     values, at = list(extends.get(number, (0, 0, 0))), a + 8
-    t.base = moof
+    t.base = t.next = moof
     if flags & 1:
         t.base, at = struct.unpack_from(">Q", view, at)[0], at + 8
+        t.next = t.base
     at += 4 * bool(flags & 2)
     for k, bit in enumerate((8, 16, 32)):
         if flags & bit:
@@ -209,74 +245,74 @@ def fragment_header(view: memoryview, a: int, found: list[Track], extends: dict,
 
 
 def add_fragment(view: memoryview, a: int, b: int, t: Track) -> None:
-    """A `trun`: samples that lie one after another from an offset."""
+    """A `trun`: samples that lie one after another from an offset, or from the end of the run before in its fragment."""
     flags, n = struct.unpack_from(">II", view, a)
-    at, start = a + 8, t.fragments[-1][0] + int(t.fragments[-1][1].sum()) if t.fragments else t.base
+    at, start = a + 8, t.next
     if flags & 1:
         start, at = t.base + struct.unpack_from(">i", view, at)[0], at + 4
     first = None
     if flags & 4:
         first, at = struct.unpack_from(">I", view, at)[0], at + 4
     fields = [k for k, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
-    table = numbers(view, at, b, ">u4", n * len(fields)).reshape(n, len(fields)) if fields else np.zeros((n, 0), np.int64)
-    if n > (1 << 24) and not fields:
-        raise ValueError("too many samples in a run")
-    column_of = lambda k: table[:, fields.index(k)] if k in fields else np.full(n, t.defaults[k], np.int64)
-    marks = column_of(2).copy()
-    if first is not None and n:
-        marks[0] = first
-    t.fragments.append((start, column_of(1), (marks & 0x10000) == 0, int(column_of(0).sum())))
-
-
-def describe_fragments(t: Track, length: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """Byte runs, and starts and stops of keyframes, of the fragments of a track."""
-    runs, starts, stops = [], [], []
-    for start, sizes, sync, _ in t.fragments:
-        ends = start + np.cumsum(sizes)
-        if start < 0 or (len(ends) and ends[-1] > length):
-            raise ValueError("samples leave the file")
-        runs.append((start, int(ends[-1]) if len(ends) else start))
-        starts.append((ends - sizes)[sync])
-        stops.append(ends[sync])
-    return runs, np.concatenate(starts), np.concatenate(stops)
+    table = numbers(view, at, b, ">u4", n * len(fields)).reshape(n, len(fields)) if fields else None
+    column_of = lambda k: table[:, fields.index(k)] if k in fields else t.defaults[k]
+    durations, marks = column_of(0), column_of(2)
+    sync = (marks & 0x10000) == 0
+    leading = n > 0 and (bool(sync if isinstance(marks, int) else sync[0]) if first is None else (first & 0x10000) == 0)
+    run = Run(start, n, column_of(1), sync, leading, int(n * durations if isinstance(durations, int) else durations.sum()))
+    t.next = run.stop()
+    t.fragments.append(run)
+
+
+def table_ranges(t: Track) -> tuple[list, np.ndarray, np.ndarray, int]:
+    """Byte runs, starts and stops of keyframes, and their number, of the samples in a track's tables."""
+    none = np.zeros(0, np.int64)
+    if not t.samples:
+        return [], none, none, 0
+    offsets, before = t.chunks()
+    sums = t.ends()
+    if sums is not None and len(sums) != t.samples + 1:
+        raise ValueError("sizes are missing")
+    total = t.bytes_before(before, sums)
+    stops = offsets + np.diff(total)
+    new = np.flatnonzero(np.append(True, offsets[1:] != stops[:-1]))
+    runs = list(zip(offsets[new].tolist(), stops[np.append(new[1:], len(stops)) - 1].tolist(), strict=True))
+    if t.keys is None and sums is None:
+        return runs, np.array([a for a, _ in runs]), np.array([b for _, b in runs]), t.samples
+    keys = np.arange(t.samples) if t.keys is None else t.keys[(t.keys >= 0) & (t.keys < t.samples)]
+    chunk = np.searchsorted(before, keys, "right") - 1
+    starts = offsets[chunk] + t.bytes_before(keys, sums) - total[chunk]
+    return runs, starts, starts + t.bytes_before(keys + 1, sums) - t.bytes_before(keys, sums), len(keys)
+
+
+def describe_track(t: Track, length: int) -> dict:
+    """A track's samples: those of its tables, then those of its fragments in file order."""
+    runs, starts, stops, n_keys = table_ranges(t)
+    parts = [f.keys() for f in t.fragments]
+    runs = runs + [(f.start, f.stop()) for f in t.fragments]
+    if any(a < 0 or b > length for a, b in runs):
+        raise ValueError("samples leave the file")
+    starts, stops = (np.concatenate([x, *(p[k] for p in parts)]).astype(np.int64) for k, x in enumerate((starts, stops)))
+    n_keys += sum(p[2] for p in parts)
+    samples, duration = t.samples + sum(f.count for f in t.fragments), t.duration + sum(f.duration for f in t.fragments)
+    marks = zlib.crc32(np.stack([starts, stops], 1).astype("<i8").tobytes())
+    feature = f"{t.handler}/{t.codec.strip()};rate={t.timescale};duration={duration};samples={samples};keys={n_keys};keymap={marks:08x}"
+    return {"track_id": t.id, "handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": duration, "n_samples": samples, "n_keys": n_keys, "key_starts": starts.tolist(), "key_ends": stops.tolist(), "runs": runs, "feature": feature}
 
 
 def describe(data: bytes | None) -> dict:
-    """Codec, duration and byte ranges of a container's first track with samples; payload bytes are not looked at."""
-    out = {"codec": None, "timescale": None, "duration": None, "n_samples": 0, "key_starts": [], "key_ends": [], "runs": [], "feature": "broken:null"}
+    """Codec, duration and byte ranges of every track with samples (`tracks`), those of the first again beside it; payload
+    bytes are not looked at. One broken track breaks the container."""
+    out = {"track_id": None, "handler": None, "codec": None, "timescale": None, "duration": None, "n_samples": 0, "n_keys": 0, "key_starts": [], "key_ends": [], "runs": [], "feature": "broken:null", "tracks": []}
     if data is None:
         return out
     try:
-        t = next((t for t in tracks(data) if t.samples or t.fragments), None)
-        if t is None:
-            return out | {"feature": "broken:no samples"}
-        if not t.samples:
-            runs, starts, stops = describe_fragments(t, len(data))
-            t.samples, t.duration = sum(len(f[1]) for f in t.fragments), t.duration or sum(f[3] for f in t.fragments)
-            return out | summary(t, runs, starts, stops)
-        offsets, before = t.chunks()
-        sums = t.ends()
-        if sums is not None and len(sums) != t.samples + 1:
-            raise ValueError("sizes are missing")
-        total = t.bytes_before(before, sums)
-        stops = offsets + np.diff(total)
-        if stops.max() > len(data):
-            return out | {"feature": "broken:samples leave the file"}
-        new = np.flatnonzero(np.append(True, offsets[1:] != stops[:-1]))
-        runs = list(zip(offsets[new].tolist(), stops[np.append(new[1:], len(stops)) - 1].tolist(), strict=True))
-        keys = np.arange(t.samples) if t.keys is None else t.keys[(t.keys >= 0) & (t.keys < t.samples)]
-        chunk = np.searchsorted(before, keys, "right") - 1
-        starts = offsets[chunk] + t.bytes_before(keys, sums) - total[chunk]
-        stops = starts + t.bytes_before(keys + 1, sums) - t.bytes_before(keys, sums)
+        found = [describe_track(t, len(data)) for t in tracks(data) if t.samples or t.fragments]
     except (ValueError, struct.error, OverflowError) as error:
         return out | {"feature": f"broken:{error}"}
-    return out | summary(t, runs, starts, stops)
-
-
-def summary(t: Track, runs: list, starts: np.ndarray, stops: np.ndarray) -> dict:
-    marks = zlib.crc32(np.stack([starts, stops], 1).astype("<i8").tobytes())
-    feature = f"{t.handler}/{t.codec.strip()};rate={t.timescale};duration={t.duration};samples={t.samples};keys={len(starts)};keymap={marks:08x}"
-    return {"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": t.samples, "key_starts": starts.tolist(), "key_ends": stops.tolist(), "runs": runs, "feature": feature}
+    if not found:
+        return out | {"feature": "broken:no samples"}
+    return out | found[0] | {"tracks": found}
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,8 +330,9 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def index_media(df: DataFrame, media_col: str = "media", keep: tuple = ()) -> DataFrame:
-    """The `keep` columns, and of each container: codec, timescale, duration, samples, keyframe byte ranges, feature,
-    plus length and SHA-256 of container and payload, the payload being read by the sample tables' byte ranges."""
+    """The `keep` columns, and of each container's first track: codec, timescale, duration, samples, keyframe byte ranges,
+    feature, plus length and SHA-256 of container and payload, the payload being read by the byte ranges of the samples;
+    `tracks` has a struct for every track."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(batches):
@@ -308,9 +345,11 @@ def index_media(df: DataFrame, media_col: str = "media", keep: tuple = ()) -> Da
                     tail = (tail + data[max(a, b - 32) : b])[-32:]
                     n += b - a
                 crc = zlib.crc32(tail)
-                rows.append((x["codec"], x["timescale"], x["duration"], x["n_samples"], x["key_starts"], x["key_ends"], x["feature"], n, h.hexdigest(), crc, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 12
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                rows.append((x["codec"], x["timescale"], x["duration"], x["n_samples"], x["key_starts"], x["key_ends"], x["feature"], n, h.hexdigest(), crc, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), [{k: t[k] for k in IN_TRACK} | {"run_starts": [a for a, _ in t["runs"]], "run_ends": [b for _, b in t["runs"]]} for t in x["tracks"]]))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 13
+            many = pa.list_(pa.int64())
+            track = pa.struct([(k, many if t.startswith("array") else pa.int64() if t == "bigint" else pa.string()) for k, t in (x.split(":") for x in TRACK.split(","))])
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), many, many, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(track)]
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in keep] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keep, *NAMES])
 
     small_batches(df.sparkSession)
@@ -318,8 +357,11 @@ def index_media(df: DataFrame, media_col: str = "media", keep: tuple = ()) -> Da
     return df.select(*keep, media_col).mapInArrow(run, schema)
 
 
-NAMES = ["codec", "timescale", "duration", "n_samples", "key_starts", "key_ends", "feature", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-TYPES = ["string", "long", "long", "long", "array<long>", "array<long>", "string", "long", "string", "long", "long", "string"]
+NAMES = ["codec", "timescale", "duration", "n_samples", "key_starts", "key_ends", "feature", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tracks"]
+#: Fields of a track's struct; all but the last two are of one name with those of `describe`.
+TRACK = "track_id:bigint,handler:string,codec:string,timescale:bigint,duration:bigint,n_samples:bigint,n_keys:bigint,key_starts:array<bigint>,key_ends:array<bigint>,run_starts:array<bigint>,run_ends:array<bigint>"
+IN_TRACK = [x.split(":")[0] for x in TRACK.split(",")][:-2]
+TYPES = ["string", "long", "long", "long", "array<long>", "array<long>", "string", "long", "string", "long", "long", "string", f"array<struct<{TRACK}>>"]
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

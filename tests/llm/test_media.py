@@ -85,3 +85,76 @@ def test_fragments():
         for _ in range(3):
             bad[rng.randrange(len(bad))] = rng.randrange(256)
         assert isinstance(describe(bytes(bad))["feature"], str)
+
+
+def track_box(number, handler, codec, stbl, rate=1000, duration=0):
+    tkhd = full(b"tkhd", 0, 7, struct.pack(">IIIII", 0, 0, number, 0, duration), bytes(60))
+    return box(b"trak", tkhd, box(b"mdia", full(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, rate, duration), bytes(4)), full(b"hdlr", 0, 0, bytes(4), handler, bytes(12)), box(b"minf", box(b"stbl", full(b"stsd", 0, 0, struct.pack(">I", 1), box(codec, bytes(70))), *stbl))))
+
+
+def tables_of(offset, sizes):
+    return [full(b"stsc", 0, 0, struct.pack(">IIII", 1, 1, len(sizes), 1)), full(b"stsz", 0, 0, struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), full(b"stco", 0, 0, struct.pack(">II", 1, offset)), full(b"stss", 0, 0, struct.pack(">II", 1, 1))]
+
+
+NO_SAMPLES = [full(b"stsz", 0, 0, struct.pack(">II", 0, 0))]
+
+
+def trex(number, duration=40, size=0, flags=0):
+    return full(b"trex", 0, 0, struct.pack(">IIIII", number, 1, duration, size, flags))
+
+
+def test_every_track_with_tables_and_fragments():
+    """Sound and picture in one file; the picture goes on in a fragment after its sample tables."""
+    ftyp, sound, picture, more = box(b"ftyp", b"isom", bytes(4)), [b"aa", b"bbb", b"c"], [b"PICTURE", b"pic"], [b"MORE", b"xy"]
+    media = box(b"mdat", *sound, *picture)
+    at = len(ftyp) + 8
+    moov = box(b"moov", track_box(1, b"soun", b"mp4a", tables_of(at, [2, 3, 1]), 8000, 24), track_box(2, b"vide", b"avc1", tables_of(at + 6, [7, 3]), 1000, 80), box(b"mvex", trex(1), trex(2, flags=0x10000)))
+    head = ftyp + media + moov
+    run = lambda offset: full(b"trun", 0, 0x205, struct.pack(">IiIII", 2, offset, 0, 4, 2))
+    make = lambda offset: box(b"moof", box(b"traf", full(b"tfhd", 0, 0x20000, struct.pack(">I", 2)), run(offset)))
+    data = head + make(len(make(0)) + 8) + box(b"mdat", *more)
+    x = describe(data)
+    a, v = x["tracks"]
+    bytes_of = lambda t: b"".join(data[i:j] for i, j in t["runs"])
+    assert (a["codec"], a["handler"], a["n_samples"], a["duration"], bytes_of(a)) == ("mp4a", "soun", 3, 24, b"aabbbc")
+    assert (v["codec"], v["track_id"], v["n_samples"], v["duration"], bytes_of(v)) == ("avc1", 2, 4, 160, b"PICTUREpicMORExy")
+    assert [data[i:j] for i, j in zip(v["key_starts"], v["key_ends"])] == [b"PICTURE", b"MORE"]
+    assert x["codec"] == "mp4a"
+
+
+def test_runs_without_an_offset_follow_in_their_own_fragment():
+    """The first run of a fragment starts at that fragment's base, a second one where the first ended."""
+    moov = box(b"moov", track_box(5, b"vide", b"hvc1", NO_SAMPLES), box(b"mvex", trex(5, size=4)))
+    data, places = bytearray(box(b"ftyp", b"iso5", bytes(4)) + moov), []
+    for k in range(2):
+        make = lambda base: box(b"moof", box(b"traf", full(b"tfhd", 0, 1, struct.pack(">IQ", 5, base)), full(b"trun", 0, 0, struct.pack(">I", 1)), full(b"trun", 0, 0, struct.pack(">I", 2))))
+        base = len(data) + len(make(0)) + 8
+        data += make(base) + box(b"mdat", bytes([65 + k]) * 12)
+        places.append(base)
+    x = describe(bytes(data))
+    assert x["runs"] == [(p + a, p + b) for p in places for a, b in ((0, 4), (4, 12))]
+    assert (x["n_samples"], x["n_keys"]) == (6, 6)
+
+
+def test_huge_runs_of_one_size_take_no_memory():
+    import tracemalloc
+
+    n = (1 << 31) + 5
+    moov = box(b"moov", track_box(5, b"soun", b"sowt", NO_SAMPLES), box(b"mvex", trex(5, duration=1, size=0)))
+    data = box(b"ftyp", b"iso5", bytes(4)) + moov + box(b"moof", box(b"traf", full(b"tfhd", 0, 0, struct.pack(">I", 5)), full(b"trun", 0, 0, struct.pack(">I", n))))
+    tracemalloc.start()
+    x = describe(data)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+    assert (x["n_samples"], x["n_keys"], x["duration"], len(x["key_starts"])) == (n, n, n, 1)
+
+
+def test_index_returns_every_track(spark):
+    from corpusloom.llm.media import index_media
+
+    two = box(b"ftyp", b"isom", bytes(4)) + box(b"mdat", b"aabbbcPICTURE")
+    two += box(b"moov", track_box(1, b"soun", b"mp4a", tables_of(24 - 4, [2, 3, 1])), track_box(2, b"vide", b"avc1", tables_of(26, [7])))
+    frame = spark.createDataFrame([(1, bytearray(two)), (2, None), (3, bytearray(b"junk"))], "i long, media binary")
+    got = {r.i: r for r in index_media(frame, keep=("i",)).collect()}
+    assert [(t.codec, t.run_starts, t.run_ends) for t in got[1].tracks] == [("mp4a", [20], [26]), ("avc1", [26], [33])]
+    assert got[1].payload_sha256 == hashlib.sha256(two[20:26]).hexdigest() and got[2].tracks == [] and got[3].feature.startswith("broken")
