@@ -7,9 +7,11 @@ longest increasing subsequence is kept, and the gaps between anchors are aligned
 by word. Coverage is the share of the template's words that the best window's alignment matches. The counts bound the
 coverage of a window from above, so no window that could reach the threshold is passed over.
 
-Short templates, whose siblings can differ in one word, count as a license only when covered in full; covered to the
-threshold, such as a notice with one word changed, they are reported as near with their coverage, and so are the
-siblings of a notice that is there in full.
+Every template has a coverage of its own from which it counts as a license: `THRESHOLD` for headers and license texts, 1
+for the one-line notices and tags of `EXACT`, whose siblings can differ in one word. A template covered to the threshold
+but not to its own share, such as a notice with one word changed, is reported as near with its coverage, and so are the
+siblings of a notice that is there in full. License texts stand beside their opening parts, so a text that stops before
+the disclaimer is known as well.
 
 Defined results: words as elsewhere here (ASCII letters and digits, non-ASCII characters, in lower case); null, empty
 and wordless texts match nothing; several templates can match one text; the best has the greatest coverage, then the
@@ -30,10 +32,30 @@ from pyspark.sql import functions as F
 from .common import as_bytes, column, pieces, small_batches, table
 from .words import split
 
-#: Least coverage, words of a window for each word of the template, and words below which a template must be covered
-#: in full, since notices of two licenses can differ in one word.
-THRESHOLD, SPREAD, SHORT = 0.8, 1.5, 16
+#: Least coverage, and words of a window for each word of the template.
+THRESHOLD, SPREAD = 0.8, 1.5
 
+#: Disclaimers that follow the grants below (fixed values).
+MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""
+UNLICENSE_END = """In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law."""
 #: Public license notices (fixed values).
 TEMPLATES = {
     "AGPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
@@ -101,10 +123,16 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
 commercial or non-commercial, and by any means.""",
 }
+#: Whole license texts: what stands above is their opening part.
+TEMPLATES |= {"MIT text": TEMPLATES["MIT"] + " " + MIT_END, "ISC text": TEMPLATES["ISC"] + " " + ISC_END, "Unlicense text": TEMPLATES["Unlicense"] + " " + UNLICENSE_END + " " + MIT_END}
+TEMPLATES |= {f"{x} text": TEMPLATES[x] + " " + BSD_END for x in ("BSD-2-Clause", "BSD-3-Clause")}
 #: Names that SPDX tags can give; a tag is a template like the others.
 SPDX = """AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0-only
 GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense""".split()
 TEMPLATES |= {f"SPDX {x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
+#: Templates that count only when covered in full: a word tells them from their siblings.
+EXACT = """AGPL-3.0 notice, Apache-2.0 notice, CC-BY-4.0 notice, CC-BY-NC-4.0 notice, CC-BY-SA-4.0 notice, GPL-2.0 notice, GPL-3.0 notice,
+LGPL-3.0 notice, MIT notice""".replace("\n", " ").split(", ") + [f"SPDX {x}" for x in SPDX]
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -147,13 +175,12 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str, threshold: float) -> None:
+    def __init__(self, name: str, text: str, threshold: float, own: float) -> None:
         data, offs = as_bytes(pa.array([text]))
         self.name, self.words = name, split(data, offs).hashes.tolist()
         self.counts = Counter(self.words)
         self.vocabulary = np.unique(np.array(self.words, np.uint64))
-        self.near = int(np.ceil(threshold * len(self.words) - 1e-9))  # words to be reported, and to count as a license
-        self.least = len(self.words) if len(self.words) < SHORT else self.near
+        self.near, self.least = (int(np.ceil(x * len(self.words) - 1e-9)) for x in (threshold, own))  # words to be reported, and to count
         self.width = int(np.ceil(SPREAD * len(self.words)))
 
 
@@ -180,13 +207,15 @@ def best_alignment(template: Template, words: np.ndarray, starts: list[int], end
     return best
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple = (), templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple = (), templates: dict[str, str] | None = None, threshold: float = THRESHOLD, own: dict[str, float] | None = None) -> DataFrame:
     """The `keep` columns and license (best or null), coverage, n_matched, start and stop of the match in code points,
     and licenses (all names, sorted, joined by `|`); then near_license, near_coverage, near_start and near_stop of the
-    best short template that reaches the threshold but is not covered in full, and near (all of these, best first, each
-    with a colon and its coverage to six digits, joined by `|`)."""
+    best template that reaches the threshold but not its own share, and near (all of these, best first, each with a colon
+    and its coverage to six digits, joined by `|`). `own` gives templates' own shares, by default 1 for those of `EXACT`
+    and the threshold for all others."""
     small_batches(docs.sparkSession)
-    known = [Template(k, v, threshold) for k, v in sorted((templates or TEMPLATES).items())]
+    own = dict.fromkeys(EXACT, 1.0) if own is None else own
+    known = [Template(k, v, threshold, max(threshold, own.get(k, threshold))) for k, v in sorted((templates or TEMPLATES).items())]
     known = [t for t in known if t.words]
     every = np.unique(np.concatenate([t.vocabulary for t in known]))
     has = np.stack([np.isin(every, t.vocabulary) for t in known])

@@ -88,7 +88,7 @@ def naive(a, b):
 def test_query_against_brute_force(spark, tables):
     import math
 
-    from corpusloom.llm.licenses import SHORT, SPREAD, THRESHOLD
+    from corpusloom.llm.licenses import EXACT, SPREAD, THRESHOLD
     from tests.llm.test_decontaminate import words
 
     rng, texts = random.Random(9), [None, "", "..."]
@@ -104,7 +104,7 @@ def test_query_against_brute_force(spark, tables):
         own, found = words(t), []
         for name, text in TEMPLATES.items():
             v = words(text)
-            least, width = len(v) if len(v) < SHORT else math.ceil(THRESHOLD * len(v) - 1e-9), math.ceil(SPREAD * len(v))
+            least, width = len(v) if name in EXACT else math.ceil(THRESHOLD * len(v) - 1e-9), math.ceil(SPREAD * len(v))
             best = max((naive(own[a : a + width], v) for a in range(len(own)) if own[a] in v), default=0)
             if best >= least:
                 found.append((-best / len(v), -best, name))
@@ -114,13 +114,13 @@ def test_query_against_brute_force(spark, tables):
 
 
 def test_edited_short_notices_are_reported(spark):
-    from corpusloom.llm.licenses import SHORT
+    from corpusloom.llm.licenses import EXACT
     from tests.llm.test_decontaminate import words
 
     rng, rows = random.Random(11), []
     for name, text in TEMPLATES.items():
         own = words(text)
-        if len(own) < SHORT:
+        if name in EXACT:
             for k in range(len(own)):
                 for new in (["zzz"], [], [own[k], "zzz"]):
                     rows.append((len(rows), " ".join(own[:k] + new + own[k + 1 :]), name, len(own) - (own[k] not in new)))
@@ -160,3 +160,29 @@ def test_sibling_licenses_are_told_apart(spark):
     rows = [(i, "some words first\n" + t + "\nand the rest") for i, t in enumerate(siblings.values())]
     got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id",)).collect()}
     assert [got[i] for i in range(len(rows))] == list(siblings)
+
+
+def test_whole_texts_beside_their_openings(spark):
+    names = [x for x in TEMPLATES if x.endswith(" text")]
+    short = [x.removesuffix(" text") for x in names]
+    rows = [(i, "Copyright someone.\n" + TEMPLATES[x] + "\nint main;") for i, x in enumerate(names + short)]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id",)).collect()}
+    assert [got[i].license for i in range(len(rows))] == names + short
+    assert all(x in got[i].licenses.split("|") for i, x in enumerate(short))
+
+
+def test_a_template_has_its_own_share(spark):
+    """The same long notice, seven of eight words right, counts or is near by its own share alone."""
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta wrong")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    template = {"a": "alpha beta gamma delta epsilon zeta eta theta"}
+    for own, want in (({}, ("a", None)), ({"a": 0.9}, (None, "a"))):
+        r = scan_licenses(frame, templates=template, own=own).first()
+        assert (r.license, r.near_license) == want
+
+
+def test_a_text_of_many_thousand_words(spark):
+    rng = random.Random(8)
+    text = prose(rng, 40_000) + " " + TEMPLATES["MIT text"] + " " + prose(rng, 40_000)
+    r = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.license, r.coverage) == ("MIT text", 1.0)
