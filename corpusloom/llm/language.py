@@ -6,7 +6,7 @@ how well its classifier separates the training rows; `score` is the gap between
 share of their sum, and a text whose score is under `AMBIGUOUS` is flagged.
 
 Training uses at most `PER_LANGUAGE` rows of each language and `TRAINING_ROWS` in all (but one of each language at
-least): those with the least hashes of id and text among all its labelled training rows. Only some hashes and the n-gram
+least), of the `LANGUAGES` values of the language column that most rows have: those with the least hashes of id and text among all its labelled training rows. Only some hashes and the n-gram
 frequencies of these rows reach the driver; a repeated row comes once, with its count. Prediction reads the text alone.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing was learned; with one learned
@@ -28,8 +28,8 @@ from .words import LOWER, randoms
 
 #: Orders of the n-grams, buckets that they are hashed to, most training rows of a language, and the ridge.
 ORDERS, BUCKETS, PER_LANGUAGE, RIDGE = (1, 2, 3, 4), 4096, 500, 1e-3
-#: Most training rows in all, shared equally when there are many languages.
-TRAINING_ROWS = 4000
+#: Most training rows in all, shared equally when there are many languages, and most languages: those with most rows.
+TRAINING_ROWS, LANGUAGES = 4000, 500
 #: Below this score a text's language is ambiguous. Columns of a code for more than five languages, for each doubling.
 AMBIGUOUS, COLUMNS = 0.05, 10
 LETTER = np.zeros(256, bool)
@@ -134,7 +134,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where(~held_out("i") & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     languages = sorted(counts)
     if len(languages) < 2:
         return Model(languages, np.zeros((0, BUCKETS)), np.zeros(0, int))

@@ -87,3 +87,63 @@ def test_stage_keeps_letters_when_nothing_was_learned(spark):
     rows = [(1, "plain words", None), (2, None, None), (3, "12 !?", None), (4, "é", None), (5, "", None), (None, "слово", None)]
     out = drop_unidentified(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
     assert sorted((r.text, r.doc_id) for r in out.collect()) == [("plain words", 1), ("é", 4), ("слово", None)]
+
+
+def plain_features(text):
+    """Square roots of relative frequencies of hashed byte n-grams, one n-gram at a time."""
+    from corpusloom.llm.language import BUCKETS, ORDERS
+    from corpusloom.llm.words import randoms
+
+    factor = [int(x) | 1 for x in randoms(max(ORDERS), 31)]
+    raw, out = [b + 32 if 65 <= b <= 90 else b for b in text.encode()], np.zeros(BUCKETS)
+    for k in ORDERS:
+        for i in range(len(raw) - k + 1):
+            value = sum((raw[i + j] + 1) * factor[j] for j in range(k)) % 2**64
+            out[(value * 0x9E3779B97F4A7C15 % 2**64) >> (64 - BUCKETS.bit_length() + 1)] += 1
+    return np.sqrt(out / max(out.sum(), 1))
+
+
+def test_query_against_brute_force(spark, tables):
+    """Codes for all splits, ridge regression in the primal, loss-weighted decoding, text by text."""
+    import itertools
+
+    from corpusloom.llm.language import AMBIGUOUS, RIDGE
+
+    rows = corpus(90, ("en", "fr", "de"))
+    got = {r.doc_id: r for r in op6_language_id(spark, tables(documents=([(*r, "s", 1, "x") for r in rows], SCHEMA))).collect()}
+    learned = [(plain_features(t).astype(np.float16).astype(float), lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    names = sorted({lang for _, lang in learned})
+    code = np.array([[1, *x] for x in itertools.product((1, -1), repeat=2) if -1 in x], float).T
+    x, y = np.array([f for f, _ in learned]), np.array([names.index(lang) for _, lang in learned])
+    share = 1 / np.bincount(y)[y]
+    root = np.sqrt(share / share.mean())[:, None]
+    mean = x.mean(0)
+    a, b = (x - mean) * root, code[y] * root
+    w = np.linalg.solve(a.T @ a + RIDGE * np.trace(a @ a.T) / len(a) * np.eye(a.shape[1]), a.T @ b)
+    right = np.clip((share[:, None] * ((a @ w) * code[y] > 0)).sum(0) / share.sum(), 0.501, 0.999)
+    trust = np.log(right / (1 - right))
+    for i, t, _ in rows:
+        out = (plain_features(t) - mean) @ w
+        loss = [sum(q * max(0.0, 1 - o * c) for q, o, c in zip(trust, out, word)) for word in code]
+        first, second = sorted(loss)[:2]
+        score = (second - first) / (second + first)
+        assert abs(got[i].score - score) < 1e-3 and (score < 1e-3 or got[i].lang_pred == names[int(np.argmin(loss))])
+        assert abs(score - AMBIGUOUS) < 1e-3 or got[i].ambiguous == (score < AMBIGUOUS)
+
+
+def test_ties_go_to_the_first_language(spark, tables):
+    """Two languages learned from the same texts can't be told apart."""
+    texts = [text(random.Random(k), "en", 20) for k in range(30)]
+    own = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2][:60]
+    rows = [(i, texts[n % 30], "bb" if n < 30 else "aa", "s", 1, "x") for n, i in enumerate(own)]
+    got = op6_language_id(spark, tables(documents=(rows, SCHEMA))).collect()
+    assert {r.lang_pred for r in got if r.score == 0} <= {"aa"} and all(r.score < 1e-3 and r.ambiguous for r in got)
+
+
+def test_a_dirty_language_column_is_bounded(spark, monkeypatch):
+    from corpusloom.llm import language
+
+    own = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(k, f"the words of {k}", "en" if k % 3 else "de" if k % 2 else f"junk {k}") for k in own]
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    assert train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]
