@@ -3,7 +3,8 @@
 A revisit (a 304 answer) refers to the latest earlier full response for its canonical URL. The as-of join has two
 levels, so captures of one URL that hold a third of all rows spread over tasks: captures are cut into chunks of time,
 the last response of every chunk is an aggregate, a short window over chunks carries it on, and a window inside each
-chunk finishes. Bodies stay out of the join; they can be fetched by `refers_to` afterwards.
+chunk finishes. A chunk is a day, or as much less as the busiest URL's captures ask for (one count by URL first), down to
+a second. Bodies stay out of the join; they can be fetched by `refers_to` afterwards.
 
 Validators: an ETag of the revisit must equal the response's weakly (RFC 9110), else its Last-Modified must be equal,
 else its payload digest; with none of the three the revisit is `unverified`. If they hold, headers that a 304 may
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Seconds of a chunk of captures.
-CHUNK = 86_400
+#: Seconds of a chunk of captures at most, and captures of one URL that a chunk should hold at most.
+CHUNK, CAPTURES = 86_400, 20_000
 #: Query parameters that do not name a resource (fixed values), as a pattern.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 #: Headers of a 304 that do not replace the stored ones: of one connection, or about the missing body (fixed values).
@@ -51,9 +52,17 @@ def strong(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def chunk_seconds(records: DataFrame, captures: int = CAPTURES) -> int:
+    """Seconds in which no URL has more than `captures` captures, if they come evenly over the time that it was met."""
+    busy = records.where("at is not null").groupBy(canonical_url(F.col("url")).alias("canonical")).agg(F.count("*").alias("n"), (F.max("at") - F.min("at") + 1).alias("span")).where(F.col("n") > captures)
+    least = busy.agg(F.min(F.floor(F.col("span") * captures / F.col("n")))).first()[0]
+    return CHUNK if least is None else max(1, min(CHUNK, int(least)))
+
+
+def resolve_revisits(records: DataFrame, chunk: int | None = None) -> DataFrame:
     """From (record_id, url, at seconds, kind response or revisit, status, headers, digest, length), for each revisit:
     record_id, canonical, at, state, refers_to, headers (merged), digest and length of the payload."""
+    chunk = chunk or chunk_seconds(records)
     rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "at", "kind", lower_names(F.col("headers")).alias("headers"), "digest", "length", ((F.col("kind") == "response") & (F.col("status") == 200)).alias("full")).where("full or kind = 'revisit'")
     rows = rows.withColumns({"chunk": F.floor(F.col("at") / chunk), "hit": F.when(F.col("full") & F.col("at").isNotNull(), F.struct("at", F.col("record_id").isNotNull().alias("known"), "record_id", F.map_entries("headers").alias("h"), "digest", "length"))})
     lost = rows.where("not full and (canonical is null or at is null)").withColumn("found", F.col("hit"))

@@ -54,10 +54,30 @@ def test_against_brute_force(spark):
     key = lambda x: (x[0] is not None, x[0] or 0)
     result = sorted(((r.record_id, r.state, r.refers_to, tuple(sorted(r.headers.items())) if r.headers is not None else None) for r in got.collect()), key=key)
     assert result == sorted(brute(rows), key=key)
+    again = sorted(((r.record_id, r.state, r.refers_to, tuple(sorted(r.headers.items())) if r.headers is not None else None) for r in resolve_revisits(frame).collect()), key=key)
+    assert again == result
     whole = with_payload(got, frame).where("refers_to is not null").collect()
     assert whole and all(r.body == f"body {r.refers_to}" for r in whole)
 
 
+def test_repeated_records(spark):
+    """Each repeated revisit is resolved, and repeated responses change nothing."""
+    response = (1, "a.org/x", 10, "response", 200, {"ETag": "1"}, "d1", 3, "b", "c")
+    revisit = (2, "a.org/x", 20, "revisit", 304, {"ETag": "W/1", "X": "y"}, None, None, None, "c")
+    lost = (None, None, None, "revisit", 304, None, None, None, None, None)
+    got = resolve_revisits(spark.createDataFrame([response] * 3 + [revisit] * 4 + [lost] * 2, SCHEMA)).collect()
+    assert sorted((r.state, r.refers_to or 0) for r in got) == [("missing", 0)] * 2 + [("resolved", 1)] * 4
+
+
+def test_chunks_follow_the_busiest_url(spark):
+    from corpusloom.llm.warc import CHUNK, chunk_seconds
+
+    rows = [(i, f"WWW.a.org/x#{i}", i * 10, "revisit") for i in range(1000)] + [(5000, "b.org", 999_999, "revisit"), (5001, None, None, "revisit")]
+    frame = spark.createDataFrame(rows, "record_id long, url string, at long, kind string")
+    assert chunk_seconds(frame) == CHUNK and 900 <= chunk_seconds(frame, 100) <= 1000 and chunk_seconds(frame.where("url is null")) == CHUNK
+    assert chunk_seconds(spark.createDataFrame([(i, "a", 5, "x") for i in range(50)], frame.schema), 7) == 1
+
+
 def test_names_that_differ_in_case(spark):
     got = spark.createDataFrame([({"A": "1", "a": "2", "b": "3"},), (None,), ({},)], "h map<string,string>").select(lower_names(F.col("h")).alias("h")).collect()
     assert [r.h for r in got] == [{"a": "2", "b": "3"}, {}, {}]
