@@ -78,3 +78,59 @@ def test_escape_is_reversible(spark):
 def test_empty_table(spark, tables):
     assert windows(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.conv_id for r in op3_chat_formatting(spark, tables(conversations=([], SCHEMA))).collect()] == [-1]
+
+
+def greedy(turns, budget, history):
+    """Number of greedy turn-aligned spans of a conversation's turns (role, tokens) in order."""
+    head = turns[0][1] if turns[0][0] == "system" else 0
+    stride = max(budget - history - head, min(budget // 4, budget - head), 1)
+    n = start = 0
+    used = None
+    for role, cost in turns[1 if head else 0 :]:
+        if used is None or used + cost > stride:
+            n, used = n + 1, 0
+        used += cost
+    return max(n, 1)
+
+
+def test_spans_are_greedy_and_hold_the_budget(spark):
+    rng, data = random.Random(4), []
+    for c in range(40):
+        turns = [("system" if t == 0 and c % 2 else "user", rng.choice([5, 60, 300, 700, 1500])) for t in range(rng.choice([1, 3, 20, 90]))]
+        data += [(c, t, role, "x" * (4 * (n - 4))) for t, (role, n) in enumerate(turns)]
+    out = windows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+    cost = lambda x: (len(x) + 3) // 4 + 4
+    for c in range(40):
+        own = [(role, cost(text)) for k, _, role, text in data if k == c]
+        head = own[0][1] if own[0][0] == "system" else 0
+        got = [r for r in out if r.conv_id == c]
+        assert len(got) == greedy(own, BUDGET, 256)
+        for r in got:
+            new = r.formatted.count("<|im_start|>") - r.n_repeated - (r.window == 0 and head > 0)
+            assert r.n_tokens <= BUDGET or new == 1 and r.n_tokens <= head + max(n for _, n in own)
+
+
+def test_a_long_conversation_restarts_only_at_stretches(spark):
+    rng = random.Random(6)
+    own = [("user", rng.choice([8, 90, 200])) for _ in range(4000)]
+    frame = spark.createDataFrame([(1, t, role, "x" * (4 * (n - 4))) for t, (role, n) in enumerate(own)], "conv_id long, turn long, role string, text string")
+    best, total = greedy(own, BUDGET, 256), sum(n for _, n in own)
+    got = windows(frame).count()
+    assert best <= got <= best + total // (768 * 64) + 1
+
+
+@pytest.mark.parametrize("kind,ids", [("string", ["a", "b-1", "", "12"]), ("date", None), ("double", [0.5, -1.25, 3.0, 1e9])])
+def test_ids_of_any_type(spark, kind, ids):
+    import datetime
+
+    ids = ids or [datetime.date(2024, 1, d) for d in range(1, 5)]
+    frame = spark.createDataFrame([(i, t, "user", f"{i} {t}") for i in [*ids, None] for t in range(3)], f"conv_id {kind}, turn long, role string, text string")
+    out = windows(frame)
+    assert out.schema["conv_id"].dataType == frame.schema["conv_id"].dataType
+    assert sorted((str(r.conv_id), r.formatted.count("<|im_start|>")) for r in out.collect()) == sorted((str(i), 3) for i in [*ids, None])
+
+
+def test_given_token_counts(spark):
+    frame = spark.createDataFrame([(1, t, "user", "word", 600 if t else None) for t in range(4)], "conv_id long, turn long, role string, text string, n int")
+    out = sorted(windows(frame, tokens_col="n").collect(), key=lambda r: r.window)
+    assert [(r.window, r.n_tokens) for r in out] == [(0, 608), (2, 604), (3, 604)]
