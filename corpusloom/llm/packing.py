@@ -6,6 +6,9 @@ least (`rule="norm"`), or whose residual has the largest weighted dot product wi
 decreasing length. Pieces are dealt evenly into groups of about `GROUP` and each group is packed by itself in one
 task, so memory is bounded at any scale and the only waste is a few open bins of each group.
 
+With 2,048 tokens alone (op10, which asks for few sequences) no other capacity can bind: a piece has at least one token,
+and squares of lengths sum to at most the square of the sum. `packing_under_limits` is the case where all three do.
+
 Defined results: null text is an empty document (its end-of-text id alone); repeated rows are packed once each; ties
 go to the bin opened first; an empty table gives an empty result; other columns are not read.
 """
@@ -28,6 +31,8 @@ from .wordbpe import shared
 TOKENS, PIECES, GROUP, END = 2048, 2048, 32_768, 0
 #: Weights of the residuals in tokens, pieces and attention cost, each as a share of its capacity.
 WEIGHTS = (1.0, 1e-4, 1e-4)
+#: Limits that bind: pieces, and a cost of one and a half pieces of half a sequence.
+LIMITED = {"most": 12, "cost": 1.5 * (TOKENS // 2) ** 2, "weights": (1.0, 0.5, 1.0), "rule": "dot"}
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -123,6 +128,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return pack(token_pieces(docs, id_col, text_col), **limits)
 
 
+def packing_under_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens, of which a training run takes at most `LIMITED` pieces and attention
+    cost: documents are cut at half a sequence, and all three capacities bind, so the weights choose the bins."""
+    rows = token_pieces(table(spark, sf_dir, "documents"), tokens=TOKENS // 2)
+    return pack(rows, **LIMITED)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2,048 tokens."""
     out = pack_documents(table(spark, sf_dir, "documents"))

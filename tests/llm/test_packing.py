@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 from corpusloom.llm import wordbpe
-from corpusloom.llm.packing import best_fit, op10_best_fit_packing, pack, pack_stage, sequence_ids, token_pieces
+from corpusloom.llm.packing import LIMITED, TOKENS, best_fit, op10_best_fit_packing, pack, pack_stage, packing_under_limits, sequence_ids, token_pieces
 from corpusloom.llm.wordbpe import WordBpe
 
 TEXTS = [None, "", "   ", "It's a <|endoftext|> test, they'll see.", "Ünïcode çafé ÀÉ ß", "日本語 テキスト 12³ ½", "Á combining", "x" * 3000, "tabs\tand\nlines \x1c \x85   end", "word " * 5000, "123 4.5-6_7 __ ''s 'S", "İstanbul ΑΣ ǅ", "a\x00b \x7f", "don't we've i'm 'd"]
@@ -89,3 +89,63 @@ def test_packed_ids(spark, library):
     for r in sorted(placed, key=lambda r: r.start):
         whole.setdefault(r.doc_id, []).extend(by[r.sequence_id][r.offset : r.offset + r.length])
     assert whole == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in docs} and all(len(x) <= 2048 for x in by.values())
+
+
+def plain_best_fit(lengths, tokens, most, cost, weights, rule):
+    """The bin of each piece by the definition alone: a list of bins, all of them open, in the order of their opening."""
+    bins, out = [], [0] * len(lengths)
+    caps = (tokens, most, cost)
+    for p in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = [x / c for x, c in zip((lengths[p], 1, float(lengths[p]) ** 2), caps)]
+        best, least = None, None
+        for b, room in enumerate(bins):
+            if all(r >= d - 1e-12 for r, d in zip(room, need)):
+                if rule == "norm":
+                    score = sum(w * (r - d) ** 2 for w, r, d in zip(weights, room, need))
+                else:
+                    score = -sum(w * d * r for w, r, d in zip(weights, room, need))
+                if least is None or score < least - 1e-12:
+                    best, least = b, score
+        if best is None:
+            bins.append([1.0, 1.0, 1.0])
+            best = len(bins) - 1
+        bins[best] = [r - d for r, d in zip(bins[best], need)]
+        out[p] = best
+    return out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(2048, 2048, 2048.0**2, (1.0, 1e-4, 1e-4)), (2048, 12, 1.5 * 1024**2, (1.0, 0.5, 1.0)), (1000, 5, 4e5, (1, 0.5, 0.5))])
+def test_bin_choice_against_brute_force(rule, limits):
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(limits[0], rng.lognormal(5, 1.2, 500).astype(int) + 1)
+    got, _ = best_fit(lengths, *limits, rule)
+    want = plain_best_fit(lengths.tolist(), *limits, rule)
+    tied = sum(a != b for a, b in zip(got.tolist(), want))
+    assert tied == 0
+
+
+def test_all_three_capacities_choose_bins():
+    """Under the limits of packing_under_limits the weights of pieces and cost choose: without either, bins differ. They
+    need not be fewer: on these lengths all take about as many."""
+    rng = np.random.default_rng(11)
+    lengths = np.minimum(TOKENS // 2, rng.lognormal(5, 1.2, 1500).astype(int) + 1)
+    pack_by = lambda w: best_fit(lengths, TOKENS, LIMITED["most"], LIMITED["cost"], w, LIMITED["rule"])[0]
+    own = pack_by(LIMITED["weights"])
+    assert own.tolist() == plain_best_fit(lengths.tolist(), TOKENS, LIMITED["most"], LIMITED["cost"], LIMITED["weights"], LIMITED["rule"])
+    a, b, c = LIMITED["weights"]
+    for other in ((a, 0.0, c), (a, b, 0.0), (a, 0.0, 0.0)):
+        bins = pack_by(other)
+        assert (bins != own).mean() > 0.05 and abs(int(bins.max()) - int(own.max())) <= 0.02 * own.max()
+
+
+def test_query_under_limits(spark, tables):
+    rng = random.Random(3)
+    docs = [(i, "word " * min(3000, int(rng.lognormvariate(4.5, 1.3))), "c") for i in range(600)] + [(None, None, "c"), (1, "twice", None), (1, "twice", None)]
+    rows = packing_under_limits(spark, tables(documents=(docs, "doc_id long, text string, length string"))).collect()
+    assert holds(rows) > 0
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r.length)
+    assert all(sum(x) <= TOKENS and len(x) <= LIMITED["most"] and sum(n * n for n in x) <= LIMITED["cost"] for x in by.values())
+    assert any(len(x) == LIMITED["most"] for x in by.values()) and any(sum(n * n for n in x) > 0.9 * LIMITED["cost"] for x in by.values())
