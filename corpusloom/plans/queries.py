@@ -574,7 +574,8 @@ def sql_letters(x: str) -> str:
 
 
 def sql_near(a: str, b: str) -> str:
-    return f"coalesce(list_cosine_similarity({a}, {b}), 0.0)"
+    """Cosine of two lists of counts; 0 where one has nothing but zeros."""
+    return f"CASE WHEN list_sum({a}) = 0 OR list_sum({b}) = 0 THEN 0.0 ELSE list_cosine_similarity({a}, {b}) END"
 
 
 def letter_encoder():
@@ -583,7 +584,7 @@ def letter_encoder():
 
 @query(f"""WITH b AS (SELECT item_id, text, list_transform(list_distinct({SQL_FACTS}), lambda f: {sql_letters('f')}) AS facts FROM benchmark),
 p AS (SELECT a.item_id, {sql_letters('a.text')} AS u, {sql_letters('b.text')} AS v, list_distinct(a.facts) AS x, list_distinct(b.facts) AS y FROM b a JOIN b b ON b.item_id = a.item_id + 1)
-SELECT item_id, round(list_cosine_similarity(u, v), 6) AS semantic, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round((len(list_filter(x, lambda f: len(list_filter(y, lambda g: list_cosine_similarity(f, g) > 0.8)) > 0)) / len(x) + len(list_filter(y, lambda f: len(list_filter(x, lambda g: list_cosine_similarity(f, g) > 0.8)) > 0)) / len(y)) / 2.0, 6) END AS fact_overlap FROM p""")
+SELECT item_id, round({sql_near('u', 'v')}, 6) AS semantic, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round((len(list_filter(x, lambda f: len(list_filter(y, lambda g: list_cosine_similarity(f, g) > 0.8)) > 0)) / len(x) + len(list_filter(y, lambda f: len(list_filter(x, lambda g: list_cosine_similarity(f, g) > 0.8)) > 0)) / len(y)) / 2.0, 6) END AS fact_overlap FROM p""")
 def detailed_report_facts(spark, sf_dir):
     """Whole benchmark items against the next, with an encoder passed in for the texts and their facts."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
@@ -594,7 +595,7 @@ def detailed_report_facts(spark, sf_dir):
 
 
 @query(f"""WITH p AS (SELECT a.doc_id, {sql_letters('a.text')} AS u, {sql_letters('b.text')} AS v FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1)
-SELECT doc_id, round(CASE WHEN len(list_filter(u, lambda x: x > 0)) = 0 OR len(list_filter(v, lambda x: x > 0)) = 0 THEN 0.0 ELSE list_cosine_similarity(u, v) END, 6) AS semantic FROM p""")
+SELECT doc_id, round({sql_near('u', 'v')}, 6) AS semantic FROM p""")
 def batched_similarity(spark, sf_dir):
     """Every document with the one before it, each distinct text encoded once by an encoder that is passed in."""
     return evaluate.quick_equivalence(shifted(spark, sf_dir), letter_encoder, "text", "other").select("doc_id", r6("semantic").alias("semantic"))
