@@ -5,8 +5,9 @@ if its rarest word is, so that word is the necessary prefix of the window: docum
 the window's place follows from the place of the prefix word in it (positional bound) and must lie inside the document
 (length bound), and the survivors are compared word by word, first by hash, then byte for byte.
 
-The benchmark is read in parts of at most `PART_BYTES` of text, each broadcast by itself; with more than one part the
-documents are scanned once a part, with a checkpoint between, so no broadcast grows with the benchmark.
+The benchmark is read in parts of at most `PART_BYTES` of text, each broadcast by itself, so no broadcast grows with the
+benchmark. With more than one part the documents are scanned once a part and once more; what a part finds (a bit for each
+word of the texts that have hits, each text once) is written out, never the texts, and joined back by a hash of the text.
 
 Defined results: null or wordless texts have no words and no hits; items without words never occur; an item of fewer
 than 13 words is one window; repeated documents give repeated rows, repeated items count once by item_id (a null item_id
@@ -15,10 +16,9 @@ is the string 'null'); an empty benchmark gives zero hits; an empty table an emp
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,55 +140,81 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     carried = [f"k{i}" for i in range(len(keep))]
     df = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)), F.col(text_col).alias("t"))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    flat = ", ".join(f"{k} {kinds[k]}" for k in carried)
+    flat = "".join(f"{k} {kinds[k]}, " for k in carried)
+    out = found = None
     for ids, texts, last in benchmark_parts(benchmark, item_col, item_text, part_bytes):
         index = Index(ids, texts, size)
         index.order(vocabulary_counts(docs, text_col, index.vocabulary))
         shared = spark.sparkContext.broadcast(index)
-        df = df.mapInArrow(lambda batches, shared=shared, last=last: scan(batches, shared.value, size, carried, last), f"{flat}, " + ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, full_window boolean" if last else "t string, hit binary, found array<string>, full boolean"))
-        if not last:
-            df = cut(df)
-    return df.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
+        if last and found is None:
+            out = df.mapInArrow(lambda batches, shared=shared: scan(batches, shared.value, size, carried), flat + "n_words long, n_hit long, names array<string>, full_window boolean")
+        else:
+            hits = df.select("t").mapInArrow(lambda batches, shared=shared: scan_hits(batches, shared.value, size), "h binary, hit binary, names array<string>, full_window boolean")
+            hits = cut(hits.groupBy("h").agg(F.first(F.struct("hit", "names", "full_window")).alias("x")))  # equal texts have equal hits
+            found = hits if found is None else found.unionByName(hits)
+    if found is not None:
+        merged = found.groupBy("h").agg(F.collect_list("x").alias("xs")).mapInArrow(merge_hits, "h binary, n_hit long, names array<string>, full_window boolean")
+        words = df.mapInArrow(lambda batches: count_words(batches, carried), flat + "h binary, n_words long")
+        out = words.join(merged, "h", "left")
+    names, n_hit = F.coalesce("names", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
+    out = out.select(*carried, "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("full_window", F.lit(False)).alias("full_window"))
+    return out.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
+
+
+def hits_of(w: Words, data: np.ndarray, index: Index, size: int) -> tuple[np.ndarray, dict[int, list[str]], np.ndarray]:
+    """Which words are hit, the sorted items found in each text, and which texts have a full window."""
+    start, window = index.find(w, LOWER[data])
+    total = len(w.hashes)
+    edge = np.zeros(total + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + index.length[window], -1)
+    found: dict[int, set] = {}
+    full = np.zeros(len(w.first) - 1, bool)
+    full[np.searchsorted(w.first, start[index.length[window] == size], "right") - 1] = True
+    if len(start):
+        text = np.searchsorted(w.first, start, "right") - 1
+        for t, i in np.unique(np.stack([text, index.item[window]], 1), axis=0).tolist():
+            found.setdefault(t, set()).add(index.names[i])
+    return np.cumsum(edge)[:total] > 0, {t: sorted(x) for t, x in found.items()}, full
+
+
+def scan(batches, index: Index, size: int, carried: list[str]):
+    """Words, hits and items of each text, where the benchmark has one part."""
+    for batch, data, offs in pieces(batches, "t"):
+        w = split(data, offs)
+        hit, found, full = hits_of(w, data, index, size)
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        out = [pa.array(np.diff(w.first), pa.int64()), pa.array(sums[w.first[1:]] - sums[w.first[:-1]], pa.int64()), pa.array([found.get(t, []) for t in range(batch.num_rows)], pa.list_(pa.string())), pa.array(full)]
+        yield pa.RecordBatch.from_arrays([column(batch, k) for k in carried] + out, names=[*carried, "n_words", "n_hit", "names", "full_window"])
 
 
-def scan(batches, index: Index, size: int, carried: list[str], last: bool):
-    """Adds one part's hits; with the last part the hits become counts."""
-    for batch, data, offs in pieces(batches, "t"):
+def text_hash(data: np.ndarray, offs: np.ndarray, t: int) -> bytes:
+    return xxhash.xxh3_128_digest(data[offs[t] : offs[t + 1]].tobytes())
+
+
+def scan_hits(batches, index: Index, size: int):
+    """What one part finds: a bit for each word of every text that has a hit."""
+    for _, data, offs in pieces(batches, "t"):
         w = split(data, offs)
-        start, window = index.find(w, LOWER[data])
-        n, total = np.diff(w.first), len(w.hashes)
-        edge = np.zeros(total + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + index.length[window], -1)
-        hit = np.cumsum(edge)[:total] > 0
-        found: dict[int, set] = {}
-        full = np.zeros(batch.num_rows, bool)
-        full[np.searchsorted(w.first, start[index.length[window] == size], "right") - 1] = True
-        if len(start):
-            text = np.searchsorted(w.first, start, "right") - 1
-            pairs = np.unique(np.stack([text, index.item[window]], 1), axis=0)
-            for t, i in pairs.tolist():
-                found.setdefault(t, set()).add(index.names[i])
-        if "hit" in batch.schema.names:
-            old, own = column(batch, "hit").to_pylist(), column(batch, "found").to_pylist()
-            full |= column(batch, "full").to_numpy(zero_copy_only=False)
-            for t, (bitmap, names) in enumerate(zip(old, own, strict=True)):
-                a, b = w.first[t], w.first[t + 1]
-                hit[a:b] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=b - a).astype(bool)
-                if names:
-                    found.setdefault(t, set()).update(names)
-        rows = range(batch.num_rows)
-        if last:
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = sums[w.first[1:]] - sums[w.first[:-1]]
-            digests = [hashlib.sha256(",".join(sorted(found.get(t, ()))).encode()).hexdigest() for t in rows]
-            out = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(found.get(t, ())) for t in rows], pa.int64()), pa.array(digests, pa.string()), pa.array((n_hit > 0) & (SHARE * n_hit >= n)), pa.array(full)]
-            names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "full_window"]
-        else:
-            maps = [np.packbits(hit[w.first[t] : w.first[t + 1]]).tobytes() for t in rows]
-            out = [column(batch, "t"), pa.array(maps, pa.binary()), pa.array([sorted(found.get(t, ())) for t in rows], pa.list_(pa.string())), pa.array(full)]
-            names = ["t", "hit", "found", "full"]
-        yield pa.RecordBatch.from_arrays([column(batch, k) for k in carried] + out, names=[*carried, *names])
+        hit, found, full = hits_of(w, data, index, size)
+        some = sorted(found)
+        maps = [np.packbits(hit[w.first[t] : w.first[t + 1]]).tobytes() for t in some]
+        yield pa.RecordBatch.from_arrays([pa.array([text_hash(data, offs, t) for t in some], pa.binary()), pa.array(maps, pa.binary()), pa.array([found[t] for t in some], pa.list_(pa.string())), pa.array(full[some])], names=["h", "hit", "names", "full_window"])
+
+
+def merge_hits(batches):
+    """The union of what all parts found in a text."""
+    for batch in batches:
+        rows = column(batch, "xs").to_pylist()
+        n = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(x["hit"], np.uint8) for x in xs])).sum()) for xs in rows]
+        names = [sorted({name for x in xs for name in x["names"]}) for xs in rows]
+        yield pa.RecordBatch.from_arrays([column(batch, "h"), pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([any(x["full_window"] for x in xs) for xs in rows])], names=["h", "n_hit", "names", "full_window"])
+
+
+def count_words(batches, carried: list[str]):
+    for batch, data, offs in pieces(batches, "t"):
+        hashes = [text_hash(data, offs, t) for t in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([column(batch, k) for k in carried] + [pa.array(hashes, pa.binary()), pa.array(np.diff(split(data, offs).first), pa.int64())], names=[*carried, "h", "n_words"])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
