@@ -57,8 +57,10 @@ def shingle_sets(batches, text_col: str, size: int) -> Iterator[tuple[pa.RecordB
 
 
 def minhash(sets: list[np.ndarray], factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """Upper 32 bits of the least of factor * h + shift over each set, for every factor; sets are not empty."""
-    out = np.zeros((len(sets), len(factor)), ">u4")
+    """16 bits of the least of factor * h + shift over each set, for every factor; sets are not empty. Upper and lower bits
+    are folded, as the upper ones of the least are small for large sets; values that are equal by chance, one in 65,536,
+    make candidates, never links."""
+    out = np.zeros((len(sets), len(factor)), ">u2")
     step, i = 1 << 15, 0
     while i < len(sets):
         j, n = i, 0
@@ -67,7 +69,8 @@ def minhash(sets: list[np.ndarray], factor: np.ndarray, shift: np.ndarray) -> np
             j += 1
         h, first = np.concatenate(sets[i:j]), np.cumsum([0, *map(len, sets[i : j - 1])])
         for k in range(len(factor)):
-            out[i:j, k] = np.minimum.reduceat(h * factor[k] + shift[k], first) >> np.uint64(32)
+            least = np.minimum.reduceat(h * factor[k] + shift[k], first)
+            out[i:j, k] = (least ^ (least >> np.uint64(32))) & np.uint64(0xFFFF)
         i = j
     return out
 
@@ -87,7 +90,7 @@ def signatures(rows: DataFrame, size: int, forest: Forest) -> DataFrame:
 
 def trie_links(reps: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
     """(a, b, lcp): neighbours in the sorted order of a tree that share a prefix of at least `least` values."""
-    width = 4 * depth
+    width = 2 * depth
     labels = reps.select("digest", F.posexplode(F.array(*(F.substring("sig", 1 + t * width, width) for t in range(trees)))).alias("tree", "label"))
     ordered = labels.repartitionByRange("tree", "label", "digest").sortWithinPartitions("tree", "label", "digest")
 
@@ -97,7 +100,7 @@ def trie_links(reps: DataFrame, trees: int, depth: int, least: int) -> DataFrame
             if not batch.num_rows:
                 continue
             raw, _ = as_bytes(column(batch, "label"))
-            values, tree = raw.reshape(-1, depth, 4).view(">u4")[:, :, 0], column(batch, "tree").to_numpy()
+            values, tree = raw.reshape(-1, depth, 2).view(">u2")[:, :, 0], column(batch, "tree").to_numpy()
             digests = column(batch, "digest").to_pylist()
             edge = []
             if not opened:
@@ -110,14 +113,14 @@ def trie_links(reps: DataFrame, trees: int, depth: int, least: int) -> DataFrame
             last = digests[-1], tree[-1], values[-1].copy()
             yield to_batch(edge)
         if opened:
-            yield to_batch([(last[0], None, 1, part, int(last[1]), last[2].astype(">u4").tobytes())])
+            yield to_batch([(last[0], None, 1, part, int(last[1]), last[2].astype(">u2").tobytes())])
 
     found = cut(ordered.mapInArrow(run, "a binary, b binary, lcp int, part int, tree int, label binary"))
     # the last row of a task and the first of the next are neighbours too: two rows a task
     ends = sorted((r.part, r.lcp, r.tree, bytes(r.label), bytes(r.a)) for r in found.where("part is not null").collect())
     seams = []
     for x, y in zip(ends[1::2], ends[2::2]):
-        n = int(prefix(np.frombuffer(x[3], ">u4")[None], np.frombuffer(y[3], ">u4")[None])[0])
+        n = int(prefix(np.frombuffer(x[3], ">u2")[None], np.frombuffer(y[3], ">u2")[None])[0])
         if x[2] == y[2] and n >= least:
             seams.append((bytearray(x[4]), bytearray(y[4]), n))
     spark = reps.sparkSession
@@ -210,7 +213,7 @@ class Unit:
                 break
             low = new
         to_rows = linked.astype(np.int64) @ np.array(self.copies)
-        labels = np.zeros((len(self.sets), forest.trees, forest.depth), ">u4")
+        labels = np.zeros((len(self.sets), forest.trees, forest.depth), ">u2")
         labels[some] = forest.signatures([self.sets[i] for i in some.tolist()]).reshape(len(some), forest.trees, -1)
         out = []
         for i in some.tolist():
@@ -395,11 +398,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             fresh, verified = groups.join(same, "c", "left_anti"), verified.join(same, "c", "left_semi")
         members = cut(fresh.join(reps.drop("sig"), "digest").select("c", "size", "digest", "copies", row_key(F.col("rep.i"), F.col("rep.k")).alias("key")))
         n, most = members.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
-        own = with_shingles(texts, members, n, size)
+        small, large = members.where(F.col("size") <= block), members.where(F.col("size") > block)
         zero = F.lit(0).cast("long")
-        new = verify(own.where(F.col("size") <= block).select("c", zero.alias("x"), zero.alias("y"), zero.alias("side"), "digest", "copies", "shingles"), threshold, forest, d)
+        new = verify(with_shingles(texts, small, n, size).select("c", zero.alias("x"), zero.alias("y"), zero.alias("side"), "digest", "copies", "shingles"), threshold, forest, d)
         if most > block:
-            new = new.unionByName(large_groups(own.where(F.col("size") > block), threshold, forest, d, block))
+            new = new.unionByName(large_groups(with_shingles(texts, large, n, size), threshold, forest, d, block))
         verified = cut(new if verified is None else verified.unionByName(new))
         seen, *stand = verified.agg(F.sum("links"), *(F.sum(e) for e in forest.estimate_columns())).first()
         share = seen / max(seen, stand[0]) if seen else 0.0
