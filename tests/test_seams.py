@@ -106,3 +106,9 @@ def test_evaluation_by_model_appended(spark, tmp_path):
     for r in rows:
         assert r.equivalence_scores == {"m1": pytest.approx(r.min_equivalence), "m2": 1.0} and r.passed == (r.min_equivalence >= 0.48) and r.duration_ms >= 0
     assert evaluate.evaluate(training.chat_rows(pairs), lambda: lambda ts: ts, scores, limit=1).first().input_text == "a long text here"
+
+
+def test_calls_at_once_are_bounded(spark):
+    frame = spark.range(40).selectExpr("cast(id as string) as t").repartition(8)
+    out = seams.map_texts(frame, "t", "n", lambda: lambda ts: [len(t) for t in ts], "int", at_most=2)
+    assert out.rdd.getNumPartitions() == 2 and out.agg(F.sum("n")).first()[0] == 70
