@@ -9,8 +9,8 @@
 3. Adaptive depth: starting at whole labels, chains at the depth are joined into candidate groups and the groups are
    verified exactly. Of the links found, those whose sets share a prefix of the depth were met by the forest itself; one
    of similarity s stands for 1 / P_d(s) links that exist, P_d being the forest's chance to meet such a pair. While links
-   found / links estimated is below the target recall, the prefix is shortened, to the longest at which the links met so
-   far predict enough; groups that a shorter prefix leaves as they were are not verified again. The shortest prefix is
+   found / links estimated is below the target recall, the prefix is shortened, to the longest that should meet enough of
+   the links found so far; groups that a shorter prefix leaves as they were are not verified again. The shortest prefix is
    the longest whose chance reaches the target at the threshold itself, so the target holds there by calculation; with
    no links at all to estimate from, that prefix is used.
 4. Verification: a group of up to `BLOCK` sets is one unit of work. In a larger one every set is first compared with the
@@ -43,7 +43,7 @@ from .words import randoms, shingles, split
 
 SIZE, THRESHOLD = 5, 0.8
 #: Trees of the forest, values of a whole label, and the share of links to be found.
-TREES, DEPTH, RECALL = 20, 8, 0.998
+TREES, DEPTH, RECALL = 20, 7, 0.998
 #: Sets of a block of verification, columns of its dense products, and bands of distance that reach the threshold's.
 BLOCK, WIDTH, BANDS = 128, 2048, 10
 #: Bits of the filter that keeps texts without candidates out of the shuffle, for each candidate and at most (8 MB).
@@ -148,13 +148,6 @@ def shortest(threshold: float, trees: int, depth: int, recall: float) -> int:
     raise ValueError(f"{trees} trees can't reach recall {recall} at similarity {threshold}")
 
 
-def estimates(s: np.ndarray, trees: int, depth: int, whole: int) -> np.ndarray:
-    """For links met at `depth`, a row each: links that each stands for, then how many of those a prefix of 1, 2, ...
-    `whole` values meets."""
-    p = chance(s[:, None], trees, np.arange(1, whole + 1))
-    return np.concatenate([np.ones((len(s), 1)), p], 1) / chance(s, trees, depth)[:, None]
-
-
 class Unit:
     """Sets of one unit of verification: block pairs (x, y) link sets of x with sets of y, all pairs if x = y."""
 
@@ -187,8 +180,10 @@ class Unit:
             out += m @ m.T
         return np.rint(out).astype(np.int64)
 
-    def rows(self, threshold: float, forest: Forest, depth: int) -> list[tuple]:
-        """(digest, links to sets, links to rows, least digest linked with, estimates) of each set that has links."""
+    def rows(self, threshold: float, forest: Forest) -> list[tuple]:
+        """(digest, links to sets, links to rows, least digest linked with, estimates) of each set that has links. The
+        estimates are, for prefixes of 1, 2, ... values: the links that those met by it stand for, and how many it should
+        meet."""
         if len(self.sets) < 2:
             return []
         both = self.shared()
@@ -218,9 +213,10 @@ class Unit:
         out = []
         for i in some.tolist():
             others = np.flatnonzero(linked[i])
-            met = others[(labels[others, :, :depth] == labels[i, :, :depth]).all(2).any(1)]
-            stand = estimates(both[i, met] / union[i, met], forest.trees, depth, forest.depth).sum(0)
-            out.append((self.digests[i], len(others), int(to_rows[i]), self.digests[order[low[i]]], *stand.tolist()))
+            common = np.logical_and.accumulate(labels[others] == labels[i], axis=2).sum(2).max(1)  # longest prefix of each
+            p = chance((both[i, others] / union[i, others])[:, None], forest.trees, forest.lengths)
+            stand = np.where(common[:, None] >= forest.lengths, 1 / p, 0).sum(0)
+            out.append((self.digests[i], len(others), int(to_rows[i]), self.digests[order[low[i]]], *stand.tolist(), *p.sum(0).tolist()))
         return out
 
 
@@ -228,14 +224,14 @@ class Forest:
     """The hash functions of `trees` labels of `depth` values."""
 
     def __init__(self, trees: int, depth: int) -> None:
-        self.trees, self.depth = trees, depth
+        self.trees, self.depth, self.lengths = trees, depth, np.arange(1, depth + 1)
         self.factor, self.shift = randoms(trees * depth, 21) | np.uint64(1), randoms(trees * depth, 22)
 
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
         return minhash(sets, self.factor, self.shift)
 
     def estimate_columns(self) -> list[str]:
-        return [f"e{x}" for x in range(self.depth + 1)]
+        return [f"{kind}{x}" for kind in ("stand", "meet") for x in self.lengths.tolist()]
 
 
 def blocks_of(batches, key: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -253,10 +249,10 @@ def blocks_of(batches, key: tuple[str, ...], columns: tuple[str, ...]) -> Iterat
         yield now, run
 
 
-def verify(units: DataFrame, threshold: float, forest: Forest, depth: int) -> DataFrame:
-    """(c, digest, links, row_links, low, e0, e1, ...) of units (c, x, y, side, digest, copies, shingles)."""
+def verify(units: DataFrame, threshold: float, forest: Forest) -> DataFrame:
+    """(c, digest, links, row_links, low, stand1, ..., meet1, ...) of units (c, x, y, side, digest, copies, shingles)."""
     names = ["c", "digest", "links", "row_links", "low", *forest.estimate_columns()]
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), *[pa.float64()] * (forest.depth + 1)]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), *[pa.float64()] * (2 * forest.depth)]
 
     def run(batches):
         ready = []
@@ -266,7 +262,7 @@ def verify(units: DataFrame, threshold: float, forest: Forest, depth: int) -> Da
                 if digest not in seen:
                     seen.add(digest)
                     unit.add(digest, side, copies, np.frombuffer(raw, np.uint64))
-            ready += [(key[0], *x) for x in unit.rows(threshold, forest, depth)]
+            ready += [(key[0], *x) for x in unit.rows(threshold, forest)]
             if len(ready) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ready, strict=True), kinds, strict=True)], names=names)
                 ready = []
@@ -336,7 +332,7 @@ def bands_of(own: DataFrame, threshold: float) -> DataFrame:
     return cut(joined.mapInArrow(measure, "c binary, nb int, block int, digest binary, copies long, band long"))
 
 
-def large_groups(own: DataFrame, threshold: float, forest: Forest, depth: int, block: int) -> DataFrame:
+def large_groups(own: DataFrame, threshold: float, forest: Forest, block: int) -> DataFrame:
     """As `verify`, of the sets (c, size, digest, copies, shingles) of groups of more than a block: what the distances to
     the centre settle, and units for the rest."""
     own = cut(own.withColumn("nb", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.hash("digest"), F.col("nb"))))
@@ -355,8 +351,9 @@ def large_groups(own: DataFrame, threshold: float, forest: Forest, depth: int, b
     alike = lambda a, b: F.greatest(F.lit(threshold), 1 - (a + b + 1) * F.lit(step))
     met = lambda s, d: 1 - F.pow(1 - F.pow(s, F.lit(float(d))), F.lit(float(forest.trees)))
     number = lambda b: b.m - F.when(b.band == F.col("band"), 1).otherwise(0)
-    weigh = lambda d: F.aggregate("sure", F.lit(0.0), lambda a, b: a + number(b) * (met(alike(b.band, F.col("band")), d) if d else F.lit(1.0)) / met(alike(b.band, F.col("band")), depth))
-    settled = close.select("c", "digest", "links", "row_links", "low", *(weigh(d).alias(e) for d, e in enumerate(forest.estimate_columns())))
+    weigh = lambda d, f: F.aggregate("sure", F.lit(0.0), lambda a, b: a + f(number(b), met(alike(b.band, F.col("band")), d)))
+    values = [weigh(d, f) for f in (lambda n, p: n / p, lambda n, p: n * p) for d in forest.lengths.tolist()]
+    settled = close.select("c", "digest", "links", "row_links", "low", *(v.alias(e) for v, e in zip(values, forest.estimate_columns(), strict=True)))
     open_ = F.filter("bands", lambda b: (b.band + F.col("band") > BANDS - 2) & (F.abs(b.band - F.col("band")) <= BANDS + 1))  # a band more than the bound, for rounding
     width = 1 << 32
     key = lambda band, sub: band * F.lit(width) + sub
@@ -366,7 +363,7 @@ def large_groups(own: DataFrame, threshold: float, forest: Forest, depth: int, b
     other = other.select("c", "digest", "side", "near", F.explode(F.sequence(F.lit(0).cast("long"), F.col("near.sub") - 1)).alias("sub")).withColumn("other", key(F.col("near.band"), F.col("sub")))
     pairs = other.select("c", "digest", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
     units = pairs.join(own.select("c", "digest", "copies", "shingles"), ["c", "digest"])
-    return verify(units.select("c", "x", "y", "side", "digest", "copies", "shingles"), threshold, forest, depth).unionByName(settled)
+    return verify(units.select("c", "x", "y", "side", "digest", "copies", "shingles"), threshold, forest).unionByName(settled)
 
 
 def candidates(chain: DataFrame, depth: int) -> DataFrame:
@@ -400,17 +397,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         n, most = members.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
         small, large = members.where(F.col("size") <= block), members.where(F.col("size") > block)
         zero = F.lit(0).cast("long")
-        new = verify(with_shingles(texts, small, n, size).select("c", zero.alias("x"), zero.alias("y"), zero.alias("side"), "digest", "copies", "shingles"), threshold, forest, d)
+        new = verify(with_shingles(texts, small, n, size).select("c", zero.alias("x"), zero.alias("y"), zero.alias("side"), "digest", "copies", "shingles"), threshold, forest)
         if most > block:
-            new = new.unionByName(large_groups(with_shingles(texts, large, n, size), threshold, forest, d, block))
+            new = new.unionByName(large_groups(with_shingles(texts, large, n, size), threshold, forest, block))
         verified = cut(new if verified is None else verified.unionByName(new))
-        seen, *stand = verified.agg(F.sum("links"), *(F.sum(e) for e in forest.estimate_columns())).first()
-        share = seen / max(seen, stand[0]) if seen else 0.0
+        sums = verified.agg(F.sum("links").alias("links"), *(F.sum(e).alias(e) for e in forest.estimate_columns())).first()
+        seen = sums["links"]
+        share = seen / max(seen, sums[f"stand{d}"]) if seen else 0.0
         if depths is not None:
             depths.append((d, share))
         if d == least or share >= recall:
             break
-        d = next((x for x in range(d - 1, least, -1) if seen and stand[x] >= recall * stand[0]), least)
+        d = next((x for x in range(d - 1, least, -1) if seen and sums[f"meet{x}"] >= recall * seen), least)
     linked = verified.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("row_links").alias("row_links"))
     classes = connected_components(verified.select(F.col("digest").alias("a"), F.col("low").alias("b")))
     sets_ = reps.drop("sig").join(linked, "digest", "left").join(classes.withColumnsRenamed({"v": "digest", "c": "class"}), "digest", "left")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.neighbours import chance, shortest, similar, drop_near_duplicates, jaccard_join, op2_ngram_jaccard_join
+from corpusloom.llm.neighbours import DEPTH, chance, shortest, similar, drop_near_duplicates, jaccard_join, op2_ngram_jaccard_join
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -113,9 +113,9 @@ def test_prefix_is_shortened_until_recall_is_met(spark):
         depths = []
         _, sets = similar(spark.createDataFrame(rows, "doc_id long, text string"), depths=depths)
         assert sets.where("links > 0").count() >= 0.98 * len(rows)
-        assert depths[0][0] == 8 and depths == sorted(depths, reverse=True)
+        assert depths[0][0] == DEPTH and depths == sorted(depths, reverse=True)
         assert (len(depths) > 1) == wanted, depths
-        assert depths[-1][1] >= 0.998 or depths[-1][0] == shortest(0.8, 20, 8, 0.998), depths
+        assert depths[-1][1] >= 0.998 or depths[-1][0] == shortest(0.8, 20, DEPTH, 0.998), depths
 
 
 def test_the_shortest_prefix_reaches_the_target():
