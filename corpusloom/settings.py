@@ -19,6 +19,9 @@ class Group:
         return replace(self, **{k: known[k](v) for k, v in values.items()})
 
 
+# The defaults of the groups below are fixed values.
+
+
 @dataclass(frozen=True)
 class Generation(Group):
     primary_model: str = "claude-sonnet-4-20250514"
