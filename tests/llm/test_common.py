@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from corpusloom.llm.common import BATCH_ROWS, shared_folder, small_batches
+from corpusloom.llm.common import BATCH_ROWS, FILE_CLEANUP, cut, shared_folder, small_batches
 
 
 class Session:
@@ -27,3 +29,25 @@ def test_smaller_batches_stay(spark):
             assert spark.conf.get(name) == want
     finally:
         spark.conf.set(name, old)
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {x for x in (found.apply(i).getName() for i in range(found.size())) if x.startswith("shuffle_")}
+
+
+def left_over(spark, before, most=0):
+    """The shuffle files that are new; they are deleted in the background."""
+    for _ in range(50):
+        if len(left := shuffle_files(spark) - before) <= most:
+            break
+        time.sleep(0.2)
+    return left
+
+
+def test_shuffle_files_go_with_the_cut(spark):
+    before, now = shuffle_files(spark), spark.conf.get(FILE_CLEANUP)
+    rows = spark.range(1000).selectExpr("id % 10 as k").groupBy("k").count()
+    out = cut(rows)
+    assert not left_over(spark, before) and spark.conf.get(FILE_CLEANUP) == now
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect())) == [(k, 100) for k in range(10)]

@@ -6,6 +6,7 @@ import pytest
 
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.neighbours import DEPTH, chance, shortest, similar, drop_near_duplicates, jaccard_join, op2_ngram_jaccard_join
+from tests.llm.test_common import left_over, shuffle_files
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -164,3 +165,10 @@ def test_a_group_of_near_copies_costs_one_comparison_a_set(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "verify", counted)
     got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), block=32).collect()
     assert all((r.class_id, r.n_links) == (0, 299) for r in got) and sum(seen) == 0
+
+
+def test_the_stage_leaves_few_shuffle_files(spark):
+    """Those of its many cuts go as they are written; what is left is of small aggregates that are read once."""
+    before = shuffle_files(spark)
+    out = drop_near_duplicates(spark, spark.createDataFrame(full(corpus(3, 20)), SCHEMA), "")
+    assert len(left_over(spark, before, 30)) <= 30 and out.count() > 60
