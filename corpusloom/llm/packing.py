@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encoder = shared(vocabulary)
         for batch, _, _ in pieces(batches, "t"):
             rows, keys = [], []
-            for n, ids in enumerate(encoder.encode(column(batch, "t").to_pylist())):
+            for n, ids in enumerate(encoder.encode(column(batch, "t"))):
                 ids = np.append(ids, END).astype("<u4")
                 for k, a in enumerate(range(0, len(ids), tokens)):
                     part = ids[a : a + tokens]

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import wordbpe
@@ -32,6 +33,29 @@ def test_word_ids_equal_the_library(library, monkeypatch):
             assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_a_word_is_learnt_once(library, monkeypatch):
+    """Whatever stands beside it, and however many texts have it: the library is given distinct words, never whole chunks."""
+    encoder, given = WordBpe(public_tokenizers.path("word_bpe_49k.json")), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: (given.extend(words), learn(words)))
+    texts = ["Loom, (loom) loom. loom!", "\tloom's \u00e9l\u00e0n-loom 77 ", None, "LOOM; \u00c9L\u00c0N's 7"]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sorted(given) == sorted({"loom", ",", "(", ")", ".", "!", "'s", "\u00e9l\u00e0n", "-", "7", ";"})
+
+
+def test_words_of_every_character(library):
+    """Every pair of Latin-1 characters, and marks around contractions, as a list and as a slice of an Arrow array."""
+    plain = [chr(i) for i in range(256)]
+    texts = [a + b + "x" for a in plain for b in "'sS \xc5\xe05!_\x0b\xa0"] + ["".join(plain), "".join(plain[33:127] + [chr(i) for i in range(192, 256) if i not in (215, 247)])]
+    texts += [a + b + c + d for a in ("", "a", "5", "!", "'", "_") for b in ("'s", "''S", "'", "'re's", "'LL") for c in ("", "t", "'", "9", "\x0c") for d in ("'ve", "m", "")]
+    encoder, want = WordBpe(public_tokenizers.path("word_bpe_49k.json")), [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert [x.tolist() for x in encoder.encode(pa.array([None, *texts, "end"]).slice(1, len(texts)))] == want
+    assert encoder.encode([]) == [] and encoder.encode(["\u65e5"])[0].tolist() == library.encode("\u65e5", add_special_tokens=False).ids
+    assert encoder.encode([None, " \n", ""])[1].tolist() == []
+
+
 def test_query(spark, tables, library):
     docs = list(enumerate(TEXTS)) + [(3, TEXTS[3]), (None, "no id")]
     rows = op10_best_fit_packing(spark, tables(documents=([(*d, "c") for d in docs], "doc_id long, text string, length string"))).collect()
