@@ -23,7 +23,8 @@ DEFAULT_PRICE = (1.0, 1.0)
 
 def compression_ratio(original: Column, compressed: Column) -> Column:
     """Compressed tokens for each original one; 1 where there were none."""
-    return F.when(original > 0, compressed / original).otherwise(1.0)
+    counts = F.struct(original.alias("before"), compressed.alias("after"))
+    return let(counts, lambda n: F.when(n.before > 0, n.after / n.before).otherwise(1.0))
 
 
 def reduction_percent(ratio: Column) -> Column:
@@ -36,7 +37,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column, clip: bool = True) -> Column:
     """Cosine of two vectors; 0 where one is null or zero; clipped to [0, 1] on request."""
-    parts = F.struct(dot(a, b).alias("ab"), (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))).alias("norm"))
+    dots = lambda v: F.struct(dot(v.a, v.b).alias("ab"), (F.sqrt(dot(v.a, v.a)) * F.sqrt(dot(v.b, v.b))).alias("norm"))
+    parts = let(F.struct(a.alias("a"), b.alias("b")), dots)
 
     def value(p: Column) -> Column:
         x = p.ab / p.norm
