@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, masked_example, prompt_and_completion, strip
+from ..functions import masked_example, prompt_and_completion, strip
+from ..functions.classify import score_and_domain
 
 #: What a chat row says around a pair (fixed prefix; the system prompt is a parameter).
 SYSTEM_PROMPT = "Rewrite the text in a compact form that keeps every fact."
@@ -53,4 +54,4 @@ def test_examples(rows: DataFrame, prefix: str = USER_PREFIX) -> DataFrame:
     said = F.filter("messages", lambda m: m.role == "user")
     text = strip(F.replace(F.when(F.size(said) > 0, F.element_at(said, 1).content), F.lit(prefix), F.lit("")))
     out = rows.withColumn("input_text", text).where("input_text <> ''")
-    return out.withColumn("domain", classify(F.col("input_text"))["domain"]).drop("messages")
+    return out.withColumn("domain", score_and_domain(F.col("input_text"))["domain"]).drop("messages")
