@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean_marks, normalize_space, strip, strip_code, strip_frontmatter, strip_tags
+from ..functions.text import let
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,7 @@ def by_section(x: Column, o: ChunkOptions) -> Column:
 
 
 def by_document(x: Column, o: ChunkOptions) -> Column:
-    whole = strip(x)
-    return F.when(F.length(whole).between(o.min_chars, o.max_chars), F.array(whole)).otherwise(by_section(whole, o))
+    return let(strip(x), lambda whole: F.when(F.length(whole).between(o.min_chars, o.max_chars), F.array(whole)).otherwise(by_section(whole, o)))
 
 
 def cleaned(x: Column, o: ChunkOptions) -> Column:
