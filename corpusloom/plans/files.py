@@ -162,24 +162,23 @@ def line_counts(spark, sf_dir):
 def incremental_files(spark, sf_dir):
     """A stream over two batches of files with texts in common; each text is worked on once."""
     path, d = scratch(spark), table(spark, sf_dir, "documents").where("text is not null").select(F.col("text").alias("verbose"), "doc_id")
-    run = lambda: append_new(spark, f"{path}/in", "verbose string", lambda x: x.withColumn("compressed", squeezed("verbose")), f"{path}/out", "verbose string, compressed string", F.sha2("verbose", 256), f"{path}/state").awaitTermination()
+    run = lambda: append_new(spark, f"{path}/in", "verbose string", lambda x: x.withColumn("compressed", squeezed("verbose")), f"{path}/out", "verbose string, compressed string", F.sha2("verbose", 256), f"{path}/state", compression="gzip").awaitTermination()
     for part in (d.where("doc_id % 3 <> 0"), d.where("doc_id % 3 <> 1")):
-        sinks.write_jsonl(part.select("verbose"), f"{path}/in", mode="append")
+        sinks.write_jsonl(part.select("verbose"), f"{path}/in", mode="append", compression="gzip")
         run()
     return spark.read.schema("verbose string, compressed string").json(f"{path}/out").select("verbose", "compressed")
 
 
 @query("SELECT text AS input_text, 2 * count(*) AS n, round(CASE WHEN max(length(text)) > 0 THEN max(length(text) // 2) / max(length(text)) END, 6) AS score FROM (SELECT regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS text FROM documents) WHERE text <> '' GROUP BY 1")
 def evaluation_files(spark, sf_dir):
-    """Evaluation rows appended twice, with a score for each of two models."""
+    """Evaluation rows appended, read and appended once more, with a score for each of two models."""
     from ..operators import evaluate
 
     path = scratch(spark)
     half = lambda: lambda texts: [t[: len(t) // 2] for t in texts]
     scores = {"length": lambda a, b: F.length(b) / F.length(a), "always": lambda a, b: F.lit(1.0)}
-    out = evaluate.evaluate(training.chat_rows(pairs(spark, sf_dir)), half, scores)
-    for _ in range(2):
-        sinks.append_jsonl(out, path)
+    sinks.append_jsonl(evaluate.evaluate(training.chat_rows(pairs(spark, sf_dir)), half, scores), path)
+    sinks.append_jsonl(readers.read_jsonl(spark, path, schemas.EVALUATION), path)
     rows = readers.read_jsonl(spark, path, schemas.EVALUATION)
     return rows.groupBy("input_text").agg(F.count("*").alias("n"), r6(F.min(F.col("equivalence_scores")["length"])).alias("score"))
 

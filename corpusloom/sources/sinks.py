@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from ..operators.training import chat_rows, completion_rows, text_rows
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> int:
-    """Rows written, counted as they pass."""
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None, compression: str | None = None) -> int:
+    """Rows written, counted as they pass; with a codec the files are compressed."""
     count = Observation()
     out = df if files is None else df.coalesce(files)
-    out.observe(count, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    out.observe(count, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path, compression=compression)
     return count.get["n"]
 
 

@@ -10,11 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def append_new(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], target: str, out_schema: str, key: Column, checkpoint: str, files_per_batch: int = 8) -> StreamingQuery:
+def append_new(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], target: str, out_schema: str, key: Column, checkpoint: str, files_per_batch: int = 8, compression: str | None = None) -> StreamingQuery:
     """Runs `work` on rows of new JSON files whose key no earlier batch had, and appends the result, file batch by file
     batch. Each batch writes folders of its own, results and the keys of its rows, so a batch that is repeated after a
     failure replaces what it had written, and what is done is known from the keys alone (`<checkpoint>/keys`): results
-    are not read again. `out_schema` is what `work` gives."""
+    are not read again. `out_schema` is what `work` gives; `compression` is a codec of its files."""
     keys = f"{checkpoint.rstrip('/')}/keys"
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -28,7 +28,7 @@ def append_new(spark: SparkSession, source: str, schema: str, work: Callable[[Da
         todo.persist()
         try:
             made = work(todo.drop("resume_key"))
-            made.select([F.col(f.name) for f in StructType.fromDDL(out_schema).fields]).write.mode("overwrite").json(f"{target}/batch={number}")
+            made.select([F.col(f.name) for f in StructType.fromDDL(out_schema).fields]).write.mode("overwrite").json(f"{target}/batch={number}", compression=compression)
             todo.select(F.col("resume_key").cast("string")).write.mode("overwrite").parquet(f"{keys}/batch={number}")
         finally:
             todo.unpersist()
