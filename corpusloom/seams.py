@@ -88,11 +88,14 @@ def _lengths(make: Callable) -> Callable:
 
 
 def encode_texts(df: DataFrame, text_cols: list[str], make: Callable[[], Callable[[list], list]], batch: int = 32) -> DataFrame:
-    """Adds `<column>_vector` for each text column; every distinct text of all of them is encoded once."""
-    every = reduce(DataFrame.union, [df.select(F.col(c).alias("seam_text")) for c in text_cols]).where("seam_text is not null").distinct()
-    known = map_texts(every, "seam_text", "seam_vector", make, "array<double>", batch)
+    """Adds `<column>_vector` for each text column; every distinct text of all of them is encoded once. Vectors come back
+    by the texts' SHA-256, so rows are not sorted by whole texts."""
+    digest = lambda c: F.sha2(F.col(c), 256)
+    every = df.select(F.explode(F.array(*text_cols)).alias("seam_text")).where("seam_text is not null").distinct()
+    known = map_texts(every, "seam_text", "seam_vector", make, "array<double>", batch).select(digest("seam_text").alias("seam_key"), "seam_vector")
+    df = df.withColumns({f"{c}_digest": digest(c) for c in text_cols})
     for c in text_cols:
-        df = df.join(known.withColumnsRenamed({"seam_text": "seam_key", "seam_vector": f"{c}_vector"}), F.col(c) == F.col("seam_key"), "left").drop("seam_key")
+        df = df.join(known.withColumnsRenamed({"seam_vector": f"{c}_vector"}), F.col(f"{c}_digest") == F.col("seam_key"), "left").drop("seam_key", f"{c}_digest")
     return df
 
 
@@ -100,9 +103,11 @@ def pair_equivalence(pairs: DataFrame, make: Callable, a: str = "verbose_output"
     """Adds semantic (cosine of the texts' vectors, clipped; 0 where a text is null or empty) and equivalence (for code
     generation half of it and half the likeness of the syntax trees, where both can be parsed)."""
     filled = (F.coalesce(F.col(a), F.lit("")) != "") & (F.coalesce(F.col(b), F.lit("")) != "")
-    out = encode_texts(pairs, [a, b], make).withColumn("semantic", F.when(filled, cosine(F.col(f"{a}_vector"), F.col(f"{b}_vector"))).otherwise(0.0)).drop(f"{a}_vector", f"{b}_vector")
+    out = encode_texts(pairs.withColumn("seam_filled", filled), [a, b], make)
+    out = out.withColumn("semantic", F.when(F.col("seam_filled"), cosine(F.col(f"{a}_vector"), F.col(f"{b}_vector"))).otherwise(0.0)).drop(f"{a}_vector", f"{b}_vector", "seam_filled")
     if task_col is None:
         return out.withColumn("equivalence", F.col("semantic"))
+    small_batches(pairs.sparkSession)
     likeness = ast_similarity(F.when(F.col(task_col) == "code_generation", F.col(a)), F.when(F.col(task_col) == "code_generation", F.col(b)))
     return out.withColumn("seam_ast", likeness).withColumn("equivalence", task_score(F.col(task_col), F.col("semantic"), F.col("seam_ast"))).drop("seam_ast")
 
